@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorespan.catalog.sql import similarities, word_vectors
-from lorespan.functions.embedding import embed
+from lorespan.functions.embedding import DIM, with_vectors
 from lorespan.operators.cache import cache_append, cache_lookup, cache_stats, newest
 from lorespan.session import load_table
 
@@ -18,10 +18,10 @@ def _entries(spark, d):
     asked = said.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = said.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return asked.join(told, ["conv_id", "turn"]).select(
+    entries = asked.join(told, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "question", "answer",
-        embed(F.col("question")).alias("vec"),
         (F.lit(START) + F.col("conv_id") * 7200).alias("created_at"))
+    return with_vectors(entries, "question")
 
 
 _ENTRIES = f"""
@@ -39,16 +39,15 @@ def _found(df):
 
 def cached_answers(spark, d):
     """Every message of the conversations asked again, at the default threshold."""
-    queries = load_table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), embed(F.col("text")).alias("vec"))
-    return _found(cache_lookup(_entries(spark, d), queries, NOW))
+    queries = with_vectors(load_table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
+    return _found(cache_lookup(_entries(spark, d), queries, NOW, width=DIM))
 
 
 def cached_answers_loose(spark, d):
     """Every document as a question, at a lower threshold."""
-    queries = load_table(spark, d, "documents").select(
-        F.col("doc_id").alias("query_id"), embed(F.col("text")).alias("vec"))
-    return _found(cache_lookup(_entries(spark, d), queries, NOW, threshold=LOOSE))
+    queries = with_vectors(load_table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"))
+    return _found(cache_lookup(_entries(spark, d), queries, NOW, threshold=LOOSE, width=DIM))
 
 
 def _lookup_sql(source, threshold):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorespan.catalog.sql import similarities, word_vectors
-from lorespan.functions.embedding import cosine, embed
+from lorespan.functions.embedding import DIM, cosine, with_vectors
 from lorespan.operators.similarity import knn
 from lorespan.session import load_table
 
@@ -61,7 +61,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 
 def text_vectors(spark, d):
     docs = load_table(spark, d, "documents")
-    return (docs.select("doc_id", F.posexplode(embed(F.col("text"))).alias("bucket", "weight"))
+    return (with_vectors(docs).select("doc_id", F.posexplode("vec").alias("bucket", "weight"))
             .where("weight > 0")
             .select("doc_id", F.col("bucket").cast("long").alias("bucket"),
                     F.round(F.col("weight").cast("double"), 6).alias("weight")))
@@ -74,11 +74,9 @@ SELECT id AS doc_id, b AS bucket, round(f, 6) AS weight FROM v
 
 
 def nearest_documents(spark, d):
-    items = load_table(spark, d, "documents").select(
-        F.col("doc_id").alias("item_id"), embed(F.col("text")).alias("vec"))
-    queries = load_table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), embed(F.col("text")).alias("vec"))
-    return knn(items, queries).select(
+    items = with_vectors(load_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+    queries = with_vectors(load_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return knn(items, queries, width=DIM).select(
         "query_id", F.col("item_id").alias("doc_id"), F.round("score", 4).alias("similarity"),
         F.col("rank").cast("long").alias("rank"))
 

@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.session import spread
+
 DIM = 256
 _TOKEN = re.compile(r"[^\W_]+")
 _KNOWN_TOKENS = 500_000
@@ -56,6 +58,12 @@ def embed(text: Column, dim: int = DIM, model: Callable[[Column], Column] | None
     return (model or hashed_words(dim))(text)
 
 
+def with_vectors(df: DataFrame, text: str = "text", name: str = "vec", dim: int = DIM,
+                 model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add the vector of a text column, with small inputs shared out first."""
+    return spread(df).withColumn(name, embed(F.col(text), dim, model))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Row-wise cosine; 0 for a zero vector, shorter length wins in the product."""
     def norm(v):

@@ -74,7 +74,7 @@ def summary_of(message: Column, size: int = SUMMARY_CHARS) -> Column:
 
 
 def display_name(name: Column, fallback: Column) -> Column:
-    return F.coalesce(F.nullif(strip(name), F.lit("")), fallback)
+    return F.coalesce(F.nullif(strip(name), F.lit("")), fallback.cast("string"))
 
 
 def blank(text: Column) -> Column:

@@ -12,6 +12,7 @@ from lorespan.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from lorespan.functions.identity import chunk_id
 from lorespan.functions.splitter import split_text
 from lorespan.operators.ordering import running_total
+from lorespan.session import spread
 
 CORE_FIELDS = ("source_type", "source_url", "title", "file_path", "updated_at", "permission_scope")
 
@@ -40,7 +41,7 @@ def chunk(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     """
     if size <= overlap:
         raise ValueError("overlap must be smaller than size")
-    cut = docs.withColumn("_chunks", chunk_texts(F.col("text"), size, overlap, separators, length))
+    cut = spread(docs).withColumn("_chunks", chunk_texts(F.col("text"), size, overlap, separators, length))
     kept = [c for c in docs.columns if c != "text"]
     if "part_no" not in docs.columns:
         rows = cut.select(*kept, F.posexplode("_chunks").alias("chunk_index", "text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorespan.fixed_values import INTENT_DEFAULT, INTENT_RULES, MAX_EXPANSIONS
 from lorespan.functions.text import map_characters, normalize, strip
 from lorespan.operators.ordering import keep_first
+from lorespan.session import spread
 
 INLINE_KEYS = 2_000
 _GRAM = 3
@@ -27,12 +28,14 @@ def expand_inline(text: Column, entries: Sequence[tuple[str, Sequence[str]]],
     if not entries:
         return F.array().cast("array<string>")
     table = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.array(*[F.lit(s) for s in syns[:m]]).cast("array<string>").alias("s"))
+        F.struct(F.lower(F.lit(k)).alias("k"),
+                 F.array(*[F.lit(s) for s in syns[:m]]).cast("array<string>").alias("s"))
         for k, syns in entries])
-    lowered = F.lower(text)
-    matched = F.filter(table, lambda d: F.contains(lowered, F.lower(d["k"])))
-    candidates = F.flatten(F.transform(
-        matched, lambda d: F.transform(d["s"], lambda s: strip(F.concat(text, F.lit(" "), s)))))
+    # The outer array has one element: it lower-cases the text once, not once per keyword.
+    matched = F.transform(F.array(F.lower(text)),
+                          lambda low: F.filter(table, lambda d: F.contains(low, d["k"])))[0]
+    synonyms = F.flatten(F.transform(matched, lambda d: d["s"]))
+    candidates = F.transform(synonyms, lambda s: strip(F.concat(text, F.lit(" "), s)))
     return F.slice(F.array_distinct(F.filter(candidates, lambda c: c != text)), 1, m)
 
 
@@ -45,11 +48,11 @@ def match_dictionary(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     keys = (dictionary.withColumn("_k", F.lower("keyword"))
             .withColumn("_gram", F.left("_k", F.lit(_GRAM))))
-    lowered = F.lower("q")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(lowered), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.array(*[F.substring(lowered, i, F.lit(n)) for n in range(1, _GRAM + 1)]))))
-    texts = queries.select("query_id", "q", F.explode(grams).alias("_gram"))
+    # A look-ahead gives the overlapping grams of a text in one pass over it.
+    grams = F.array_distinct(F.concat(*[
+        F.regexp_extract_all(F.lower("q"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        for n in range(1, _GRAM + 1)]))
+    texts = spread(queries).select("query_id", "q", F.explode(grams).alias("_gram"))
     return (texts.join(keys, "_gram").where(F.contains(F.lower("q"), F.col("_k")))
             .select("query_id", "q", "key_order", "keyword", "synonyms"))
 
@@ -80,7 +83,7 @@ def prepare_queries(queries: DataFrame, dictionary: DataFrame,
 
     A dictionary of checked size is folded into one expression; a larger one is joined.
     """
-    base = queries.select("query_id", normal_form(F.col("text"), charmap).alias("q"))
+    base = spread(queries).select("query_id", normal_form(F.col("text"), charmap).alias("q"))
     rows = dictionary.orderBy("key_order").limit(inline_keys + 1).collect()
     if len(rows) <= inline_keys:
         entries = [(r["keyword"], r["synonyms"]) for r in rows]
@@ -92,16 +95,19 @@ def prepare_queries(queries: DataFrame, dictionary: DataFrame,
 
 def intent_of(text: Column, rules=INTENT_RULES, default: str = INTENT_DEFAULT) -> Column:
     """Label of the first rule with a keyword inside the lower-cased text."""
-    lowered = F.lower(text)
-    chain = None
-    for label, keywords in rules:
-        hit = F.lit(False)
-        for word in keywords:
-            hit = hit | F.contains(lowered, F.lit(word))
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return F.lit(default) if chain is None else chain.otherwise(default)
+    def choose(lowered: Column) -> Column:
+        chain = F.when(F.lit(False), default)
+        for label, keywords in rules:
+            hit = F.lit(False)
+            for word in keywords:
+                hit = hit | F.contains(lowered, F.lit(word))
+            chain = chain.when(hit, label)
+        return chain.otherwise(default)
+
+    # One element: the text is lower-cased once, not once per keyword.
+    return F.transform(F.array(F.lower(text)), choose)[0]
 
 
 def label_intent(queries: DataFrame, rules=INTENT_RULES, default: str = INTENT_DEFAULT,
                  text: str = "text") -> DataFrame:
-    return queries.withColumn("intent", intent_of(F.col(text), rules, default))
+    return spread(queries).withColumn("intent", intent_of(F.col(text), rules, default))

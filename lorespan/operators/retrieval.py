@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lorespan.fixed_values import DEDUP_PREFIX, TOP_K
-from lorespan.functions.embedding import DIM, embed
+from lorespan.functions.embedding import DIM, with_vectors
 from lorespan.operators.ordering import keep_first
 from lorespan.operators.similarity import knn
+from lorespan.session import cut_lineage
 
 HITS_BROADCAST = 1_000_000
 
 
 def with_text(hits: DataFrame, passages: DataFrame) -> DataFrame:
-    """Join the passage text to its hits; the passages stay where they are
-    when the counted hits are few, else both sides shuffle on the id."""
-    few = hits.limit(HITS_BROADCAST + 1).count() <= HITS_BROADCAST
+    """Join the passage text to its hits.
+
+    The hits are written once, so the search runs once and their number is known:
+    few of them travel to the passages, which then stay where they are; many
+    shuffle on the id with them.
+    """
+    hits = cut_lineage(hits)
+    few = hits.count() <= HITS_BROADCAST
     return (F.broadcast(hits) if few else hits).join(passages, "item_id")
 
 
@@ -42,9 +48,10 @@ def retrieve(variants: DataFrame, passages: DataFrame, k: int = TOP_K, *,
     ``variants(query_id, variant, q)``; ``passages(item_id, text, …)`` with an
     optional ``vec`` column computed earlier.
     """
-    items = passages if "vec" in passages.columns else \
-        passages.withColumn("vec", embed(F.col("text"), dim, model))
-    queries = variants.select("query_id", "variant", embed(F.col("q"), dim, model).alias("vec"))
+    items = passages if "vec" in passages.columns else with_vectors(passages, dim=dim, model=model)
+    if model is None and "vec" not in passages.columns:
+        knn_options.setdefault("width", dim)
+    queries = with_vectors(variants, "q", dim=dim, model=model)
     hits = knn(items, queries, k, query_keys=("query_id", "variant"), **knn_options)
     return merge_variants(with_text(hits, passages.drop("vec")), prefix, max_docs)
 

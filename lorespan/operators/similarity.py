@@ -56,6 +56,12 @@ def _unit_rows(vectors: pa.Array, width: int | None = None) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)[:, None]
 
 
+def _present(rows):
+    """Rows that have a vector.  Done here and not by a filter on the column, which
+    would run the function that makes the vector a second time."""
+    return rows.filter(rows.column("vec").is_valid())
+
+
 def _matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both matrices at the wider width (the norms were taken before)."""
     width = max(a.shape[1], b.shape[1])
@@ -151,11 +157,12 @@ def _result_schema(items: DataFrame, queries: DataFrame, query_keys: Sequence[st
 def vector_width(*tables: DataFrame) -> int:
     """Longest of the first vectors; 1 when there are none."""
     firsts = [t.select(F.size("vec").alias("d")).first() for t in tables]
-    return max([r["d"] for r in firsts if r] + [1])
+    return max([r["d"] for r in firsts if r and r["d"]] + [1])
 
 
 def fits(df: DataFrame, width: int, limit_bytes: int) -> bool:
-    """Whether the whole matrix in double precision stays within the limit."""
+    """Whether the whole matrix in double precision stays within the limit.  Only
+    rows are counted, so a computed vector column is not computed for this."""
     rows = limit_bytes // (8 * max(width, 1))
     return df.limit(rows + 1).count() <= rows
 
@@ -164,7 +171,7 @@ def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[
                      schema: T.StructType, exclude_self: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    table = items.toArrow()
+    table = _present(items.toArrow())
     ids = table.column("item_id")
     shared = items.sparkSession.sparkContext.broadcast(
         (ids.to_numpy(), _unit_rows(table.column("vec")), ids.type))
@@ -175,6 +182,7 @@ def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, id_type = shared.value
         for batch in batches:
+            batch = _present(batch)
             if batch.num_rows and len(ids):
                 keys = pa.Table.from_batches([batch]).select(list(range(n_keys)))
                 best = _Best(k + exclude_self, batch.num_rows)
@@ -189,7 +197,7 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
                        schema: T.StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    table = queries.select(*query_keys, "vec").toArrow()
+    table = _present(queries.select(*query_keys, "vec").toArrow())
     shared = items.sparkSession.sparkContext.broadcast(
         (table.select(list(query_keys)), _unit_rows(table.column("vec"))))
     arrow_schema = to_arrow_schema(schema)
@@ -198,6 +206,7 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
         keys, wanted = shared.value
         best, id_type = _Best(k, len(wanted)), None
         for batch in batches:
+            batch = _present(batch)
             if batch.num_rows:
                 id_type = batch.column(0).type
                 best.offer(*_matched(wanted, _unit_rows(batch.column(1))),
@@ -232,6 +241,7 @@ def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k
              .select("code", "i", "q", *query_keys, "vec"))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = _present(a), _present(b)
         if not a.num_rows or not b.num_rows:
             return arrow_schema.empty_table()
         ids = a.column("item_id")
@@ -254,11 +264,10 @@ def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
         rows = np.zeros((len(vectors), dim))
         for r, v in enumerate(vectors):
             if v is not None:
-                m = min(len(v), dim)
-                rows[r, :m] = np.asarray(v, dtype=np.float64)[:m]
+                rows[r, :min(len(v), dim)] = v[:dim]
         signs = (rows @ planes > 0).reshape(len(rows), tables, bits)
         values = signs @ weights + (np.arange(tables, dtype=np.int64) << bits)
-        return pd.Series(list(values))
+        return pd.Series(list(values)).where(vectors.notna(), None)
 
     return codes
 
@@ -280,8 +289,8 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     lower the work.
     """
     query_keys = list(query_keys)
-    items = items.select("item_id", "vec").where(F.col("vec").isNotNull())
-    queries = queries.select(*query_keys, "vec").where(F.col("vec").isNotNull())
+    items = items.select("item_id", "vec")
+    queries = queries.select(*query_keys, "vec")
     schema = _result_schema(items, queries, query_keys)
     want = k + 1 if exclude_self else k
     if width is None and method in ("auto", "lsh"):

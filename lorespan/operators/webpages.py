@@ -15,7 +15,11 @@ from lorespan.functions.html import parse_page
 from lorespan.functions.text import clean_lines
 from lorespan.functions.urls import canonical, on_site, skipped
 from lorespan.operators.ordering import number_rows
-from lorespan.session import cut_lineage
+from lorespan.session import cut_lineage, spread
+
+
+# A level of at most this many URLs is broadcast to the links.
+FRONT_BROADCAST = 200_000
 
 
 def _parsed(selectors: Sequence[str], min_chars: int):
@@ -43,7 +47,7 @@ def parse_pages(pages: DataFrame, domain: Column | str | None = None,
     Links are absolute, without fragment and trailing slash; with a ``domain``
     only its own are kept.
     """
-    page = pages.withColumn("_p", _parsed(selectors, min_raw)("url", "html"))
+    page = spread(pages).withColumn("_p", _parsed(selectors, min_raw)("url", "html"))
     cleaned = clean_lines(F.col("_p.raw"))
     content = F.when(F.length(cleaned) >= min_clean, cleaned)
     links = F.transform("_p.links", canonical)
@@ -73,38 +77,39 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     level at a time: a level is ordered by (visit number of the page holding the
     link, place of the link on it), the first occurrence of a URL counts, and
     URLs seen before are left out.  Skipped URLs cost no budget, every visited
-    one does.  Each level is checkpointed, so plans stay short and a lost
-    executor repeats nothing.
+    one does.  Each level is written out, so plans stay short and a lost
+    executor repeats little.  A level of known, moderate size is sent to the
+    links; a larger one shuffles with them.
     """
-    schema_row = ["visit", "level", "url"]
-    links = edges.select(F.regexp_replace("src_url", "/+$", "").alias("src_url"), "pos",
+    links = edges.select(F.regexp_replace("src_url", "/+$", "").alias("src_url"),
+                         F.col("pos").cast("long").alias("pos"),
                          F.regexp_replace("dst_url", "/+$", "").alias("url"))
-    links = links.where(~skipped(F.col("url")))
+    links = cut_lineage(links.where(~skipped(F.col("url"))))
     queue = (seeds.select(F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"),
                           F.regexp_replace("url", "/+$", "").alias("url"))
              .where(~skipped(F.col("url"))))
-    seen, visited, level, budget, done = None, [], 0, max_pages, 0
-    while budget > 0:
+    seen, level, done = None, 0, 0
+    while done < max_pages:
         firsts = queue.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("first"))
         firsts = firsts.select("url", "first.parent", "first.pos")
         if seen is not None:
             firsts = firsts.join(seen.select("url"), "url", "left_anti")
         span = F.floor(F.col("pos") / 65_536) if level == 0 else F.floor(F.col("parent") / 256)
-        ranked = number_rows(firsts, "place", ["parent", "pos"], bucket=span)
+        ranked = number_rows(cut_lineage(firsts), "place", ["parent", "pos", "url"], bucket=span)
         now = cut_lineage(
-            ranked.where(F.col("place") <= budget)
+            ranked.where(F.col("place") <= max_pages - done)
             .select((F.col("place") + done).alias("visit"), F.lit(level).alias("level"), "url"))
         n = now.count()
         if n == 0:
             break
-        visited.append(now)
         seen = now if seen is None else seen.unionByName(now)
-        done, budget, level = done + n, budget - n, level + 1
-        queue = (now.select(F.col("visit").alias("parent"), F.col("url").alias("src_url"))
-                 .join(links, "src_url").select("parent", F.col("pos").cast("long").alias("pos"), "url"))
-    if not visited:
+        done, level = done + n, level + 1
+        front = now.select(F.col("visit").alias("parent"), F.col("url").alias("src_url"))
+        front = F.broadcast(front) if n <= FRONT_BROADCAST else front
+        queue = links.join(front, "src_url").select("parent", "pos", "url")
+    if seen is None:
         return seeds.sparkSession.createDataFrame([], "visit long, level int, url string")
-    return seen.select(*schema_row)
+    return seen.select("visit", "level", "url")
 
 
 def page_blocks(pages: DataFrame, order: str = "visit") -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.fixed_values import CACHE_THRESHOLD, TOP_K
-from lorespan.functions.embedding import DIM, embed
+from lorespan.functions.embedding import DIM, with_vectors
 from lorespan.functions.text import blank, strip
 from lorespan.operators.cache import cache_lookup
 from lorespan.operators.querytext import prepare_queries
 from lorespan.operators.retrieval import fill_prompt, render_context, retrieve
+from lorespan.session import cut_lineage
 
 
 def contexts_for(questions: DataFrame, passages: DataFrame, dictionary: DataFrame, *,
@@ -41,8 +42,8 @@ def answer_or_prompt(questions: DataFrame, entries: DataFrame, passages: DataFra
     """
     asked = (questions.withColumn("text", strip(F.col("text")))
              .where(~blank(F.col("text"))))
-    vectors = asked.select("query_id", embed(F.col("text"), dim, model).alias("vec"))
-    found = cache_lookup(entries, vectors, now, threshold)
+    vectors = with_vectors(asked, dim=dim, model=model).select("query_id", "vec")
+    found = cut_lineage(cache_lookup(entries, vectors, now, threshold))
     hits = found.where("hit").select("query_id", "score", "answer")
     misses = asked.join(hits.select("query_id"), "query_id", "left_anti")
     prompts = prompts_for(misses, passages, dictionary, template, metadata=metadata,

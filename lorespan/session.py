@@ -44,13 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor costs no recomputation."""
+    """Write the rows once to the shared folder and go on from there.
+
+    Unlike a checkpoint this computes ``df`` a single time, and its row count and
+    columns can be read on their own afterwards.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a small input before work that is heavy per row.
+
+    A scan cannot split below a row group, so an input smaller than one group
+    per core leaves cores idle.  Larger inputs are left as they are read.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path)
-    return df.checkpoint()
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = 128 * 1024 * 1024
+    return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
