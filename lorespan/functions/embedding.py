@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.session import spread
+from lorespan.session import run_once, spread
 
 DIM = 256
 _TOKEN = re.compile(r"[^\W_]+")
@@ -22,6 +22,18 @@ def bucket_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
+class _Slots(dict):
+    """Token to bucket, filled on first use."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        slot = self[token] = bucket_of(token, self.dim)
+        return slot
+
+
 def hashed_words(dim: int = DIM) -> Callable[[Column], Column]:
     """Token counts in ``dim`` hash buckets, scaled to unit length.
 
@@ -30,27 +42,23 @@ def hashed_words(dim: int = DIM) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+        slots = _Slots(dim)
 
         def one(text):
             if text is None:
                 return None
-            slots = []
-            for token in _TOKEN.findall(text.lower()):
-                slot = known.get(token)
-                if slot is None:
-                    slot = known[token] = bucket_of(token, dim)
-                slots.append(slot)
-            counts = np.bincount(np.asarray(slots, dtype=np.int64), minlength=dim)
+            tokens = _TOKEN.findall(text.lower())
+            found = np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens))
+            counts = np.bincount(found, minlength=dim)
             norm = np.sqrt(float(np.dot(counts, counts)))
             return (counts / norm if norm else counts).astype(np.float32)
 
         for texts in batches:
-            if len(known) > _KNOWN_TOKENS:
-                known.clear()
+            if len(slots) > _KNOWN_TOKENS:
+                slots.clear()
             yield texts.map(one)
 
-    return vector
+    return run_once(vector)
 
 
 def embed(text: Column, dim: int = DIM, model: Callable[[Column], Column] | None = None) -> Column:

@@ -12,7 +12,7 @@ from lorespan.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from lorespan.functions.identity import chunk_id
 from lorespan.functions.splitter import split_text
 from lorespan.operators.ordering import running_total
-from lorespan.session import spread
+from lorespan.session import run_once, spread
 
 CORE_FIELDS = ("source_type", "source_url", "title", "file_path", "updated_at", "permission_scope")
 
@@ -28,7 +28,7 @@ def chunk_texts(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
         return texts.map(
             lambda t: [] if t is None else split_text(t, size, overlap, separators, length))
 
-    return pieces(text)
+    return run_once(pieces)(text)
 
 
 def chunk(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lorespan.fixed_values import TOP_K
+from lorespan.session import run_once
 
 SCORE_DIGITS = 9
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -234,11 +235,12 @@ def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k
     left = (items.join(cuts, "code")
             .withColumn("i", F.pmod(item_hash, F.col("i_cuts")).cast("int"))
             .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
-            .select("code", "i", "q", "item_id", "vec"))
+            .select("code", "i", "q", F.col("item_id").alias("item_id"), F.col("vec").alias("vec")))
     right = (queries.join(cuts, "code")
              .withColumn("q", F.pmod(query_hash, F.col("q_cuts")).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_cuts") - 1)))
-             .select("code", "i", "q", *query_keys, "vec"))
+             .select("code", "i", "q", *query_keys, F.col("vec").alias("query_vec"))
+             .withColumnRenamed("query_vec", "vec"))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = _present(a), _present(b)
@@ -269,7 +271,7 @@ def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
         values = signs @ weights + (np.arange(tables, dtype=np.int64) << bits)
         return pd.Series(list(values)).where(vectors.notna(), None)
 
-    return codes
+    return run_once(codes)
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,

@@ -15,7 +15,7 @@ from lorespan.functions.html import parse_page
 from lorespan.functions.text import clean_lines
 from lorespan.functions.urls import canonical, on_site, skipped
 from lorespan.operators.ordering import number_rows
-from lorespan.session import cut_lineage, spread
+from lorespan.session import cut_lineage, run_once, spread
 
 
 # A level of at most this many URLs is broadcast to the links.
@@ -35,7 +35,7 @@ def _parsed(selectors: Sequence[str], min_chars: int):
                 rows.append((None, None, [], f"{type(problem).__name__}: {problem}"))
         return pd.DataFrame(rows, columns=["title", "raw", "links", "error"])
 
-    return parse
+    return run_once(parse)
 
 
 def parse_pages(pages: DataFrame, domain: Column | str | None = None,
@@ -48,8 +48,9 @@ def parse_pages(pages: DataFrame, domain: Column | str | None = None,
     only its own are kept.
     """
     page = spread(pages).withColumn("_p", _parsed(selectors, min_raw)("url", "html"))
-    cleaned = clean_lines(F.col("_p.raw"))
-    content = F.when(F.length(cleaned) >= min_clean, cleaned)
+    # One element: the text is cleaned once for both the test and the result.
+    content = F.transform(F.array(clean_lines(F.col("_p.raw"))),
+                          lambda t: F.when(F.length(t) >= min_clean, t))[0]
     links = F.transform("_p.links", canonical)
 
     def wanted(link):
@@ -128,5 +129,7 @@ def write_dump(blocks: DataFrame, path: str, heading: str, source: str, crawled_
     head = (f"{heading}\nSource: {source}\nCrawled at: {crawled_at}\n"
             f"Total pages: {total}\n" + "=" * 80 + "\n\n")
     first = blocks.sparkSession.createDataFrame([(0, head)], "n long, block string")
+    # The text writer ends each row with a line break of its own.
+    row = F.left("block", F.length("block") - 1).alias("block")
     (first.unionByName(blocks).repartitionByRange("n").sortWithinPartitions("n")
-     .select("block").write.mode("overwrite").option("lineSep", "").text(path))
+     .select(row).write.mode("overwrite").text(path))

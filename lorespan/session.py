@@ -68,6 +68,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
+def run_once(batch_function):
+    """Keep the optimizer from copying a costly batch function.
+
+    A filter on its result (``explode`` adds one too) would be pushed below other
+    steps together with a second run of the function; an expression that is not
+    marked deterministic stays where it is.
+    """
+    return batch_function.asNondeterministic()
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
