@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from lorespan.fixed_values import (
     DEFAULT_TITLE, MIN_LINE_CHARS, SUMMARY_CHARS, TITLE_CHARS,
 )
+from lorespan.session import run_once
 
 # Every code point that counts as white space; the last one is U+3000.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -42,7 +43,7 @@ def normalize(text: Column) -> Column:
     Spark has no built-in for compatibility forms, so that step alone is an
     Arrow batch function.
     """
-    return collapse(_compatibility_form(text))
+    return collapse(run_once(_compatibility_form)(text))
 
 
 def map_characters(text: Column, source: str = "", target: str = "") -> Column:

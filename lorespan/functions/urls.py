@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorespan.fixed_values import SKIP_EXTENSIONS, SKIP_WORDS
 
 
+def trim_slashes(url: Column) -> Column:
+    return F.rtrim(url, F.lit("/"))
+
+
 def canonical(url: Column) -> Column:
     """Drop the fragment, then trailing slashes."""
-    return F.rtrim(F.substring_index(url, "#", 1), F.lit("/"))
+    return trim_slashes(F.substring_index(url, "#", 1))
 
 
 def site_of(url: Column) -> Column:
@@ -27,7 +29,13 @@ def on_site(url: Column, domain: Column | str) -> Column:
 
 
 def skipped(url: Column) -> Column:
-    """Files and account pages that are never fetched."""
-    endings = "|".join(re.escape(e) for e in SKIP_EXTENSIONS)
-    words = "|".join(re.escape(w) for w in SKIP_WORDS)
-    return F.lower(url).rlike(f"(?:{endings})$|{words}")
+    """Files and account pages that are never fetched.
+
+    Plain searches instead of one pattern: this runs on every link.
+    """
+    low = F.lower(url)
+    ending = F.concat(F.lit("."), F.substring_index(low, ".", -1))
+    is_file = F.contains(low, F.lit(".")) & ending.isin(*SKIP_EXTENSIONS)
+    for word in SKIP_WORDS:
+        is_file = is_file | F.contains(low, F.lit(word))
+    return is_file

@@ -13,7 +13,9 @@ from lorespan.operators.ordering import keep_first
 from lorespan.session import spread
 
 INLINE_KEYS = 2_000
-_GRAM = 3
+KEYS_BROADCAST = 100_000
+# A keyword is looked up by its first characters: the longest of these lengths it has.
+_GRAMS = (1, 2, 3, 8)
 
 
 def dictionary_table(spark, entries: Iterable[tuple[str, Sequence[str]]]) -> DataFrame:
@@ -43,17 +45,27 @@ def match_dictionary(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(query_id, q, key_order, keyword, synonyms)`` for each keyword contained in ``q``.
 
     A containment join without a product of both sides: a keyword can only be
-    contained where the text holds its first characters, so both sides meet on
-    those (at most three) and the full test follows.
+    contained where the text holds its first characters, so ids and keywords meet
+    on those, and the full test follows on the few pairs that met.
     """
-    keys = (dictionary.withColumn("_k", F.lower("keyword"))
-            .withColumn("_gram", F.left("_k", F.lit(_GRAM))))
+    keyword = F.lower("keyword")
+    size = F.length(keyword)
+    gram = F.when(size < _GRAMS[1], F.left(keyword, F.lit(_GRAMS[0])))
+    for n, longer in zip(_GRAMS[1:], (*_GRAMS[2:], None)):
+        start = F.left(keyword, F.lit(n))
+        gram = gram.otherwise(start) if longer is None else gram.when(size < longer, start)
+    keys = dictionary.withColumn("_k", keyword).withColumn("_gram", gram)
+    # Spark takes the exploded grams for small; say which side really is, once counted.
+    few = dictionary.limit(KEYS_BROADCAST + 1).count() <= KEYS_BROADCAST
+    keys = F.broadcast(keys) if few else keys.hint("merge")
     # A look-ahead gives the overlapping grams of a text in one pass over it.
     grams = F.array_distinct(F.concat(*[
-        F.regexp_extract_all(F.lower("q"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        for n in range(1, _GRAM + 1)]))
-    texts = spread(queries).select("query_id", "q", F.explode(grams).alias("_gram"))
-    return (texts.join(keys, "_gram").where(F.contains(F.lower("q"), F.col("_k")))
+        F.regexp_extract_all(F.lower("q"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _GRAMS]))
+    # The text itself stays behind: it would be copied once per gram.
+    met = (spread(queries).select("query_id", F.explode(grams).alias("_gram"))
+           .join(keys, "_gram").drop("_gram"))
+    return (met.join(queries.select("query_id", "q"), "query_id")
+            .where(F.contains(F.lower("q"), F.col("_k")) & (F.length("_k") > 0))
             .select("query_id", "q", "key_order", "keyword", "synonyms"))
 
 

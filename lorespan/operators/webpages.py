@@ -13,7 +13,7 @@ from lorespan.fixed_values import (
 )
 from lorespan.functions.html import parse_page
 from lorespan.functions.text import clean_lines
-from lorespan.functions.urls import canonical, on_site, skipped
+from lorespan.functions.urls import canonical, on_site, skipped, trim_slashes
 from lorespan.operators.ordering import number_rows
 from lorespan.session import cut_lineage, run_once, spread
 
@@ -82,12 +82,12 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     executor repeats little.  A level of known, moderate size is sent to the
     links; a larger one shuffles with them.
     """
-    links = edges.select(F.regexp_replace("src_url", "/+$", "").alias("src_url"),
+    links = spread(edges).select(trim_slashes(F.col("src_url")).alias("src_url"),
                          F.col("pos").cast("long").alias("pos"),
-                         F.regexp_replace("dst_url", "/+$", "").alias("url"))
+                         trim_slashes(F.col("dst_url")).alias("url"))
     links = cut_lineage(links.where(~skipped(F.col("url"))))
     queue = (seeds.select(F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"),
-                          F.regexp_replace("url", "/+$", "").alias("url"))
+                          trim_slashes(F.col("url")).alias("url"))
              .where(~skipped(F.col("url"))))
     seen, level, done = None, 0, 0
     while done < max_pages:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.fixed_values import MAX_PAGES
+from lorespan.functions.urls import trim_slashes
 from lorespan.operators.webpages import crawl_order, link_edges, page_blocks, parse_pages
 from lorespan.session import cut_lineage
 
@@ -16,7 +17,7 @@ def site_text(pages: DataFrame, seeds: DataFrame, domain: str, max_pages: int =
     Every page is parsed once; the visit order is found on its links alone.
     """
     parsed = cut_lineage(parse_pages(
-        pages.withColumn("url", F.regexp_replace("url", "/+$", "")), domain))
+        pages.withColumn("url", trim_slashes(F.col("url"))), domain))
     order = crawl_order(seeds, link_edges(parsed), max_pages)
     visited = parsed.join(order.select("url", "visit"), "url")
     return page_blocks(visited, "visit")
