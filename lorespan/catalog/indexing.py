@@ -12,7 +12,7 @@ from lorespan.operators.chunking import chunk, chunk_lists, flat_metadata
 from lorespan.operators.indexing import (
     apply_chunks, diff_manifest, removed_documents, run_report, triage,
 )
-from lorespan.session import load_table
+from lorespan.session import cut_lineage, load_table
 from lorespan.sources.corpus import list_documents, source_records
 
 ROOT = "/srv/corpus"
@@ -96,7 +96,7 @@ WHERE doc_id LIKE 'file:%' AND doc_id IN (SELECT doc_id FROM old EXCEPT SELECT d
 
 def updated_chunks(spark, d):
     """The line chunks after the run: stale ones out, those of new texts in."""
-    diff = diff_manifest(_current(spark, d), _manifest(spark, d))
+    diff = cut_lineage(diff_manifest(_current(spark, d), _manifest(spark, d)))
     touched = diff.where("status in ('NEW', 'CHANGED')").select("doc_id")
     fresh = _line_chunks(_current(spark, d).select("doc_id", "hash", "text")
                          .join(touched, "doc_id", "left_semi"))
@@ -127,7 +127,7 @@ FROM l GROUP BY 1
 
 def indexing_report(spark, d):
     current = _current(spark, d)
-    diff = diff_manifest(current, _manifest(spark, d))
+    diff = cut_lineage(diff_manifest(current, _manifest(spark, d)))
     touched = diff.where("status in ('NEW', 'CHANGED')").select("doc_id")
     made = _line_chunks(current.select("doc_id", "hash", "text").join(touched, "doc_id", "left_semi"))
     # Lines without text make no chunk, so a document of blank lines is skipped.

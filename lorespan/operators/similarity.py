@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lorespan.fixed_values import TOP_K
-from lorespan.session import run_once
+from lorespan.session import cut_lineage, run_once
 
 SCORE_DIGITS = 9
 BROADCAST_BYTES = 32 * 1024 * 1024
-CELL_ITEMS = 32_768
-CELL_QUERIES = 8_192
+CELL_BYTES = 64 * 1024 * 1024
+CODES_BROADCAST = 1 << 20
 _SCORE_BLOCK = 4_000_000
 
 
@@ -218,29 +218,58 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
     return items.select("item_id", "vec").mapInArrow(scan, schema)
 
 
-def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
-              schema: T.StructType, cell_items: int, cell_queries: int) -> DataFrame:
-    """Rows with an equal ``code`` meet, in cells of bounded size."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-
-    def pieces(df, name, size):
-        n = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
-        return df.groupBy("code").agg(n.alias(name))
+def _cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str]):
+    """Give every item fragment and query fragment of a code one common cell.
 
-    cuts = pieces(items, "i_cuts", cell_items).join(pieces(queries, "q_cuts", cell_queries), "code")
-    item_hash = F.xxhash64("item_id", F.lit(1))
-    query_hash = F.xxhash64(*query_keys, F.lit(2))
-    left = (items.join(cuts, "code")
-            .withColumn("i", F.pmod(item_hash, F.col("i_cuts")).cast("int"))
+    Both sides carry ``i_cuts`` and ``q_cuts``, the numbers of fragments of their
+    code: an item row goes to one fragment and is repeated for each of the query
+    fragments, and the other way round.
+    """
+    left = (items.withColumn("i", F.pmod(F.xxhash64("item_id", F.lit(1)), F.col("i_cuts")).cast("int"))
             .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
             .select("code", "i", "q", F.col("item_id").alias("item_id"), F.col("vec").alias("vec")))
-    right = (queries.join(cuts, "code")
-             .withColumn("q", F.pmod(query_hash, F.col("q_cuts")).cast("int"))
+    right = (queries.withColumn("q", F.pmod(F.xxhash64(*query_keys, F.lit(2)), F.col("q_cuts")).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_cuts") - 1)))
              .select("code", "i", "q", *query_keys, F.col("vec").alias("query_vec"))
              .withColumnRenamed("query_vec", "vec"))
+    return left, right
+
+
+def _whole(items: DataFrame, queries: DataFrame, cell_items: int, cell_queries: int):
+    """One code for all rows, cut by their counts."""
+    def cuts(df, size):
+        return F.lit(max(1, -(-df.count() // size))).cast("int")
+
+    i_cuts, q_cuts = cuts(items, cell_items), cuts(queries, cell_queries)
+    return tuple(df.withColumn("code", F.lit(0).cast("long"))
+                 .withColumn("i_cuts", i_cuts).withColumn("q_cuts", q_cuts)
+                 for df in (items, queries))
+
+
+def _by_code(items: DataFrame, queries: DataFrame, codes, n_codes: int,
+             cell_items: int, cell_queries: int):
+    """One row per code of a vector; codes on one side only fall away.
+
+    The table of cuts has at most ``n_codes`` rows, a number the options fix.
+    """
+    def pieces(df, name, size):
+        n = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
+        return df.groupBy("code").agg(n.alias(name))
+
+    items, queries = (df.withColumn("code", F.explode(codes("vec"))) for df in (items, queries))
+    cuts = cut_lineage(pieces(items, "i_cuts", cell_items).join(
+        pieces(queries, "q_cuts", cell_queries), "code"))
+    cuts = F.broadcast(cuts) if n_codes <= CODES_BROADCAST else cuts
+    return items.join(cuts, "code"), queries.join(cuts, "code")
+
+
+def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
+              schema: T.StructType) -> DataFrame:
+    """Score each cell on its own; a cell has a bounded number of rows on either side."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow_schema = to_arrow_schema(schema)
+    left, right = _cells(items, queries, query_keys)
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = _present(a), _present(b)
@@ -278,7 +307,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
         query_keys: Sequence[str] = ("query_id",), method: str = "auto",
         exclude_self: bool = False, width: int | None = None,
         broadcast_bytes: int = BROADCAST_BYTES,
-        cell_items: int = CELL_ITEMS, cell_queries: int = CELL_QUERIES,
+        cell_items: int | None = None, cell_queries: int | None = None,
         tables: int = 8, bits: int = 8) -> DataFrame:
     """Best ``k`` of ``items(item_id, vec)`` for each of ``queries(keys…, vec)``.
 
@@ -295,25 +324,28 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     queries = queries.select(*query_keys, "vec")
     schema = _result_schema(items, queries, query_keys)
     want = k + 1 if exclude_self else k
-    if width is None and method in ("auto", "lsh"):
+    if width is None and method in ("auto", "grid", "lsh"):
         width = vector_width(items, queries)
     if method == "auto":
         method = "items" if fits(items, width, broadcast_bytes) else \
             "queries" if fits(queries, width, broadcast_bytes) else "grid"
 
+    if method in ("grid", "lsh"):
+        # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that.
+        cell_items = cell_items or max(1, CELL_BYTES // (8 * width))
+        cell_queries = cell_queries or max(1, cell_items // 4)
+
     if method == "items":
         return _by_shared_items(items, queries, query_keys, k, schema, exclude_self)
     if method == "queries":
         partial = _by_shared_queries(items, queries, query_keys, want, schema)
     elif method == "grid":
-        partial = _by_cells(items.withColumn("code", F.lit(0)),
-                            queries.withColumn("code", F.lit(0)),
-                            query_keys, want, schema, cell_items, cell_queries)
+        cut = _whole(items, queries, cell_items, cell_queries)
+        partial = _by_cells(*cut, query_keys, want, schema)
     elif method == "lsh":
-        codes = hyperplane_codes(width, tables, bits)
-        partial = _by_cells(items.withColumn("code", F.explode(codes("vec"))),
-                            queries.withColumn("code", F.explode(codes("vec"))),
-                            query_keys, want, schema, cell_items, cell_queries)
+        cut = _by_code(items, queries, hyperplane_codes(width, tables, bits), tables << bits,
+                       cell_items, cell_queries)
+        partial = _by_cells(*cut, query_keys, want, schema)
     else:
         raise ValueError(f"unknown method: {method}")
 

@@ -123,13 +123,17 @@ def page_blocks(pages: DataFrame, order: str = "visit") -> DataFrame:
     return numbered.select("n", block.alias("block"))
 
 
+def dump_header(heading: str, source: str, crawled_at: str, pages: Column) -> Column:
+    return F.concat(F.lit(f"{heading}\nSource: {source}\nCrawled at: {crawled_at}\nTotal pages: "),
+                    pages.cast("string"), F.lit("\n" + "=" * 80 + "\n\n"))
+
+
 def write_dump(blocks: DataFrame, path: str, heading: str, source: str, crawled_at: str) -> None:
-    """Text files in page order; the header is the first line block."""
-    total = blocks.count()
-    head = (f"{heading}\nSource: {source}\nCrawled at: {crawled_at}\n"
-            f"Total pages: {total}\n" + "=" * 80 + "\n\n")
-    first = blocks.sparkSession.createDataFrame([(0, head)], "n long, block string")
+    """Text files in page order; the header comes first."""
+    header = blocks.agg(F.count(F.lit(1)).alias("pages")).select(
+        F.lit(0).cast("long").alias("n"),
+        dump_header(heading, source, crawled_at, F.col("pages")).alias("block"))
     # The text writer ends each row with a line break of its own.
     row = F.left("block", F.length("block") - 1).alias("block")
-    (first.unionByName(blocks).repartitionByRange("n").sortWithinPartitions("n")
+    (header.unionByName(blocks).repartitionByRange("n").sortWithinPartitions("n")
      .select(row).write.mode("overwrite").text(path))

@@ -7,7 +7,8 @@ from lorespan.functions.html import parse_page
 from lorespan.operators.webpages import (
     crawl_order, link_edges, page_blocks, parse_pages, write_dump,
 )
-from lorespan.plans.website import site_text
+from lorespan.plans.indexing import ChunkStore
+from lorespan.plans.website import refresh_site, site_text
 
 URL = "https://www.site.org/a/b"
 
@@ -118,6 +119,25 @@ def test_site_to_dump(spark, tmp_path):
     assert text.index("[Page 1]") < text.index("[Page 2]") < text.index("[Page 4]")
 
 
+def test_refresh_site(spark, tmp_path):
+    def site(text):
+        return spark.createDataFrame([("https://site.org", body(f"<p>{text} " + "w " * 300 + "</p>"))],
+                                     "url string, html string")
+    seeds = spark.createDataFrame([(0, "https://site.org/")], "pos int, url string")
+    store = ChunkStore(spark, str(tmp_path / "store"))
+
+    def run(pages):
+        report, _ = refresh_site(pages, seeds, "site.org", store, "site.txt", "Site", "https://site.org", dim=8)
+        return {r.action: r.documents for r in report.collect()}
+
+    assert run(site("one")) == {"LOADED": 1}
+    assert run(site("one")) == {"UNCHANGED": 1}
+    assert run(site("two")) == {"LOADED": 1}
+    texts = [r.text for r in store.current_chunks().orderBy("chunk_index").collect()]
+    assert texts[0].startswith("Site\nSource: https://site.org") and any("two w" in t for t in texts)
+    assert run(site("two").limit(0)) == {"KEPT": 1}
+
+
 def test_page_numbers_skip_empty_pages(spark):
     pages = spark.createDataFrame([(7, "u", "t", "c"), (9, "v", "t", None), (30, "w", "t", "d")],
                                   "visit long, url string, title string, content string")
