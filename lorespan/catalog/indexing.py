@@ -7,6 +7,7 @@ which the listing no longer has; notes are records of another origin.
 
 from pyspark.sql import functions as F
 
+from lorespan.catalog.chunk_sql import chunk_ctes
 from lorespan.functions.identity import chunk_id
 from lorespan.operators.chunking import chunk, chunk_lists, flat_metadata
 from lorespan.operators.indexing import (
@@ -171,7 +172,18 @@ SELECT 'file:doc/' || doc_id || ':chunk:' || i || ':' || left(hash, 12) AS chunk
 
 def document_chunks(spark, d):
     """Overlapping chunks of every document."""
-    return chunk(_current(spark, d)).select("doc_id", "chunk_index", "chunk_id", "text", "lang")
+    rows = chunk(_current(spark, d))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
+                       "chunk_id", "text", "lang")
+
+
+CHUNKS_SQL = f"""
+WITH RECURSIVE {chunk_ctes("SELECT doc_id AS id, text FROM documents")}
+SELECT 'file:doc/' || id AS doc_id, chunk_index,
+       'file:doc/' || id || ':chunk:' || chunk_index || ':' || left(sha256(d.text), 12) AS chunk_id,
+       chunk.text, lang
+FROM chunk JOIN documents d ON d.doc_id = id
+"""
 
 
 def content_hashes(spark, d):
@@ -244,7 +256,7 @@ QUERIES = {
     "chunk_id_lists": (chunk_id_lists, LISTS_SQL),
     "indexing_report": (indexing_report, REPORT_SQL),
     "chunk_metadata": (chunk_metadata, METADATA_SQL),
-    "document_chunks": (document_chunks, None),
+    "document_chunks": (document_chunks, CHUNKS_SQL),
     "content_hashes": (content_hashes, HASHES_SQL),
     "document_records": (document_records, RECORDS_SQL),
     "upload_triage": (upload_triage, TRIAGE_SQL),

@@ -2,15 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from lorespan.catalog.chunk_sql import chunk_ctes
 from lorespan.catalog.sql import collapse, similarities, word_vectors
 from lorespan.fixed_values import INTENT_DEFAULT, INTENT_RULES
+from lorespan.functions.embedding import with_vectors
 from lorespan.functions.text import normalize
+from lorespan.operators.chunking import chunk
 from lorespan.operators.querytext import (
     dictionary_table, expand_joined, label_intent, match_dictionary, normal_form, prepare_queries,
 )
 from lorespan.operators.retrieval import render_context, retrieve
 from lorespan.plans.retrieval import prompts_for
-from lorespan.session import load_table
+from lorespan.session import cut_lineage, load_table
 
 # A small user dictionary in words of the test tables; "and" shadows "than".
 DICTIONARY = (
@@ -133,20 +136,25 @@ def retrieved_documents(spark, d):
                        F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("similarity"))
 
 
-_RETRIEVED = f"""
-WITH {_variant_ctes("SELECT item_id AS query_id, text FROM benchmark")},
-{word_vectors("v", "SELECT doc_id AS id, text FROM documents")},
+def _retrieved_ctes(passages):
+    """CTE ``n`` with the numbered passages of each question, from ``passages(item_id, text, …)``."""
+    return f"""
+{_variant_ctes("SELECT item_id AS query_id, text FROM benchmark")},
+passage AS ({passages}),
+{word_vectors("v", "SELECT item_id AS id, text FROM passage")},
 {word_vectors("q", "SELECT query_id * 10 + variant AS id, q AS text FROM variants")},
 {similarities("s", "q", "v")},
-r AS (SELECT q // 10 AS query_id, q % 10 AS variant, i AS doc_id, score,
+r AS (SELECT q // 10 AS query_id, q % 10 AS variant, i AS item_id, score,
              row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM s),
-t AS (SELECT r.*, d.text, d.lang, d.source,
-             row_number() OVER (PARTITION BY query_id, left(d.text, 100) ORDER BY variant, rank) AS copy
-      FROM r JOIN documents d USING (doc_id) WHERE rank <= 6),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank) AS n FROM t WHERE copy = 1)
-"""
+t AS (SELECT r.*, p.* EXCLUDE (item_id),
+             row_number() OVER (PARTITION BY query_id, left(p.text, 100) ORDER BY variant, rank) AS copy
+      FROM r JOIN passage p USING (item_id) WHERE rank <= 6),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank) AS n FROM t WHERE copy = 1)"""
+
+
+_RETRIEVED = "WITH " + _retrieved_ctes("SELECT doc_id AS item_id, text, lang, source FROM documents")
 RETRIEVED_SQL = _RETRIEVED + """
-SELECT query_id, n, doc_id, variant, rank, round(score, 4) AS similarity FROM n
+SELECT query_id, n, item_id AS doc_id, variant, rank, round(score, 4) AS similarity FROM n
 """
 
 
@@ -155,12 +163,16 @@ def rendered_contexts(spark, d):
     return render_context(retrieve(variants, _passages(spark, d)), ["lang", "source"])
 
 
-_CONTEXTS = _RETRIEVED + """,
+def _context_cte(first, second):
+    return f""",
 c AS (SELECT query_id, count(*) AS n_refs,
-             string_agg('[Reference ' || n || '] Content: ' || text || ' | Metadata: {"lang":"' || lang
-                        || '","source":"' || source || '"}' || chr(10), '' ORDER BY n) AS context
+             string_agg('[Reference ' || n || '] Content: ' || text || ' | Metadata: {{"{first}":"' || {first}
+                        || '","{second}":"' || {second} || '"}}' || chr(10), '' ORDER BY n) AS context
       FROM n GROUP BY 1)
 """
+
+
+_CONTEXTS = _RETRIEVED + _context_cte("lang", "source")
 CONTEXTS_SQL = _CONTEXTS + "SELECT query_id, n_refs, context FROM c"
 
 
@@ -169,12 +181,33 @@ def filled_prompts(spark, d):
                        TEMPLATE, charmap=CHARMAP, metadata=["lang", "source"])
 
 
-PROMPTS_SQL = _CONTEXTS + """
+_PROMPTS = """
 SELECT item_id AS query_id, coalesce(n_refs, 0) AS n_refs,
        'Question: ' || text || chr(10) || 'References:' || chr(10) || coalesce(context, '') || chr(10)
        || 'Answer from the references only.' AS prompt
 FROM benchmark LEFT JOIN c ON query_id = item_id
 """
+PROMPTS_SQL = _CONTEXTS + _PROMPTS
+
+
+def chunk_prompts(spark, d):
+    """Documents to chunks to prompts, with the benchmark passages as questions."""
+    docs = load_table(spark, d, "documents").select(
+        F.concat(F.lit("file:doc/"), F.col("doc_id")).alias("doc_id"),
+        F.sha2("text", 256).alias("hash"), "text", "source")
+    # The chunk table is written once, as an index would hold it.
+    passages = cut_lineage(with_vectors(
+        chunk(docs).select(F.col("chunk_id").alias("item_id"), "text", "doc_id", "source")))
+    return prompts_for(_asked(spark, d), passages, dictionary_table(spark, DICTIONARY), TEMPLATE,
+                       charmap=CHARMAP, metadata=["doc_id", "source"])
+
+
+CHUNK_PROMPTS_SQL = (
+    "WITH RECURSIVE " + chunk_ctes("SELECT doc_id AS id, text FROM documents") + ","
+    + _retrieved_ctes("""
+    SELECT 'file:doc/' || id || ':chunk:' || chunk_index || ':' || left(sha256(d.text), 12) AS item_id,
+           chunk.text, 'file:doc/' || id AS doc_id, source FROM chunk JOIN documents d ON d.doc_id = id""")
+    + _context_cte("doc_id", "source") + _PROMPTS)
 
 QUERIES = {
     "normalized_questions": (normalized_questions, NORMALIZED_SQL),
@@ -186,4 +219,5 @@ QUERIES = {
     "retrieved_documents": (retrieved_documents, RETRIEVED_SQL),
     "rendered_contexts": (rendered_contexts, CONTEXTS_SQL),
     "filled_prompts": (filled_prompts, PROMPTS_SQL),
+    "chunk_prompts": (chunk_prompts, CHUNK_PROMPTS_SQL),
 }

@@ -12,6 +12,8 @@ Four ways, one result shape ``(query keys…, item_id, score, rank)``:
 * ``lsh`` - as ``grid``, but rows meet only where random-hyperplane codes agree.
   A code shared by a large part of the rows is cut into fragments just the same.
 
+In the last two, rows with equal vectors are scored once for all of them.
+
 Scores are computed in double precision, ties go to the lower item id.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lorespan.fixed_values import TOP_K
+from lorespan.operators.ordering import keep_first
 from lorespan.session import cut_lineage, run_once
 
 SCORE_DIGITS = 9
@@ -161,11 +164,19 @@ def vector_width(*tables: DataFrame) -> int:
     return max([r["d"] for r in firsts if r and r["d"]] + [1])
 
 
-def fits(df: DataFrame, width: int, limit_bytes: int) -> bool:
-    """Whether the whole matrix in double precision stays within the limit.  Only
-    rows are counted, so a computed vector column is not computed for this."""
-    rows = limit_bytes // (8 * max(width, 1))
-    return df.limit(rows + 1).count() <= rows
+def rows_up_to(df: DataFrame, limit: int) -> int:
+    """Row count, or ``limit + 1`` for more.  Only rows are counted, so a computed
+    vector column is not computed for this."""
+    return df.limit(limit + 1).count()
+
+
+def choose_method(items: DataFrame, queries: DataFrame, width: int, limit_bytes: int) -> str:
+    """Share the smaller side when its matrix in double precision stays within the limit."""
+    limit = limit_bytes // (8 * max(width, 1))
+    n_items, n_queries = rows_up_to(items, limit), rows_up_to(queries, limit)
+    if min(n_items, n_queries) > limit:
+        return "grid"
+    return "items" if n_items <= n_queries else "queries"
 
 
 def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
@@ -285,6 +296,30 @@ def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(cell, schema)
 
 
+def _lowest_copies(items: DataFrame, n: int) -> DataFrame:
+    """Of items with an equal vector only the ``n`` lowest ids can be among the best
+    ``n`` of any query; the others are left out, however many there are."""
+    keyed = items.withColumn("_h", F.xxhash64("vec"))
+    return keep_first(keyed, ["_h", "vec"], [F.asc("item_id")], n).drop("_h")
+
+
+def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
+                        schema: T.StructType, cut) -> DataFrame:
+    """Search once per distinct query vector, then give each query its rows.
+
+    Copies on either side therefore cost no scoring.  Distinct vectors are told
+    apart by 128 bits of hash.
+    """
+    mark = {"_h1": F.xxhash64("vec"), "_h2": F.xxhash64(F.lit(7), "vec")}
+    marked = queries.withColumns(mark)
+    distinct = marked.groupBy("_h1", "_h2").agg(F.any_value("vec").alias("vec"))
+    keys = ["_h1", "_h2"]
+    inner = T.StructType([T.StructField(c, T.LongType()) for c in keys] + schema.fields[-2:])
+    sides = cut(_lowest_copies(items, k), distinct)
+    best = _top(_by_cells(*sides, keys, k, inner), keys, k)
+    return marked.select(*query_keys, *keys).join(best, keys).drop(*keys)
+
+
 def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
     """Column function: one sign code per table, the table number in the high bits."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
@@ -293,12 +328,16 @@ def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
     @F.pandas_udf("array<long>")
     def codes(vectors: pd.Series) -> pd.Series:
         rows = np.zeros((len(vectors), dim))
-        for r, v in enumerate(vectors):
-            if v is not None:
-                rows[r, :min(len(v), dim)] = v[:dim]
+        known = vectors.notna().to_numpy()
+        if known.any() and set(map(len, vectors[known])) == {dim}:
+            rows[known] = np.stack(vectors[known])
+        else:
+            for r in np.flatnonzero(known):
+                v = vectors.iloc[r][:dim]
+                rows[r, :len(v)] = v
         signs = (rows @ planes > 0).reshape(len(rows), tables, bits)
         values = signs @ weights + (np.arange(tables, dtype=np.int64) << bits)
-        return pd.Series(list(values)).where(vectors.notna(), None)
+        return pd.Series(list(values)).where(known, None)
 
     return run_once(codes)
 
@@ -327,29 +366,28 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     if width is None and method in ("auto", "grid", "lsh"):
         width = vector_width(items, queries)
     if method == "auto":
-        method = "items" if fits(items, width, broadcast_bytes) else \
-            "queries" if fits(queries, width, broadcast_bytes) else "grid"
-
-    if method in ("grid", "lsh"):
-        # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that.
-        cell_items = cell_items or max(1, CELL_BYTES // (8 * width))
-        cell_queries = cell_queries or max(1, cell_items // 4)
+        method = choose_method(items, queries, width, broadcast_bytes)
 
     if method == "items":
         return _by_shared_items(items, queries, query_keys, k, schema, exclude_self)
     if method == "queries":
-        partial = _by_shared_queries(items, queries, query_keys, want, schema)
-    elif method == "grid":
-        cut = _whole(items, queries, cell_items, cell_queries)
-        partial = _by_cells(*cut, query_keys, want, schema)
-    elif method == "lsh":
-        cut = _by_code(items, queries, hyperplane_codes(width, tables, bits), tables << bits,
-                       cell_items, cell_queries)
-        partial = _by_cells(*cut, query_keys, want, schema)
+        hits = _top(_by_shared_queries(items, queries, query_keys, want, schema), query_keys, want)
+    elif method in ("grid", "lsh"):
+        # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that.
+        cell_items = cell_items or max(1, CELL_BYTES // (8 * width))
+        sizes = cell_items, cell_queries or max(1, cell_items // 4)
+        if method == "grid":
+            def cut(i, q):
+                return _whole(i, q, *sizes)
+        else:
+            codes = hyperplane_codes(width, tables, bits)
+
+            def cut(i, q):
+                return _by_code(i, q, codes, tables << bits, *sizes)
+        hits = _by_distinct_vector(items, queries, query_keys, want, schema, cut)
     else:
         raise ValueError(f"unknown method: {method}")
 
-    hits = _top(partial, query_keys, want)
     if exclude_self:
         others = hits.where(~F.col(query_keys[0]).eqNullSafe(F.col("item_id")))
         hits = _top(others.drop("rank"), query_keys, k)

@@ -61,6 +61,8 @@ def spread(df: DataFrame) -> DataFrame:
     A scan cannot split below a row group, so an input smaller than one group
     per core leaves cores idle.  Larger inputs are left as they are read.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

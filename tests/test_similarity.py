@@ -76,6 +76,18 @@ def test_lsh_recall_and_hot_code(spark):
     assert len(near) == len(exact) and len(exact & near) / len(exact) > 0.85
 
 
+@pytest.mark.parametrize("form", FORMS[:3] + FORMS[5:])
+def test_many_copies(spark, form):
+    """A third of the rows are copies of one vector."""
+    rng = np.random.default_rng(8)
+    items = [(i, rng.integers(1, 9, 3).astype(float).tolist()) for i in range(40)]
+    items += [(100 + i, [1.0, 2.0, 3.0]) for i in range(20)]
+    a, b = tables(spark, items, items)
+    for exclude in (False, True):
+        got = {(r.query_id, r.item_id, r["rank"]) for r in knn(a, b, 4, exclude_self=exclude, **form).collect()}
+        assert got == brute(items, items, 4, exclude)
+
+
 def test_merge_variants(spark):
     head = "p" * 100
     hits = spark.createDataFrame(
