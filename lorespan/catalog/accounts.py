@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lorespan.functions.clock import epoch_seconds
 from lorespan.operators.accounts import active_sessions, intake_accounts, normalize_ids
 from lorespan.session import load_table
 
@@ -50,7 +51,7 @@ WHERE r = 1 AND student_id NOT IN (SELECT 'cust-' || c_custkey FROM customer WHE
 def live_sessions(spark, d):
     sessions = load_table(spark, d, "events").select(
         F.col("event_id").alias("token"), F.col("user_id").alias("student_id"),
-        (F.unix_timestamp(F.date_trunc("second", "ts")) + TTL).alias("expires_at"))
+        (epoch_seconds(F.col("ts")) + TTL).alias("expires_at"))
     accounts = load_table(spark, d, "customer").select(
         F.col("c_custkey").alias("student_id"),
         F.when(F.col("c_mktsegment") == "BUILDING", F.lit(" ")).otherwise(F.col("c_name")).alias("display_name"))

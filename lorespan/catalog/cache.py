@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorespan.catalog.sql import similarities, word_vectors
+from lorespan.functions.clock import epoch_seconds
 from lorespan.functions.embedding import DIM, with_vectors
 from lorespan.operators.cache import cache_append, cache_lookup, cache_stats, newest
 from lorespan.session import load_table
@@ -68,7 +69,7 @@ FROM ({source}) a LEFT JOIN best ON q = a.id LEFT JOIN entry USING (seq)
 def _event_entries(spark, d):
     return load_table(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("question"),
-        F.col("props").alias("answer"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("created_at"))
+        F.col("props").alias("answer"), epoch_seconds(F.col("ts")).alias("created_at"))
 
 
 EVENT_NOW = START + 20 * 86_400

@@ -4,6 +4,7 @@ from ``events``, where a user's events of one type are a conversation."""
 from pyspark.sql import functions as F
 
 from lorespan.catalog.sql import collapse, strip
+from lorespan.functions.clock import epoch_seconds
 from lorespan.operators.conversations import (
     append_turns, detail, earlier_messages, history, list_for, prune, recent_messages,
     refresh_titles, sidebar, titles,
@@ -20,14 +21,10 @@ def _flat(messages):
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
 
 
-def _epoch(ts):
-    return F.unix_timestamp(F.date_trunc("second", ts))
-
-
 def _meta(spark, d):
     events = load_table(spark, d, "events")
     return events.groupBy(F.col("event_type").alias("owner_id"), "user_id").agg(
-        F.max(_epoch("ts")).alias("updated_at"), F.min("event_id").alias("seq"),
+        F.max(epoch_seconds(F.col("ts"))).alias("updated_at"), F.min("event_id").alias("seq"),
     ).select(F.concat_ws(":", "owner_id", "user_id").alias("conv_id"), "owner_id", "updated_at", "seq",
              F.concat(F.lit("chat of "), "user_id").alias("title"))
 

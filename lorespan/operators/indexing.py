@@ -9,6 +9,7 @@ from lorespan.fixed_values import ALLOWED_TYPES, MAX_UPLOAD_MB
 from lorespan.functions.identity import base_name, extension
 from lorespan.operators.chunking import chunk_lists
 
+DEAD_BROADCAST = 1_000_000
 NEW, CHANGED, UNCHANGED, REMOVED, KEPT = "NEW", "CHANGED", "UNCHANGED", "REMOVED", "KEPT"
 
 
@@ -64,10 +65,20 @@ def apply_chunks(chunks: DataFrame, diff: DataFrame, new_chunks: DataFrame) -> D
     return left.unionByName(new_chunks, allowMissingColumns=True)
 
 
-def live_chunks(chunk_log: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Current chunks of an append-only log: those written by the run their
-    manifest record names.  A run then writes only what is new."""
-    return chunk_log.join(manifest.select("doc_id", "indexed_in"), ["doc_id", "indexed_in"], "left_semi")
+def superseded(diff: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(doc_id, indexed_in)`` of the records this run replaces or removes."""
+    gone = diff.where(F.col("status").isin(CHANGED, REMOVED)).select("doc_id")
+    return manifest.select("doc_id", "indexed_in").join(gone, "doc_id", "left_semi")
+
+
+def live_chunks(chunk_log: DataFrame, dead: DataFrame) -> DataFrame:
+    """Current chunks of an append-only log: all but those of superseded records.
+
+    The dead records are few beside the chunks; counted so, they travel to the
+    chunks, which are then read without a shuffle.
+    """
+    few = dead.limit(DEAD_BROADCAST + 1).count() <= DEAD_BROADCAST
+    return chunk_log.join(F.broadcast(dead) if few else dead, ["doc_id", "indexed_in"], "left_anti")
 
 
 def manifest_from(records: DataFrame, chunks: DataFrame, diff: DataFrame, manifest: DataFrame,

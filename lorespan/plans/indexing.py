@@ -11,24 +11,40 @@ from pyspark.sql import functions as F
 from lorespan.functions.embedding import DIM, embed
 from lorespan.operators.chunking import chunk, flat_metadata
 from lorespan.operators.indexing import (
-    CHANGED, KEPT, NEW, REMOVED, diff_manifest, live_chunks, manifest_from, run_report, to_index,
+    CHANGED, KEPT, NEW, REMOVED, diff_manifest, live_chunks, manifest_from, run_report,
+    superseded, to_index,
 )
 from lorespan.session import cut_lineage
 from lorespan.sources.corpus import scan_corpus
 from lorespan.sources.snapshots import Snapshots
-from lorespan.sources.stores import CHUNKS, MANIFEST
+from lorespan.sources.stores import CHUNKS, DEAD, MANIFEST
 
 
 class ChunkStore:
-    """The manifest and the append-only chunk log below one folder."""
+    """The manifest, the append-only chunk log and the superseded records of a corpus.
+
+    A run writes the same version number in all three, the manifest last.  Readers
+    go no further than the manifest's version, so they see a run whole or not at all.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.manifest = Snapshots(spark, f"{root.rstrip('/')}/manifest", MANIFEST)
-        self.chunks = Snapshots(spark, f"{root.rstrip('/')}/chunks", CHUNKS)
+        root = root.rstrip("/")
+        self.manifest = Snapshots(spark, f"{root}/manifest", MANIFEST)
+        self.chunks = Snapshots(spark, f"{root}/chunks", CHUNKS)
+        self.dead = Snapshots(spark, f"{root}/dead", DEAD)
 
     def current_chunks(self) -> DataFrame:
-        return live_chunks(self.chunks.read_all(), self.manifest.read())
+        version = self.manifest.latest() or 0
+        return live_chunks(self.chunks.read_all(version), self.dead.read_all(version))
+
+    def compact(self, root: str) -> ChunkStore:
+        """Copy of the store below another folder without the superseded chunks."""
+        fresh, version = ChunkStore(self.spark, root), self.manifest.latest()
+        if version is not None:
+            fresh.chunks.publish(self.current_chunks(), version)
+            fresh.manifest.publish(self.manifest.read(), version)
+        return fresh
 
 
 def chunk_rows(docs: DataFrame, indexed_in: int, dim: int = DIM,
@@ -63,6 +79,7 @@ def index_documents(docs: DataFrame, store: ChunkStore, *, whole_listing: bool =
     work = docs if store.manifest.latest() is None else to_index(docs, diff)
     store.chunks.publish(
         chunk_rows(work.drop("reason"), version, dim, model, **split_options), version)
+    store.dead.publish(superseded(diff, manifest), version)
     made = store.spark.read.schema(store.chunks.schema).parquet(store.chunks.path(version))
     store.manifest.publish(
         manifest_from(records, made, diff, manifest, F.lit(now), version), version)

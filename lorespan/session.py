@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD_BYTES = 16 * 1024 * 1024
+
+
 def build_session(app: str = "lorespan", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators expect.
 
@@ -58,16 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Share out a small input before work that is heavy per row.
 
-    A scan cannot split below a row group, so an input smaller than one group
-    per core leaves cores idle.  Larger inputs are left as they are read.
+    A scan cannot split below a row group, so an input of few groups leaves cores
+    idle.  Only an input of less than 16 MB a core is moved; larger ones are left
+    as they are read.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = 128 * 1024 * 1024
-    return df.repartition(cores) if int(str(size)) < cores * split else df
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
 
 
 def run_once(batch_function):

@@ -46,9 +46,9 @@ class Snapshots:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path(version))
 
-    def read_all(self) -> DataFrame:
-        """Every version at once, for append-only logs."""
-        found = [self.path(v) for v in self.versions()]
+    def read_all(self, upto: int | None = None) -> DataFrame:
+        """Every version (up to one) at once, for append-only logs."""
+        found = [self.path(v) for v in self.versions() if upto is None or v <= upto]
         if not found:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*found)

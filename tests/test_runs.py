@@ -78,6 +78,24 @@ def test_indexing_runs(spark, tmp_path):
     (folder / "one.txt").write_text("first " * 300)     # back to an earlier version
     index_corpus(spark, str(folder), store, dim=16)
     assert store.current_chunks().count() == 4
+    slim = store.compact(str(tmp_path / "slim"))
+    assert slim.chunks.read_all().count() == 4 < store.chunks.read_all().count()
+    report, _ = index_corpus(spark, str(folder), slim, dim=16)
+    assert report_of(report) == {"UNCHANGED": (2, 0, 0), "SKIPPED": (1, 0, 0)}
+
+
+def test_unfinished_run_is_not_seen(spark, tmp_path):
+    folder, store = tmp_path / "kb", ChunkStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "one.txt").write_text("one")
+    index_corpus(spark, str(folder), store, dim=8)
+    # A run that died before its manifest: chunks and dead records of version 2 exist.
+    store.chunks.publish(store.current_chunks(), 2)
+    store.dead.publish(store.manifest.read(), 2)
+    assert [r.text for r in store.current_chunks().collect()] == ["one"]
+    (folder / "one.txt").write_text("two")
+    index_corpus(spark, str(folder), store, dim=8)
+    assert [r.text for r in store.current_chunks().collect()] == ["two"]
 
 
 def test_indexing_stream(spark, tmp_path):
