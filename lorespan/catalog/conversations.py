@@ -176,13 +176,13 @@ FROM customer LEFT JOIN m ON conv_id = c_custkey WHERE c_mktsegment = 'BUILDING'
 def refreshed_titles(spark, d):
     local = _owned(spark, d).select("conv_id", "title")
     server = _said(spark, d).where("turn = 0").select(
-        "conv_id", F.when(F.col("role") == "system", F.lit("")).otherwise(F.left("text", F.lit(20))).alias("title"))
+        "conv_id", F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("text")).alias("title"))
     return refresh_titles(local, server)
 
 
 REFRESHED_SQL = """
 SELECT c_custkey AS conv_id,
-       coalesce(nullif(CASE WHEN role = 'system' THEN '' ELSE left(text, 20) END, ''), c_name) AS title
+       coalesce(nullif(CASE WHEN role = 'system' THEN '' ELSE text END, ''), c_name) AS title
 FROM customer LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) ON conv_id = c_custkey
 """
 

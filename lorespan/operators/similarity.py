@@ -164,19 +164,30 @@ def vector_width(*tables: DataFrame) -> int:
     return max([r["d"] for r in firsts if r and r["d"]] + [1])
 
 
+def longest_vector(table: DataFrame) -> int:
+    return table.agg(F.max(F.size("vec")).alias("d")).first()["d"] or 1
+
+
 def rows_up_to(df: DataFrame, limit: int) -> int:
     """Row count, or ``limit + 1`` for more.  Only rows are counted, so a computed
     vector column is not computed for this."""
     return df.limit(limit + 1).count()
 
 
-def choose_method(items: DataFrame, queries: DataFrame, width: int, limit_bytes: int) -> str:
-    """Share the smaller side when its matrix in double precision stays within the limit."""
-    limit = limit_bytes // (8 * max(width, 1))
-    n_items, n_queries = rows_up_to(items, limit), rows_up_to(queries, limit)
-    if min(n_items, n_queries) > limit:
-        return "grid"
-    return "items" if n_items <= n_queries else "queries"
+def choose_method(items: DataFrame, queries: DataFrame, width: int | None, limit_bytes: int) -> str:
+    """Share the smaller side when its matrix in double precision stays within the limit.
+
+    Without a given width a side short enough in rows is also measured for its
+    longest vector before it is taken.
+    """
+    limit = limit_bytes // (8 * (width or 1))
+    counts = {"items": rows_up_to(items, limit), "queries": rows_up_to(queries, limit)}
+    for name in sorted(counts, key=counts.get):
+        side = items if name == "items" else queries
+        if counts[name] <= limit and (
+                width or counts[name] * 8 * longest_vector(side) <= limit_bytes):
+            return name
+    return "grid"
 
 
 def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
@@ -353,8 +364,9 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     Ids and query keys are unique; ``exclude_self`` compares the first key with
     the item id.
 
-    ``auto`` is exact: it broadcasts the side whose measured size fits (items
-    first, since that needs no shuffle) and uses the grid when neither does.
+    ``auto`` is exact: it broadcasts the smaller side when its measured size fits
+    and uses the grid when neither does.  ``width`` is the vector length where the
+    caller knows it, which saves the measuring.
     ``lsh`` is the approximate form; more ``tables`` raise recall, more ``bits``
     lower the work.
     """
@@ -363,10 +375,10 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     queries = queries.select(*query_keys, "vec")
     schema = _result_schema(items, queries, query_keys)
     want = k + 1 if exclude_self else k
-    if width is None and method in ("auto", "grid", "lsh"):
-        width = vector_width(items, queries)
     if method == "auto":
         method = choose_method(items, queries, width, broadcast_bytes)
+    if width is None and method in ("grid", "lsh"):
+        width = vector_width(items, queries)
 
     if method == "items":
         return _by_shared_items(items, queries, query_keys, k, schema, exclude_self)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lorespan.operators.cache import cache_append, cache_lookup, cache_stats, newest
 from lorespan.operators.retrieval import fill_prompt, merge_variants, render_context
-from lorespan.operators.similarity import knn
+from lorespan.operators.similarity import choose_method, knn
 
 FORMS = [dict(method="items"), dict(method="queries"), dict(method="grid", cell_items=7, cell_queries=3),
          dict(method="auto"), dict(method="auto", broadcast_bytes=0), dict(method="lsh", bits=0, tables=2, cell_items=9)]
@@ -101,6 +101,32 @@ def test_merge_variants(spark):
     assert text == f'[Reference 1] Content: {head}two | Metadata: {{"item_id":"c"}}\n'
 
 
+def test_auto_measures_the_shared_side(spark):
+    wide = spark.createDataFrame([(0, [1.0]), (1, [1.0] * 1000)], "item_id int, vec array<float>")
+    many = spark.createDataFrame([(i, [1.0]) for i in range(50)], "query_id int, vec array<float>")
+    assert choose_method(wide, many, None, 16_000) == "items"
+    assert choose_method(wide, many, None, 15_999) == "queries"      # two rows, but long ones
+    assert choose_method(wide, many, None, 399) == "grid"
+    assert choose_method(wide, many, 1000, 8 * 1000 * 10) == "items"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_variants_random(spark, seed):
+    rng = np.random.default_rng(seed)
+    hits = [(int(q), v, r, f"i{rng.integers(30)}") for q in range(4) for v in range(3) for r in range(1, 7)]
+    rows = [(q, v, r, i, "x" * 99 + i[1] + i) for q, v, r, i in hits]       # prefixes repeat across ids
+    want = []
+    for q in range(4):
+        seen, n = set(), 0
+        for row in sorted(r for r in rows if r[0] == q):
+            if row[4][:100] not in seen:
+                seen.add(row[4][:100])
+                n += 1
+                want.append((q, n, row[3]))
+    df = spark.createDataFrame(rows, "query_id int, variant int, rank int, item_id string, text string")
+    assert sorted((r.query_id, r.n, r.item_id) for r in merge_variants(df).collect()) == sorted(want)
+
+
 def test_prompt_is_filled_once(spark):
     row = fill_prompt("Q {input} C {context} E", spark.createDataFrame(
         [("what is {context}?", "facts {input}")], "q string, context string")).first()

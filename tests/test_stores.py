@@ -2,6 +2,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorespan.operators import accounts, conversations, indexing
@@ -49,6 +50,26 @@ def test_manifest_diff(spark):
                       "REMOVED": (1, 0, 1), "KEPT": (1, 0, 0)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_manifest_diff_random(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"{rng.choice(['file:', 'note:'])}{i}" for i in range(60)]
+    now = {i: str(rng.randrange(3)) for i in ids if rng.random() < 0.7}
+    old = {i: str(rng.randrange(3)) for i in ids if rng.random() < 0.7}
+    want = {}
+    for i in set(now) | set(old):
+        if i not in old:
+            want[i] = "NEW"
+        elif i not in now:
+            want[i] = "REMOVED" if i.startswith("file:") else "KEPT"
+        else:
+            want[i] = "UNCHANGED" if now[i] == old[i] else "CHANGED"
+    diff = indexing.diff_manifest(
+        spark.createDataFrame(list(now.items()), "doc_id string, hash string"),
+        spark.createDataFrame([(i, h, [f"{i}:c"]) for i, h in old.items()], MANIFEST))
+    assert {r.doc_id: r.status for r in diff.collect()} == want
+
+
 def test_triage(spark):
     limit = 50 * 1024 * 1024
     rows = [("a/b.TXT", 1), ("", 1), (None, 1), ("x.exe", limit + 1), ("noext", 1), ("b.pdf", limit),
