@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lorespan.catalog.chunk_sql import chunk_ctes
 from lorespan.catalog.sql import collapse, similarities, word_vectors
 from lorespan.fixed_values import INTENT_DEFAULT, INTENT_RULES
-from lorespan.functions.embedding import with_vectors
+from lorespan.functions.embedding import embed
 from lorespan.functions.text import normalize
 from lorespan.operators.chunking import chunk
 from lorespan.operators.querytext import (
@@ -196,8 +196,8 @@ def chunk_prompts(spark, d):
         F.concat(F.lit("file:doc/"), F.col("doc_id")).alias("doc_id"),
         F.sha2("text", 256).alias("hash"), "text", "source")
     # The chunk table is written once, as an index would hold it.
-    passages = cut_lineage(with_vectors(
-        chunk(docs).select(F.col("chunk_id").alias("item_id"), "text", "doc_id", "source")))
+    passages = cut_lineage(chunk(docs).select(
+        F.col("chunk_id").alias("item_id"), "text", "doc_id", "source", embed(F.col("text")).alias("vec")))
     return prompts_for(_asked(spark, d), passages, dictionary_table(spark, DICTIONARY), TEMPLATE,
                        charmap=CHARMAP, metadata=["doc_id", "source"])
 

@@ -51,7 +51,9 @@ def retrieve(variants: DataFrame, passages: DataFrame, k: int = TOP_K, *,
     items = passages if "vec" in passages.columns else with_vectors(passages, dim=dim, model=model)
     if model is None and "vec" not in passages.columns:
         knn_options.setdefault("width", dim)
-    queries = with_vectors(variants, "q", dim=dim, model=model)
+    # Counted, then searched with: written once so that both read the same rows.
+    queries = cut_lineage(with_vectors(variants, "q", dim=dim, model=model)
+                          .select("query_id", "variant", "vec"))
     hits = knn(items, queries, k, query_keys=("query_id", "variant"), **knn_options)
     return merge_variants(with_text(hits, passages.drop("vec")), prefix, max_docs)
 
