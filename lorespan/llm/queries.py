@@ -3,17 +3,65 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
+from lorespan.llm.decontamination import scan_report
 from lorespan.llm.packing import pack_documents
+from lorespan.llm.pii import pii_report
+from lorespan.llm.quality import quality_report
+from lorespan.llm.secrets import scan_secrets
+from lorespan.llm.toxicity import toxicity_report
 from lorespan.session import load_table
 
 
+def op5_pii(spark, d):
+    return pii_report(load_table(spark, d, "documents"))
+
+
+def op6_quality(spark, d):
+    return quality_report(load_table(spark, d, "documents"), load_table(spark, d, "labels"))
+
+
+def op7_toxicity(spark, d):
+    return toxicity_report(load_table(spark, d, "documents"), load_table(spark, d, "labels"))
+
+
+def op8_secrets(spark, d):
+    return scan_secrets(load_table(spark, d, "documents"))
+
+
+def op9_decontamination(spark, d):
+    return scan_report(load_table(spark, d, "documents"), load_table(spark, d, "benchmark"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+hit AS (SELECT doc_id, dw.n, s, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op10_packing(spark, d):
     docs = load_table(spark, d, "documents")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op5_pii": (op5_pii, None),
+    "op6_quality": (op6_quality, None),
+    "op7_toxicity": (op7_toxicity, None),
+    "op8_secrets": (op8_secrets, None),
+    "op9_decontamination": (op9_decontamination, DECONTAMINATION_SQL),
     "op10_packing": (op10_packing, None),
 }
