@@ -5,14 +5,63 @@ from __future__ import annotations
 import public_tokenizers
 
 from lorespan.llm.decontamination import scan_report
+from lorespan.llm.media import media_columns
 from lorespan.llm.packing import pack_documents
 from lorespan.llm.pii import pii_report
 from lorespan.llm.quality import quality_report
 from lorespan.llm.secrets import scan_secrets
+from lorespan.llm.substring_dedup import remove_repeated_windows
+from lorespan.llm.suffix_dedup import remove_repeated_bytes
 from lorespan.llm.toxicity import toxicity_report
 from lorespan.session import load_table
 
 
+def op1_suffix_dedup(spark, d):
+    return remove_repeated_bytes(load_table(spark, d, "documents"))
+
+
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+      FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
+
+def op2_substring_dedup(spark, d):
+    return (remove_repeated_windows(load_table(spark, d, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+f AS (SELECT k, min(doc_id) AS m FROM v GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM v JOIN f USING (k) WHERE m < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM hit GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def op4_media(spark, d):
+    return media_columns(load_table(spark, d, "documents"))
+
+
 def op5_pii(spark, d):
     return pii_report(load_table(spark, d, "documents"))
 
@@ -58,6 +107,9 @@ def op10_packing(spark, d):
 
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, SUFFIX_SQL),
+    "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
+    "op4_media": (op4_media, None),
     "op5_pii": (op5_pii, None),
     "op6_quality": (op6_quality, None),
     "op7_toxicity": (op7_toxicity, None),

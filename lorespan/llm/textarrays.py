@@ -107,14 +107,22 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
+#: Low bits of a minimiser's rank that hold its place; so many grams are handled at a time.
+PLACE_BITS = 20
+
+
 def super_kmers(grams: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows of ``k`` tokens with one minimiser.
+    """Runs of consecutive windows of ``k`` tokens that have their minimiser in one place.
 
     ``grams`` are the hashes of ``m`` tokens, ``offsets`` the rows in tokens.
-    Gives the first window, the window after the last, and the minimiser of each
-    run; a run never leaves its row.
+    Gives the first window, the window after the last, and the minimiser's hash of
+    each run; a run never leaves its row.  The minimiser is the gram of the least
+    rank, the leftmost of equals, so equal windows are never in one run.
     """
-    least = sliding_min(grams, k - m + 1)
+    if len(grams) >> PLACE_BITS:
+        raise ValueError("too many tokens at a time")
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    least = sliding_min(grams & ~place | np.arange(len(grams), dtype=np.uint64), k - m + 1)
     n = len(least)
     valid = np.zeros(n + 1, bool)
     first, last = offsets[:-1], offsets[1:] - k + 1
@@ -124,9 +132,8 @@ def super_kmers(grams: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple
     edge[last[filled]] -= 1
     valid[:n] = np.cumsum(edge[:n], dtype=np.int8) > 0
     change = np.ones(n, bool)
-    if n:
-        change[1:] = (least[1:] != least[:-1]) | ~valid[:n - 1] if n > 1 else change[1:]
+    if n > 1:
+        change[1:] = (least[1:] != least[:-1]) | ~valid[:n - 1]
     starts = np.flatnonzero(valid[:n] & change)
-    ends_flag = valid[:n] & (np.append(change[1:], True) | ~valid[1:])
-    ends = np.flatnonzero(ends_flag) + 1
-    return starts, ends, least[starts]
+    ends = np.flatnonzero(valid[:n] & (np.append(change[1:], True) | ~valid[1:])) + 1
+    return starts, ends, grams[(least[starts] & place).astype(np.int64)]
