@@ -17,11 +17,12 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens that a task packs together; its memory is bounded by this and its longest document.
 BUFFER_TOKENS = 4_000_000
 #: Words remembered by a worker; beyond this it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
+SIGNS = frozenset(".,;:!?")
 BEYOND_LATIN_1 = re.compile("[^\0-\xff]").search
 
 
@@ -50,7 +51,8 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Remember the ids of these chunks and of the words in them."""
         seen = self.seen
-        words = [self.WORDS(chunk) for chunk in chunks]
+        words = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1:] in SIGNS and c[:-1].isalpha() else self.WORDS(c)
+                 for c in chunks]
         fresh = list({w for row in words for w in row if w not in seen})
         ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
@@ -61,7 +63,8 @@ class Encoder:
             seen[word] = code[4 * start:4 * stop]
             start = stop
         for chunk, row in zip(chunks, words):
-            seen[chunk] = b"".join([seen[w] for w in row])
+            if row != [chunk]:
+                seen[chunk] = b"".join([seen[w] for w in row])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
@@ -70,11 +73,11 @@ class Encoder:
         plain = [not ("<|" in t or not t.isascii() and BEYOND_LATIN_1(t)) for t in texts]
         rows = [t.lower().replace("\n", " ").split(" ") if p else () for t, p in zip(texts, plain)]
         found = [list(map(seen.get, row)) for row in rows]
-        open_rows = [i for i, codes in enumerate(found) if None in codes]
-        if open_rows:
-            self._learn(list({c for i in open_rows for c, code in zip(rows[i], found[i]) if code is None}))
-            for i in open_rows:
-                found[i] = [seen[c] for c in rows[i]]
+        gaps = [(i, j) for i, codes in enumerate(found) if None in codes for j, code in enumerate(codes) if code is None]
+        if gaps:
+            self._learn(list({rows[i][j] for i, j in gaps}))
+            for i, j in gaps:
+                found[i][j] = seen[rows[i][j]]
         out = [b"".join(codes) for codes in found]
         for i, p in enumerate(plain):
             if not p:
