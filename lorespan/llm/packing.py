@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 
@@ -16,6 +17,8 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens that a task packs together; its memory is bounded by this and its longest document.
 BUFFER_TOKENS = 4_000_000
+#: Documents tokenised together: their words stay in the processor's cache.
+GROUP_ROWS = 24
 #: Words remembered by a worker; beyond this it starts anew.
 CACHE_WORDS = 1_500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -163,16 +166,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataF
             ids, codes, held = [], [], 0
             return out.to_batches(max_chunksize=20_000)
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                made = [c + end for c in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                ids += part.column(0).to_pylist()
-                codes += made
-                held += sum(map(len, made)) // 4
-                if held >= BUFFER_TOKENS:
-                    yield from flush()
-        if codes:
-            yield from flush()
+        # The many small objects hold no cycles, so the collector would only walk them again and again.
+        gc.disable()
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, GROUP_ROWS):
+                    part = batch.slice(a, GROUP_ROWS)
+                    made = [c + end for c in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                    ids += part.column(0).to_pylist()
+                    codes += made
+                    held += sum(map(len, made)) // 4
+                    if held >= BUFFER_TOKENS:
+                        yield from flush()
+            if codes:
+                yield from flush()
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
