@@ -10,6 +10,7 @@ tells about the document to the document's own evidence.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from lorespan.session import cut_lineage
 BOUND = 8.0
 #: Least and greatest prior weight of a level, in documents.
 WEIGHTS = (2.0, 1000.0)
-N_FEATURES = 11
+N_FEATURES = 14
 
 _CLASS = np.full(256, 5, np.uint8)  # 5: other signs
 _CLASS[128:] = 0
@@ -52,10 +53,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[a:a + 256, 7] = np.minimum(np.diff(edges) / (counts[:, 3] + 1), 40) / 10
         raw = part.tobytes()
         for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-            lines = raw[s:e].split(b"\n")
+            text = raw[s:e]
+            lines, words = text.split(b"\n"), text.split()
             out[a + i, 8] = 1 - len(set(lines)) / len(lines)
             out[a + i, 9] = min(len(lines) * 100 / (e - s + 100), 5)
-    out[:, 10] = 1
+            out[a + i, 10] = sum(map(eq, words, words[1:])) / max(len(words), 1)
+            out[a + i, 11] = 1 - len(set(words)) / max(len(words), 1)
+    # A small share of odd signs, capitals or repeated words already tells much.
+    out[:, 5], out[:, 1] = np.log1p(100 * out[:, 5]), np.log1p(20 * out[:, 1])
+    out[:, 12] = np.log1p(50 * out[:, 10])
+    out[:, 13] = 1
     return out
 
 

@@ -15,12 +15,22 @@ from lorespan.llm.labelled import SAMPLE_ROWS, labelled_sample
 
 GRADES = 3
 #: Words of the model, at most; least documents and least z-score of a word.
-WORDS, LEAST_DOCUMENTS, LEAST_Z = 2000, 3, 4.0
+WORDS, LEAST_DOCUMENTS, LEAST_Z = 2000, 3, 5.0
 #: A word counts toward the severity of a training document when so large a part of its documents is toxic.
 MARKER_RATE = 0.5
+#: Beginnings of words, in letters, that are features beside the words.
+BEGINNINGS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
+def text_features(words: list[str]) -> set[str]:
+    """The distinct words, and the beginnings of longer ones marked by a star."""
+    found = set(words)
+    for n in BEGINNINGS:
+        found |= {w[:n] + "*" for w in found if len(w) > n and w[-1] != "*"}
+    return found
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     """P(grade >= k) = sigmoid(weights . x - thresholds[k - 1]); the weights serve all thresholds."""
@@ -34,7 +44,7 @@ class OrdinalModel:
 
     def score(self, text: str) -> float:
         words = self.words
-        return float(sum(self.weights[words[w]] for w in set(LETTERS(text.lower())) if w in words))
+        return float(sum(self.weights[words[w]] for w in text_features(LETTERS(text.lower())) if w in words))
 
 
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int,
@@ -74,8 +84,8 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, skip: int = 0) -> OrdinalModel:
     """Fit on at most ``rows`` labelled documents.
 
-    The labels say toxic or not; the grade of a toxic document is how many marker
-    words it holds, 1 to ``GRADES``, a marker being a word of which at least half
+    The labels say toxic or not; the grade of a toxic document is how many of its
+    distinct words have a marker, 1 to ``GRADES``, a marker being a feature of which at least half
     the documents are toxic.  The driver gets the word counts that pass the
     significance test, at most ``WORDS``, and the places of those words.
     """
@@ -85,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, skip: int
         for batch in batches:
             n, toxic = Counter(), Counter()
             for text, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = set(LETTERS((text or "").lower()))
+                words = text_features(LETTERS((text or "").lower()))
                 n.update(words)
                 if target:
                     toxic.update(words)
@@ -109,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, skip: int
             found, grades = [], []
             for text, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 all_words = LETTERS((text or "").lower())
-                found.append(sorted({words[w] for w in all_words if w in words}))
-                grades.append(min(GRADES, max(1, sum(w in markers for w in all_words))) if target else 0)
+                used = text_features(all_words)
+                found.append(sorted({words[w] for w in used if w in words}))
+                marked = sum(not markers.isdisjoint(text_features([w])) for w in set(all_words)) if target else 0
+                grades.append(min(GRADES, max(1, marked)) if target else 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), pa.array(grades, pa.int64())], names=["found", "grade"])
 
