@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     first = (similar_components(docs, size=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .select(F.col("doc_id").alias("first_id")).distinct())
-    return docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

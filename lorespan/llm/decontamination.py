@@ -148,13 +148,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     hit are unchanged, and so are all other columns; a document of which no word is
     left goes.
     """
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
     out = _joined(keyed, hits(docs, benchmark, size).drop("items"))
     # gaps[i] stands before word i, gaps[n] after the last.
-    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    words, gaps = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.split("row.text", WORD, -1)
     kept = F.expr("""
-        concat(_gaps[0], array_join(transform(sequence(0, size(_words) - 1), i ->
-            if(exists(spans, x -> i >= x.s and i < x.e), '', concat(_words[i], _gaps[i + 1]))), ''))""")
-    hit = (out.where("spans is not null").withColumns({"_words": words, "_gaps": gaps})
-           .withColumn("text", kept).where(spaced(F.col("text")) != ""))
-    return out.where("spans is null").select(docs.columns).unionByName(hit.select(docs.columns))
+        concat(gaps[0], array_join(transform(sequence(0, size(words) - 1), i ->
+            if(exists(spans, x -> i >= x.s and i < x.e), '', concat(words[i], gaps[i + 1]))), ''))""")
+    hit = (out.where("spans is not null").withColumns({"words": words, "gaps": gaps})
+           .withColumn("row", F.col("row").withField("text", kept)).where(spaced(F.col("row.text")) != ""))
+    return out.where("spans is null").select("row.*").unionByName(hit.select("row.*"))

@@ -111,13 +111,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, skip: int
 
 
 def with_evidence(docs: DataFrame, model: TextModel, columns: list[str], name: str) -> DataFrame:
-    """``columns`` of the documents and the log-odds of their texts; a text without a letter says nothing."""
-    text_at = columns.index("text") if "text" in columns else len(columns)
-    read = columns if "text" in columns else [*columns, "text"]
+    """``columns`` of the documents and the log-odds of their texts; an empty text says nothing."""
+    text_at, read = len(columns), [*columns, "text"]
+    if "row" in columns:  # the text is in there
+        text_at, read = columns.index("row"), columns
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(text_at))
+            text = batch.column(text_at)
+            data, offsets = utf8(text.field("text") if pa.types.is_struct(text.type) else text)
             odds = model.log_odds(features(data, offsets))
             odds[np.diff(offsets) == 0] = 0.0
             yield pa.RecordBatch.from_arrays(
@@ -178,7 +180,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
                  threshold: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that the score keeps, with their columns."""
     model = train(docs, labels, rows)
-    named = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    named = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text",
+                        F.struct("*").alias("row"))
     sites = site_posteriors(with_evidence(named, model, ["host", "path"], "odds").withColumn("p", F.expr("1 / (1 + exp(-odds))")))
-    scored = with_evidence(docs, model, docs.columns, "_q_odds")
-    return _decided(scored, sites, host, path, "_q_odds").where(F.col("_q_score") >= threshold - 1e-9).select(docs.columns)
+    scored = with_evidence(named, model, ["host", "path", "row"], "odds")
+    return _decided(scored, sites, "host", "path", "odds").where(F.col("_q_score") >= threshold - 1e-9).select("row.*")

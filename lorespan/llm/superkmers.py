@@ -8,7 +8,8 @@ super-k-mer: the packed string that covers them.  Three steps keep the data smal
    only those that occur twice in the corpus go on.
 2. Each block packs the super-k-mers of those minimisers, merges equal ones, and sends
    the first of each to the bucket of its minimiser.
-3. Each bucket tells which windows are repeats, and the blocks gather the answers.
+3. Each bucket merges equal super-k-mers of different blocks, searches those that meet
+   another one of their minimiser, and the blocks gather the answers.
 
 A block or bucket holds a bounded share of the text, since their number follows the
 size of the table.  A passage that stands in a third of all documents comes from each
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.textarrays import BYTE_HASH, gram_hashes, super_kmers, utf8, word_hashes, words_of
+from lorespan.llm.textarrays import BYTE_HASH, gram_hashes, mix, super_kmers, utf8, word_hashes, words_of
 
 BLOCK_BYTES = 2 * 1024 * 1024
 #: Tokens hashed at a time.
 SEGMENT = 1 << 18
 NULL_KEY = -(1 << 63)
-RUNS = "kind byte, bucket long, block long, key long, row int, start long, n long, packed binary, more binary"
+RUNS = "kind byte, hash long, block long, key long, row int, start long, n long, packed binary, more binary"
 SPANS = "block long, key long, row int, start long, n long"
 
 
@@ -103,7 +104,7 @@ def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table.take(pa.array(order)), keys, place - np.maximum.accumulate(np.where(fresh, place, 0))
 
 
-def _local_step(make, k: int, m: int, buckets: int):
+def _local_step(make, k: int, m: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[] for _ in range(9)]
         if left.num_rows and right.num_rows:
@@ -115,7 +116,7 @@ def _local_step(make, k: int, m: int, buckets: int):
             at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
             chosen = np.flatnonzero(wanted[at] == least)
             starts, ends = starts[chosen], ends[chosen]
-            bucket = (least[chosen] >> np.uint64(1)).astype(np.int64) % buckets
+            minimiser = least[chosen]
             row = np.searchsorted(tokens.offsets, starts, "right") - 1
             first: dict[bytes, int] = {}
             packed, kind = [], np.zeros(len(starts), np.int8)
@@ -134,13 +135,15 @@ def _local_step(make, k: int, m: int, buckets: int):
                     else:
                         s = tokens.packed(a, b)
                 packed.append(s)
+            # What is decided already needs no meeting place and is dealt evenly.
+            minimiser[kind == 1] = mix(starts[kind == 1].astype(np.uint64) + np.uint64(block))
             sent = np.flatnonzero(kind < 2)
             also = [np.array(more[i], np.int64).tobytes() if i in more else None for i in sent.tolist()]
-            out = [kind[sent], bucket[sent], np.full(len(sent), block), key_of[sent], rows[row][sent].astype(np.int32),
+            out = [kind[sent], minimiser[sent].view(np.int64), np.full(len(sent), block), key_of[sent], rows[row][sent].astype(np.int32),
                    begin[sent], (ends - starts)[sent], pa.array([packed[i] for i in sent.tolist()], pa.binary()), also]
         return pa.table([pa.array(x, t) if isinstance(x, list) else pa.array(x) for x, t in zip(out, (
             pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-            names=["kind", "bucket", "block", "key", "row", "start", "n", "packed", "more"])
+            names=["kind", "hash", "block", "key", "row", "start", "n", "packed", "more"])
     return run
 
 
@@ -165,8 +168,12 @@ def _bucket_step(find: Callable, same_document: bool):
             if repeat:
                 for at in places_of[i]:
                     taken.append(i), begin.append(at), count.append(int(n[i]))
-        strings = list(first)
-        places = list(first.values())
+        # Only strings that meet another one of their minimiser can share a window with it.
+        places = np.array(list(first.values()), np.int64)
+        minimiser = table.column("hash").to_numpy()[places]
+        _, group, size = np.unique(minimiser, return_inverse=True, return_counts=True)
+        places = places[size[group] > 1].tolist()
+        strings = [packed[i] for i in places]
         for i, spans in zip(places, find(strings, key[places] if places else key[:0])):
             for a, c in spans:
                 for j in (i, *followers.get(i, ())):
@@ -232,7 +239,7 @@ def remove_repeats(docs: DataFrame, text: Column, make, find: Callable, k: int,
 
     told = base.groupBy("block").applyInArrow(tell, "hash long, block long, n byte")
     twice = told.selectExpr("hash", "block", "sum(n) over (partition by hash) as total").where("total > 1").select("hash", "block")
-    runs = base.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_local_step(make, k, m, parts), RUNS)
-    spans = runs.groupBy("bucket").applyInArrow(_bucket_step(find, make.same_document), SPANS)
+    runs = base.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_local_step(make, k, m), RUNS)
+    spans = runs.groupBy(F.pmod("hash", F.lit(parts))).applyInArrow(_bucket_step(find, make.same_document), SPANS)
     schema = "doc_id long, size long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     return base.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_gather_step(make, k, with_kept), schema)
