@@ -103,19 +103,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     as sorted strings.
     """
     found = occurrences(docs, benchmark, size)
-    starts = found.groupBy("doc_id", "text_hash", "start").agg(F.max("width").alias("width"))
-    ranges = starts.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("width")).alias("e")))).alias("r"))
+    each = found.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("width")).alias("e")))).alias("r"),
+        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     spans = F.expr("""
         aggregate(r, cast(array() as array<struct<s: bigint, e: bigint>>), (a, x) ->
             if(size(a) > 0 and x.s <= element_at(a, -1).e,
                concat(slice(a, 1, size(a) - 1),
                       array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))),
                concat(a, array(x))))""")
-    items = found.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return (ranges.select("doc_id", "text_hash", spans.alias("spans"))
-            .join(items, ["doc_id", "text_hash"]))
+    return each.select("doc_id", "text_hash", spans.alias("spans"), "items")
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:

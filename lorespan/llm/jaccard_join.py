@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm.components import components
-from lorespan.llm.textarrays import gram_hashes, utf8, word_hashes, words_of
+from lorespan.llm.textarrays import gram_hashes, row_slices, utf8, word_hashes, words_of
 from lorespan.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A shingle of this part of the texts comes last in every prefix: at most the mean text length over it.
 COMMON = 0.005
+#: Bytes of text hashed at a time.
+SLICE_BYTES = 1024 * 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,16 +46,17 @@ def shingle_sets(column, size: int) -> list[np.ndarray]:
     A text of fewer words is one shingle; one without words has none.
     """
     data, offsets = utf8(column)
-    data = _LOWER[data]
-    starts, ends, rows = words_of(data, offsets)
-    words = word_hashes(data, starts, ends)
-    grams = gram_hashes(words, size)
     out = []
-    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-        if b - a >= size:
-            out.append(np.unique(grams[a:b - size + 1]))
-        else:
-            out.append(gram_hashes(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    for a, b in row_slices(offsets, SLICE_BYTES):
+        part = _LOWER[data[offsets[a]:offsets[b]]]
+        starts, ends, rows = words_of(part, offsets[a:b + 1] - offsets[a])
+        words = word_hashes(part, starts, ends)
+        grams = gram_hashes(words, size)
+        for i, j in zip(rows[:-1].tolist(), rows[1:].tolist()):
+            if j - i >= size:
+                out.append(np.unique(grams[i:j - size + 1]))
+            else:
+                out.append(gram_hashes(words[i:j], j - i) if j > i else np.zeros(0, np.uint64))
     return out
 
 

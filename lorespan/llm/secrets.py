@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorespan.llm.textarrays import utf8
+from lorespan.llm.textarrays import row_slices, utf8
 
 #: A choice of more strings than this is left open by the trigram query.
 MOST_STRINGS = 64
-#: Documents and bytes indexed together.
-SEGMENT_ROWS, SEGMENT_BYTES = 2048, 8 * 1024 * 1024
+#: Bytes of the documents that are indexed together.
+SEGMENT_BYTES = 8 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -224,18 +224,16 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            n, a = batch.num_rows, 0
+            n = batch.num_rows
             counts = np.zeros((len(rules), n), np.int64)
             digests, texts = [nothing] * n, [""] * n
-            while a < n:
-                b = min(a + SEGMENT_ROWS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + SEGMENT_BYTES, "right")) - 1), n)
+            for a, b in row_slices(offsets, SEGMENT_BYTES):
                 found = scan(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], rules)
                 for row, spans in found.items():
                     for _, r, _ in spans:
                         counts[r, a + row] += 1
                     digests[a + row] = hashlib.sha256(listed([x for x in spans if rules[x[1]].base]).encode()).hexdigest()
                     texts[a + row] = listed(spans)
-                a = b
             added = counts.sum(axis=0) - counts[base].sum(axis=0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(counts[i]) for i in base), pa.array(added),

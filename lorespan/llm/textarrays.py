@@ -34,6 +34,15 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def row_slices(offsets: np.ndarray, most: int):
+    """Consecutive row ranges of about ``most`` bytes, or one longer row."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
+        yield a, b
+        a = b
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word in a column whose words are parted by one
     space (no space at either end), and the offset of each row in words."""
