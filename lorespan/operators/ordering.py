@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lorespan.session import cut_lineage
+
 SPAN = 65_536
 
 
-def number_rows(df: DataFrame, name: str, order: list[str], span: int = SPAN,
-                bucket: Column | None = None) -> DataFrame:
-    """Add ``name`` = 1, 2, 3 … in the given order (unique in ``df``).
+# The low bits of ``monotonically_increasing_id`` are the place of a row in its partition.
+_PLACE_BITS = 33
+
 
-    The first order column is a whole number.  Rows are numbered inside spans of
-    it; only one row per span (its size) is summed up in order, so the single
-    task of that running sum sees ``rows / span`` numbers, never the rows.
+def number_rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Add ``name`` = 1, 2, 3 … in the given order (of any types, unique in ``df``).
+
+    Rows are dealt to ranges of the order and sorted in them, and written once with
+    their places.  The counts of the ranges, one row for each partition, are summed
+    up; the rows themselves never meet in one task, however sparse the order is.
     """
-    bucket = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(span))
-    keyed = df.withColumn("_span", bucket)
-    sizes = keyed.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_span").orderBy(*order))
-    return (keyed.join(starts, "_span")
-            .withColumn(name, (F.col("_start") + inside).cast("long"))
-            .drop("_span", "_start"))
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", _PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # A row for each partition of the written table.
+    return (placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1) + 1)
+            .drop("_part", "_start", "_at"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,

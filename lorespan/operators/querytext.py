@@ -13,7 +13,7 @@ from lorespan.operators.ordering import keep_first
 from lorespan.session import spread
 
 INLINE_KEYS = 2_000
-KEYS_BROADCAST = 100_000
+KEYS_BROADCAST_BYTES = 32 * 1024 * 1024
 # A keyword is looked up by its first characters: the longest of these lengths it has.
 _GRAMS = (1, 2, 3, 8)
 
@@ -24,6 +24,17 @@ def dictionary_table(spark, entries: Iterable[tuple[str, Sequence[str]]]) -> Dat
     return spark.createDataFrame(rows, "key_order int, keyword string, synonyms array<string>")
 
 
+def usable_entries(dictionary: DataFrame) -> DataFrame:
+    """Entries that can say something: a keyword (the empty one is in every text) and
+    synonyms, nulls among them left out."""
+    known = dictionary.where(F.col("keyword").isNotNull() & F.col("synonyms").isNotNull())
+    return known.withColumn("synonyms", F.array_compact("synonyms"))
+
+
+# Tied entries are read in the order of keyword and synonyms.
+_ENTRY_ORDER = ("key_order", "keyword", "synonyms")
+
+
 def expand_inline(text: Column, entries: Sequence[tuple[str, Sequence[str]]],
                   m: int = MAX_EXPANSIONS) -> Column:
     """Expansions as one expression over a constant array; no join, no shuffle."""
@@ -50,22 +61,27 @@ def match_dictionary(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     keyword = F.lower("keyword")
     size = F.length(keyword)
-    gram = F.when(size < _GRAMS[1], F.left(keyword, F.lit(_GRAMS[0])))
-    for n, longer in zip(_GRAMS[1:], (*_GRAMS[2:], None)):
-        start = F.left(keyword, F.lit(n))
-        gram = gram.otherwise(start) if longer is None else gram.when(size < longer, start)
-    keys = dictionary.withColumn("_k", keyword).withColumn("_gram", gram)
-    # Spark takes the exploded grams for small; say which side really is, once counted.
-    few = dictionary.limit(KEYS_BROADCAST + 1).count() <= KEYS_BROADCAST
-    keys = F.broadcast(keys) if few else keys.hint("merge")
-    # A look-ahead gives the overlapping grams of a text in one pass over it.
-    grams = F.array_distinct(F.concat(*[
-        F.regexp_extract_all(F.lower("q"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _GRAMS]))
+    length = F.lit(0)
+    for n in _GRAMS:
+        length = F.when(size >= n, n).otherwise(length)
+    keys = (usable_entries(dictionary).withColumn("_k", keyword).withColumn("_length", length)
+            .withColumn("_gram", F.left("_k", F.col("_length"))))
+    used = keys.groupBy("_length").agg(F.sum(
+        F.octet_length("_k") + F.octet_length(F.to_json("synonyms"))).alias("bytes")).collect()  # a row for each length
+    # Spark takes the exploded grams for small; say which side really is, once measured.
+    small = sum(r["bytes"] or 0 for r in used) <= KEYS_BROADCAST_BYTES
+    keys = keys.drop("_length")
+    keys = F.broadcast(keys) if small else keys.hint("merge")
+    # A look-ahead gives the overlapping grams of a text in one pass over it; the empty
+    # keyword meets every text.
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[
+        F.regexp_extract_all(F.lower("q"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
+        for n in sorted(r["_length"] for r in used)]))
     # The text itself stays behind: it would be copied once per gram.
     met = (spread(queries).select("query_id", F.explode(grams).alias("_gram"))
            .join(keys, "_gram").drop("_gram"))
     return (met.join(queries.select("query_id", "q"), "query_id")
-            .where(F.contains(F.lower("q"), F.col("_k")) & (F.length("_k") > 0))
+            .where(F.contains(F.lower("q"), F.col("_k")))
             .select("query_id", "q", "key_order", "keyword", "synonyms"))
 
 
@@ -73,11 +89,11 @@ def expand_joined(queries: DataFrame, dictionary: DataFrame, m: int = MAX_EXPANS
     """``(query_id, variant ≥ 1, q)`` for a dictionary of any size."""
     matched = match_dictionary(queries, dictionary)
     candidates = (matched
-                  .select("query_id", "q", "key_order",
+                  .select("query_id", "q", *_ENTRY_ORDER,
                           F.posexplode(F.slice("synonyms", 1, m)).alias("syn_pos", "syn"))
                   .withColumn("candidate", strip(F.concat("q", F.lit(" "), "syn")))
                   .where("candidate <> q"))
-    order = [F.col("key_order"), F.col("syn_pos")]
+    order = [*map(F.col, _ENTRY_ORDER), F.col("syn_pos")]
     distinct = keep_first(candidates, ["query_id", "candidate"], order)
     return (keep_first(distinct, ["query_id"], order, m, "variant")
             .select("query_id", "variant", F.col("candidate").alias("q")))
@@ -96,7 +112,7 @@ def prepare_queries(queries: DataFrame, dictionary: DataFrame,
     A dictionary of checked size is folded into one expression; a larger one is joined.
     """
     base = spread(queries).select("query_id", normal_form(F.col("text"), charmap).alias("q"))
-    rows = dictionary.orderBy("key_order").limit(inline_keys + 1).collect()
+    rows = usable_entries(dictionary).orderBy(*_ENTRY_ORDER).limit(inline_keys + 1).collect()
     if len(rows) <= inline_keys:
         entries = [(r["keyword"], r["synonyms"]) for r in rows]
         variants = F.concat(F.array("q"), expand_inline(F.col("q"), entries, m))

@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +61,19 @@ def _unit_rows(vectors: pa.Array, width: int | None = None) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)[:, None]
 
 
-def _present(rows):
-    """Rows that have a vector.  Done here and not by a filter on the column, which
+def _usable(rows):
+    """Rows whose vector is there and has finite elements only; others are nobody's
+    neighbours and have none.  Done here and not by a filter on the column, which
     would run the function that makes the vector a second time."""
-    return rows.filter(rows.column("vec").is_valid())
+    vectors = rows.column("vec")
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    good = vectors.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(vectors.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = np.repeat(np.arange(len(sizes)), sizes)[~np.isfinite(flat)]
+    good[bad] = False
+    return rows.filter(pa.array(good))
 
 
 def _matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,20 +168,13 @@ def _result_schema(items: DataFrame, queries: DataFrame, query_keys: Sequence[st
            T.StructField("score", T.DoubleType())])
 
 
-def vector_width(*tables: DataFrame) -> int:
-    """Longest of the first vectors; 1 when there are none."""
-    firsts = [t.select(F.size("vec").alias("d")).first() for t in tables]
-    return max([r["d"] for r in firsts if r and r["d"]] + [1])
-
-
 def longest_vector(table: DataFrame) -> int:
-    return table.agg(F.max(F.size("vec")).alias("d")).first()["d"] or 1
+    """Length of the longest vector; 1 when there are none."""
+    return max(table.agg(F.max(F.size("vec")).alias("d")).first()["d"] or 1, 1)
 
 
-def rows_up_to(df: DataFrame, limit: int) -> int:
-    """Row count, or ``limit + 1`` for more.  Only rows are counted, so a computed
-    vector column is not computed for this."""
-    return df.limit(limit + 1).count()
+def vector_width(*tables: DataFrame) -> int:
+    return max(map(longest_vector, tables))
 
 
 def choose_method(items: DataFrame, queries: DataFrame, width: int | None, limit_bytes: int) -> str:
@@ -181,7 +184,8 @@ def choose_method(items: DataFrame, queries: DataFrame, width: int | None, limit
     longest vector before it is taken.
     """
     limit = limit_bytes // (8 * (width or 1))
-    counts = {"items": rows_up_to(items, limit), "queries": rows_up_to(queries, limit)}
+    # Rows alone are counted, so a computed vector column is not computed for this.
+    counts = {"items": items.count(), "queries": queries.count()}
     for name in sorted(counts, key=counts.get):
         side = items if name == "items" else queries
         if counts[name] <= limit and (
@@ -194,7 +198,7 @@ def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[
                      schema: T.StructType, exclude_self: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    table = _present(items.toArrow())
+    table = _usable(items.toArrow())
     ids = table.column("item_id")
     shared = items.sparkSession.sparkContext.broadcast(
         (ids.to_numpy(), _unit_rows(table.column("vec")), ids.type))
@@ -205,7 +209,7 @@ def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, id_type = shared.value
         for batch in batches:
-            batch = _present(batch)
+            batch = _usable(batch)
             if batch.num_rows and len(ids):
                 keys = pa.Table.from_batches([batch]).select(list(range(n_keys)))
                 best = _Best(k + exclude_self, batch.num_rows)
@@ -220,7 +224,7 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
                        schema: T.StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    table = _present(queries.select(*query_keys, "vec").toArrow())
+    table = _usable(queries.select(*query_keys, "vec").toArrow())
     shared = items.sparkSession.sparkContext.broadcast(
         (table.select(list(query_keys)), _unit_rows(table.column("vec"))))
     arrow_schema = to_arrow_schema(schema)
@@ -229,7 +233,7 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
         keys, wanted = shared.value
         best, id_type = _Best(k, len(wanted)), None
         for batch in batches:
-            batch = _present(batch)
+            batch = _usable(batch)
             if batch.num_rows:
                 id_type = batch.column(0).type
                 best.offer(*_matched(wanted, _unit_rows(batch.column(1))),
@@ -294,7 +298,7 @@ def _by_cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k
     left, right = _cells(items, queries, query_keys)
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = _present(a), _present(b)
+        a, b = _usable(a), _usable(b)
         if not a.num_rows or not b.num_rows:
             return arrow_schema.empty_table()
         ids = a.column("item_id")
@@ -321,7 +325,9 @@ def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequen
     Copies on either side therefore cost no scoring.  Distinct vectors are told
     apart by 128 bits of hash.
     """
-    mark = {"_h1": F.xxhash64("vec"), "_h2": F.xxhash64(F.lit(7), "vec")}
+    # Without its length an empty vector would hash as none does.
+    length = F.coalesce(F.size("vec"), F.lit(-1))
+    mark = {"_h1": F.xxhash64(length, "vec"), "_h2": F.xxhash64(F.lit(7), length, "vec")}
     marked = queries.withColumns(mark)
     distinct = marked.groupBy("_h1", "_h2").agg(F.any_value("vec").alias("vec"))
     keys = ["_h1", "_h2"]
@@ -362,7 +368,8 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     """Best ``k`` of ``items(item_id, vec)`` for each of ``queries(keys…, vec)``.
 
     Ids and query keys are unique; ``exclude_self`` compares the first key with
-    the item id.
+    the item id.  A vector that is null or has a null, NaN or infinite element is no
+    one's neighbour and finds none; shorter vectors count as padded with zeros.
 
     ``auto`` is exact: it broadcasts the smaller side when its measured size fits
     and uses the grid when neither does.  ``width`` is the vector length where the
@@ -379,6 +386,11 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
         method = choose_method(items, queries, width, broadcast_bytes)
     if width is None and method in ("grid", "lsh"):
         width = vector_width(items, queries)
+    if method in ("items", "queries"):
+        side = items if method == "items" else queries
+        size = 8 * side.count() * (width or longest_vector(side))
+        if size > max(broadcast_bytes, BROADCAST_BYTES):
+            raise ValueError(f"{method} of {size} bytes are too many to share")
 
     if method == "items":
         return _by_shared_items(items, queries, query_keys, k, schema, exclude_self)

@@ -15,7 +15,7 @@ from lorespan.functions.html import parse_page
 from lorespan.functions.text import clean_lines
 from lorespan.functions.urls import canonical, on_site, skipped, trim_slashes
 from lorespan.operators.ordering import number_rows
-from lorespan.session import cut_lineage, run_once, spread
+from lorespan.session import cut_lineage, run_once, spread, work_dir
 
 
 # A level of at most this many URLs is broadcast to the links.
@@ -78,10 +78,13 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     level at a time: a level is ordered by (visit number of the page holding the
     link, place of the link on it), the first occurrence of a URL counts, and
     URLs seen before are left out.  Skipped URLs cost no budget, every visited
-    one does.  Each level is written out, so plans stay short and a lost
+    one does.  Each level is added to one folder, which is read as one table, so
+    the plan of the last level is as short as that of the first and a lost
     executor repeats little.  A level of known, moderate size is sent to the
-    links; a larger one shuffles with them.
+    links; a larger one shuffles with them.  Runs a few jobs for each level.
     """
+    spark = seeds.sparkSession
+    folder, schema = work_dir(spark, "visits"), "visit long, level int, url string"
     links = spread(edges).select(trim_slashes(F.col("src_url")).alias("src_url"),
                          F.col("pos").cast("long").alias("pos"),
                          trim_slashes(F.col("dst_url")).alias("url"))
@@ -89,28 +92,28 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     queue = (seeds.select(F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"),
                           trim_slashes(F.col("url")).alias("url"))
              .where(~skipped(F.col("url"))))
-    seen, level, done = None, 0, 0
+    level, done = 0, 0
     while done < max_pages:
         firsts = queue.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("first"))
         firsts = firsts.select("url", "first.parent", "first.pos")
-        if seen is not None:
-            firsts = firsts.join(seen.select("url"), "url", "left_anti")
-        span = F.floor(F.col("pos") / 65_536) if level == 0 else F.floor(F.col("parent") / 256)
-        ranked = number_rows(cut_lineage(firsts), "place", ["parent", "pos", "url"], bucket=span)
-        now = cut_lineage(
-            ranked.where(F.col("place") <= max_pages - done)
-            .select((F.col("place") + done).alias("visit"), F.lit(level).alias("level"), "url"))
+        if level:
+            seen = spark.read.schema(schema).parquet(folder).select("url")
+            firsts = firsts.join(seen, "url", "left_anti")
+        ranked = number_rows(firsts, "place", ["parent", "pos", "url"])
+        (ranked.where(F.col("place") <= max_pages - done)
+         .select((F.col("place") + done).alias("visit"), F.lit(level).alias("level"), "url")
+         .write.mode("append").parquet(folder))
+        now = spark.read.schema(schema).parquet(folder).where(F.col("level") == level)
         n = now.count()
         if n == 0:
             break
-        seen = now if seen is None else seen.unionByName(now)
         done, level = done + n, level + 1
         front = now.select(F.col("visit").alias("parent"), F.col("url").alias("src_url"))
         front = F.broadcast(front) if n <= FRONT_BROADCAST else front
         queue = links.join(front, "src_url").select("parent", "pos", "url")
-    if seen is None:
-        return seeds.sparkSession.createDataFrame([], "visit long, level int, url string")
-    return seen.select("visit", "level", "url")
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def page_blocks(pages: DataFrame, order: str = "visit") -> DataFrame:

@@ -15,7 +15,7 @@ from lorespan.operators.indexing import (
     superseded, to_index,
 )
 from lorespan.session import cut_lineage
-from lorespan.sources.corpus import scan_corpus
+from lorespan.sources.corpus import MAX_CONTENT_BYTES, TOO_LARGE, scan_corpus
 from lorespan.sources.snapshots import Snapshots
 from lorespan.sources.stores import CHUNKS, DEAD, MANIFEST
 
@@ -51,6 +51,8 @@ def chunk_rows(docs: DataFrame, indexed_in: int, dim: int = DIM,
                model: Callable[[Column], Column] | None = None, **split_options) -> DataFrame:
     """Chunk table rows with flat metadata and a vector each."""
     rows = flat_metadata(chunk(docs, **split_options))
+    if "loader_meta" not in rows.columns:
+        rows = rows.withColumn("loader_meta", F.lit(None).cast("map<string,string>"))
     return (rows.withColumn("vec", embed(F.col("text"), dim, model))
             .withColumn("indexed_in", F.lit(indexed_in).cast("long")))
 
@@ -74,6 +76,12 @@ def index_documents(docs: DataFrame, store: ChunkStore, *, whole_listing: bool =
     if not whole_listing:
         diff = diff.withColumn(
             "status", F.when(F.col("status") == REMOVED, KEPT).otherwise(F.col("status")))
+    # A known file that has grown too large to read keeps its record and chunks.
+    unread = records.where(F.col("reason") == TOO_LARGE).select("doc_id", F.lit(True).alias("unread")) \
+        if "reason" in records.columns else None
+    if unread is not None:
+        diff = diff.join(unread, "doc_id", "left").withColumn("status", F.when(
+            F.col("unread") & (F.col("status") == CHANGED), KEPT).otherwise(F.col("status"))).drop("unread")
     diff = cut_lineage(diff)
 
     work = docs if store.manifest.latest() is None else to_index(docs, diff)
@@ -88,10 +96,15 @@ def index_documents(docs: DataFrame, store: ChunkStore, *, whole_listing: bool =
     skipped = (records.join(pending, "doc_id", "left_semi")
                .join(made.select("doc_id"), "doc_id", "left_anti")
                .select("doc_id", F.coalesce("reason", F.lit("no chunks")).alias("reason")))
+    if unread is not None:
+        kept = diff.where(F.col("status") == KEPT).select("doc_id")
+        skipped = skipped.unionByName(records.where(F.col("reason") == TOO_LARGE).join(kept, "doc_id", "left_semi")
+                                      .select("doc_id", "reason"))
     return run_report(diff, made), skipped
 
 
 def index_corpus(spark: SparkSession, path: str, store: ChunkStore, root: str | None = None,
-                 loaders=None, **options) -> tuple[DataFrame, DataFrame]:
+                 loaders=None, limit: int = MAX_CONTENT_BYTES, **options) -> tuple[DataFrame, DataFrame]:
     """Bring the store in line with a folder."""
-    return index_documents(scan_corpus(spark, path, root, loaders=loaders), store, **options)
+    docs = scan_corpus(spark, path, root, loaders=loaders, limit=limit)
+    return index_documents(docs, store, **options)

@@ -36,11 +36,14 @@ def build_session(app: str = "lorespan", master: str | None = None, **conf) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and snapshots.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a local test) is a temporary folder taken.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    all tasks run on this machine (a local test) is a temporary folder taken.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lorespan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -14,8 +14,9 @@ from lorespan.functions.identity import (
 from lorespan.functions.text import fold_newlines
 
 TEXT_TYPES = ("txt",)
-# A binary column value is an array in memory, so larger files cannot be one row.
+# A binary column value is an array in memory, so a larger file cannot be one row.
 MAX_CONTENT_BYTES = 2_000_000_000
+TOO_LARGE = "too large to read"
 
 
 def type_glob(types=ALLOWED_TYPES) -> str:
@@ -24,6 +25,13 @@ def type_glob(types=ALLOWED_TYPES) -> str:
     return "*.{" + ",".join(either) + "}"
 
 
+def with_content(files: DataFrame, limit: int = MAX_CONTENT_BYTES) -> DataFrame:
+    """``files`` of the binary reader, of which those beyond the limit stay without content."""
+    small = files.where(F.col("length") <= limit)
+    large = files.where(F.col("length") > limit).drop("content")
+    return small.unionByName(large.withColumn("content", F.lit(None).cast("binary")).select(small.columns))
+
+
 def list_files(spark: SparkSession, path: str, types=ALLOWED_TYPES) -> DataFrame:
     """Files of one folder (not below it) with an allowed extension."""
     return spark.read.format("binaryFile").option("pathGlobFilter", type_glob(types)).load(path)
@@ -51,7 +59,9 @@ def source_records(files: DataFrame, root: str, source_type: str = "local_file",
         (F.coalesce(F.nullif(F.lit(title), F.lit("")), made) if title else made).alias("title"),
         path.alias("file_path"),
         F.col("modificationTime").alias("updated_at"),
-        F.sha2("content", 256).alias("hash"),
+        # A file that cannot be read is told apart by what the listing says of it.
+        F.coalesce(F.sha2("content", 256), F.sha2(F.concat_ws(":", F.lit(TOO_LARGE), "length", "modificationTime")
+                                                  .cast("binary"), 256)).alias("hash"),
         F.lit(permission_scope).alias("permission_scope"),
         F.struct(name.alias("filename"), extension(name).alias("extension"),
                  F.col("length").alias("size_bytes")).alias("extra"),
@@ -76,12 +86,17 @@ def load_text(records: DataFrame, loaders: dict[str, Callable[[Column, Column],
     is_text = kind.isin(*TEXT_TYPES) & ~kind.isin(*(loaders or {"": None}))
     text = F.when(is_text, plain).otherwise(text)
     reason = F.when(is_text, F.when(~F.is_valid_utf8(raw), "not valid UTF-8")).otherwise(reason)
+    reason = F.when(F.col("content").isNull(), F.lit(TOO_LARGE)).otherwise(reason)
     return (records.withColumn("text", text).withColumn("reason", reason).drop("content"))
 
 
-def scan_corpus(spark: SparkSession, path: str, root: str | None = None, types=ALLOWED_TYPES,
-                loaders=None, **record_options) -> DataFrame:
-    """Folder to source documents with text, one pass over the file contents."""
-    files = list_files(spark, path, types).where(F.col("length") <= MAX_CONTENT_BYTES)
+def scan_corpus(spark: SparkSession, path: str | list[str], root: str | None = None, types=ALLOWED_TYPES,
+                loaders=None, limit: int = MAX_CONTENT_BYTES, **record_options) -> DataFrame:
+    """Folder (or files) to source documents with text, one pass over the file contents.
+
+    Every listed file gives a row; one of more than ``limit`` bytes has no text and
+    says so in ``reason``.
+    """
+    files = with_content(list_files(spark, path, types), limit)
     records = source_records(files, root if root is not None else path, **record_options)
     return load_text(records, loaders)

@@ -14,7 +14,7 @@ CHUNKS = (
     "doc_id string, chunk_id string, chunk_index int, text string, source_type string, "
     "source_url string, title string, file_path string, updated_at timestamp, hash string, "
     "permission_scope string, filename string, extension string, size_bytes bigint, "
-    "vec array<float>, indexed_in bigint")
+    "loader_meta map<string,string>, vec array<float>, indexed_in bigint")
 DEAD = "doc_id string, indexed_in bigint"
 CACHE = ("seq bigint, question string, answer string, vec array<float>, created_at bigint")
 MESSAGES = "conv_id string, turn bigint, role string, text string"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lorespan.fixed_values import ALLOWED_TYPES
 from lorespan.plans.indexing import ChunkStore, index_corpus, index_documents
-from lorespan.sources.corpus import load_text, source_records, type_glob
+from lorespan.sources.corpus import scan_corpus, type_glob
 
+FILES_PER_BATCH = 10_000
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -23,11 +26,15 @@ def start_indexing_stream(spark: SparkSession, path: str, store: ChunkStore, che
     the refresh's work: a stream of arrivals cannot show them.
     """
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
-             .option("pathGlobFilter", type_glob(types)).load(path))
+             .option("pathGlobFilter", type_glob(types)).option("maxFilesPerTrigger", FILES_PER_BATCH)
+             .load(path).select("path"))
 
     def run(batch: DataFrame, epoch: int) -> None:
-        docs = load_text(source_records(batch, root or path), loaders)
-        index_documents(docs, store, whole_listing=False, **options)
+        # A batch has a bounded number of paths; contents are read by the executors.
+        paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in batch.collect()]
+        if paths:
+            docs = scan_corpus(spark, paths, root or path, types, loaders)
+            index_documents(docs, store, whole_listing=False, **options)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

@@ -12,9 +12,15 @@ from lorespan.sources.stores import read_conversation_store
 
 
 def test_number_rows(spark):
-    keys = random.Random(2).sample(range(100_000), 500)
-    rows = number_rows(spark.createDataFrame([(k,) for k in keys], "k long"), "n", ["k"], span=777)
-    assert [r.n for r in rows.orderBy("k").collect()] == list(range(1, 501))
+    rng = random.Random(2)
+    for keys in (rng.sample(range(100_000), 500), [k * 10**12 for k in rng.sample(range(-200, 200), 300)], []):
+        df = spark.createDataFrame([(k, -k) for k in keys], "k long, v long").repartition(7)
+        rows = number_rows(df, "n", ["k"])
+        assert rows.columns == ["k", "v", "n"]
+        assert [(r.k, r.n) for r in rows.orderBy("k").collect()] == list(zip(sorted(keys), range(1, len(keys) + 1)))
+    tied = spark.createDataFrame([(i // 50, i % 50, str(i)) for i in range(400)], "a long, b long, c string")
+    got = number_rows(tied, "n", ["a", "b"]).orderBy("n").collect()
+    assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got) and [r.n for r in got] == list(range(1, 401))
 
 
 def test_running_total(spark):
