@@ -13,8 +13,9 @@ from lorespan.operators.chunking import chunk, chunk_lists, flat_metadata
 from lorespan.operators.indexing import (
     apply_chunks, diff_manifest, removed_documents, run_report, triage,
 )
-from lorespan.session import cut_lineage, load_table
-from lorespan.sources.corpus import list_documents, source_records
+from lorespan.plans.indexing import ChunkStore, index_documents
+from lorespan.session import cut_lineage, load_table, work_dir
+from lorespan.sources.corpus import listing, source_records
 
 ROOT = "/srv/corpus"
 
@@ -245,8 +246,76 @@ FROM documents
 
 
 def document_listing(spark, d):
-    """The table files themselves, newest first."""
-    return list_documents(spark, d, types=("parquet",))
+    """The documents as files of a folder, newest first."""
+    docs = load_table(spark, d, "documents")
+    return listing(docs.select(
+        F.concat(F.lit(f"file:{ROOT}/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"),
+        F.timestamp_seconds(F.col("doc_id") * 60 + F.col("n_chars")).alias("modificationTime"),
+        F.octet_length("text").cast("long").alias("length")))
+
+
+LISTING_SQL = """
+SELECT doc_id || '.txt' AS name, strlen(text)::BIGINT AS size, doc_id * 60 + n_chars AS modified FROM documents
+"""
+
+
+def _sources(texts):
+    """Source documents of a listing, as the folder scan gives them."""
+    name = F.element_at(F.split("doc_id", "/"), -1)
+    return texts.select(
+        "doc_id", F.lit("local_file").alias("source_type"), F.lit(None).cast("string").alias("source_url"), name.alias("title"),
+        F.col("doc_id").alias("file_path"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), "hash",
+        F.lit("public").alias("permission_scope"), F.struct(
+            name.alias("filename"), F.lit("txt").alias("extension"), F.octet_length("text").cast("long").alias("size_bytes")).alias("extra"),
+        "text", F.lit(None).cast("string").alias("reason"))
+
+
+def _two_runs(spark, d):
+    """A store after two indexing runs, and the report of the second."""
+    store = ChunkStore(spark, work_dir(spark, "store"))
+    index_documents(_sources(_previous_texts(spark, d)), store)
+    report, _ = index_documents(_sources(_current(spark, d)), store)
+    return store, report
+
+
+def indexed_chunks(spark, d):
+    return _two_runs(spark, d)[0].current_chunks().select("chunk_id", "text", "title")
+
+
+def indexed_manifest(spark, d):
+    return _two_runs(spark, d)[0].manifest.read().select(
+        "doc_id", "hash", F.size("chunk_ids").cast("long").alias("n_chunks"), "indexed_in")
+
+
+def indexed_report(spark, d):
+    return _two_runs(spark, d)[1]
+
+
+_LIVE = """
+SELECT 'new|' || doc_id AS id, text FROM cur UNION ALL SELECT 'old|' || doc_id, text FROM old
+"""
+_RUNS = f"""
+WITH RECURSIVE {_STATE}, {chunk_ctes(_LIVE)},
+live AS (SELECT doc_id, status, n, CASE WHEN n = 'new' THEN hash ELSE old_hash END AS hash
+         FROM diff, (VALUES ('new'), ('old')) AS v(n)
+         WHERE (n = 'new') = (status IN ('NEW', 'CHANGED')) AND status <> 'REMOVED'),
+counts AS (SELECT id, count(*) AS n_chunks FROM chunk GROUP BY id)
+"""
+INDEXED_CHUNKS_SQL = f"""{_RUNS}
+SELECT doc_id || ':chunk:' || chunk_index || ':' || left(hash, 12) AS chunk_id, text, string_split(doc_id, '/')[-1] AS title
+FROM live JOIN chunk ON id = n || '|' || doc_id
+"""
+INDEXED_MANIFEST_SQL = f"""{_RUNS}
+SELECT doc_id, hash, n_chunks, CASE WHEN n = 'new' THEN 2 ELSE 1 END::BIGINT AS indexed_in
+FROM live JOIN counts ON id = n || '|' || doc_id
+"""
+INDEXED_REPORT_SQL = f"""{_RUNS}
+SELECT CASE WHEN status IN ('NEW', 'CHANGED') THEN 'LOADED' ELSE status END AS action, count(*) AS documents,
+       sum(CASE WHEN status IN ('NEW', 'CHANGED') THEN a.n_chunks ELSE 0 END)::BIGINT AS chunks_added,
+       sum(CASE WHEN status IN ('CHANGED', 'REMOVED') THEN o.n_chunks ELSE 0 END)::BIGINT AS chunks_deleted
+FROM diff LEFT JOIN counts a ON a.id = 'new|' || doc_id LEFT JOIN counts o ON o.id = 'old|' || doc_id
+GROUP BY 1
+"""
 
 
 QUERIES = {
@@ -260,5 +329,8 @@ QUERIES = {
     "content_hashes": (content_hashes, HASHES_SQL),
     "document_records": (document_records, RECORDS_SQL),
     "upload_triage": (upload_triage, TRIAGE_SQL),
-    "document_listing": (document_listing, None),
+    "document_listing": (document_listing, LISTING_SQL),
+    "indexed_chunks": (indexed_chunks, INDEXED_CHUNKS_SQL),
+    "indexed_manifest": (indexed_manifest, INDEXED_MANIFEST_SQL),
+    "indexed_report": (indexed_report, INDEXED_REPORT_SQL),
 }

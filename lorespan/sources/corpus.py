@@ -37,14 +37,18 @@ def list_files(spark: SparkSession, path: str, types=ALLOWED_TYPES) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", type_glob(types)).load(path)
 
 
-def list_documents(spark: SparkSession, path: str, types=ALLOWED_TYPES) -> DataFrame:
-    """``(name, size, modified)``, newest first; file contents are not read."""
-    files = list_files(spark, path, types)
+def listing(files: DataFrame) -> DataFrame:
+    """``(name, size, modified)`` of ``files(path, modificationTime, length)``, newest first."""
     return (files.select(base_name(F.col("path")).alias("name"), F.col("length").alias("size"),
                          F.unix_timestamp("modificationTime").alias("modified"))
             .orderBy(F.desc("modified"), F.asc("name")))
 
 
+def list_documents(spark: SparkSession, path: str, types=ALLOWED_TYPES) -> DataFrame:
+    """The listing of a folder; file contents are not read."""
+    return listing(list_files(spark, path, types))
+
+
 def source_records(files: DataFrame, root: str, source_type: str = "local_file",
                    permission_scope: str = "public", source_url: str | None = None,
                    title: str | None = None) -> DataFrame:
