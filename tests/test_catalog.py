@@ -5,13 +5,14 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from lorespan.catalog import CATALOG
 from tools import check
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(CATALOG))
 def test_query(spark, name):
     got, want, have, need = check.compare(spark, FOLDER, name)
     assert got, "no rows"
