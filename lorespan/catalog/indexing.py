@@ -79,7 +79,7 @@ newlines AS (SELECT doc_id, hash, unnest(string_split(text, chr(10))) AS text,
 def manifest_diff(spark, d):
     diff = diff_manifest(_current(spark, d), _manifest(spark, d))
     return diff.select("doc_id", "status", "hash", "old_hash",
-                       F.size("old_chunk_ids").cast("long").alias("n_old_chunks"))
+                       "n_old_chunks")
 
 
 DIFF_SQL = f"WITH {_STATE} SELECT doc_id, status, hash, old_hash, n_old AS n_old_chunks FROM diff"
@@ -102,7 +102,7 @@ def updated_chunks(spark, d):
     touched = diff.where("status in ('NEW', 'CHANGED')").select("doc_id")
     fresh = _line_chunks(_current(spark, d).select("doc_id", "hash", "text")
                          .join(touched, "doc_id", "left_semi"))
-    after = apply_chunks(_line_chunks(_previous_texts(spark, d)), diff, fresh)
+    after = apply_chunks(_line_chunks(_previous_texts(spark, d)), diff, _manifest(spark, d), fresh)
     return after.select("chunk_id", "text")
 
 

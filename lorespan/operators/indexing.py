@@ -28,18 +28,19 @@ def diff_manifest(current: DataFrame, manifest: DataFrame) -> DataFrame:
     """Compare ``(doc_id, hash)`` with the manifest.
 
     Records of other origins (ids without ``file:``) are not removed when the
-    listing does not hold them.  Only ids and hashes shuffle, never content.
+    listing does not hold them.  Only ids, hashes and the number of chunks of a
+    record shuffle, never its chunk ids or content.
     """
     now = current.select("doc_id", F.col("hash").alias("hash"))
     old = manifest.select("doc_id", F.col("hash").alias("old_hash"),
-                          F.col("chunk_ids").alias("old_chunk_ids"))
+                          F.coalesce(F.size("chunk_ids"), F.lit(0)).cast("long").alias("n_old_chunks"))
     status = (F.when(F.col("old_hash").isNull(), NEW)
               .when(F.col("hash").isNull(),
                     F.when(F.startswith("doc_id", F.lit("file:")), REMOVED).otherwise(KEPT))
               .when(F.col("hash") == F.col("old_hash"), UNCHANGED)
               .otherwise(CHANGED))
     return (now.join(old, "doc_id", "full_outer")
-            .select("doc_id", status.alias("status"), "hash", "old_hash", "old_chunk_ids"))
+            .select("doc_id", status.alias("status"), "hash", "old_hash", "n_old_chunks"))
 
 
 def to_index(docs: DataFrame, diff: DataFrame) -> DataFrame:
@@ -53,15 +54,16 @@ def removed_documents(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return gone.join(current.select("doc_id"), "doc_id", "left_anti")
 
 
-def stale_chunk_ids(diff: DataFrame) -> DataFrame:
-    return (diff.where(F.col("status").isin(CHANGED, REMOVED))
-            .select(F.explode("old_chunk_ids").alias("chunk_id")))
+def stale_chunk_ids(diff: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The chunk ids of the records that were replaced or removed."""
+    gone = diff.where(F.col("status").isin(CHANGED, REMOVED)).select("doc_id")
+    return manifest.join(gone, "doc_id", "left_semi").select(F.explode("chunk_ids").alias("chunk_id"))
 
 
-def apply_chunks(chunks: DataFrame, diff: DataFrame, new_chunks: DataFrame) -> DataFrame:
+def apply_chunks(chunks: DataFrame, diff: DataFrame, manifest: DataFrame, new_chunks: DataFrame) -> DataFrame:
     """The chunk table after the run: stale ids out, new rows in.  Chunk ids are
     unique, so the anti-join has no heavy key even for a very large document."""
-    left = chunks.join(stale_chunk_ids(diff), "chunk_id", "left_anti")
+    left = chunks.join(stale_chunk_ids(diff, manifest), "chunk_id", "left_anti")
     return left.unionByName(new_chunks, allowMissingColumns=True)
 
 
@@ -108,7 +110,7 @@ def manifest_from(records: DataFrame, chunks: DataFrame, diff: DataFrame, manife
 def run_report(diff: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents and chunks per action.  A document to index without chunks is SKIPPED."""
     made = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("made"))
-    old = F.coalesce(F.size("old_chunk_ids"), F.lit(0))
+    old = F.coalesce("n_old_chunks", F.lit(0))
     indexed = F.col("status").isin(NEW, CHANGED)
     action = (F.when(indexed & F.col("made").isNull(), F.lit("SKIPPED"))
               .when(indexed, F.lit("LOADED")).otherwise(F.col("status")))

@@ -48,7 +48,7 @@ def test_manifest_diff(spark):
     assert [r.doc_id for r in indexing.removed_documents(current, manifest).collect()] == ["file:gone"]
     chunks = spark.createDataFrame([(c,) for c in ["s", "c1", "c2", "g", "n", "e"]], "chunk_id string")
     fresh = spark.createDataFrame([("c9",)], "chunk_id string")
-    assert sorted(r.chunk_id for r in indexing.apply_chunks(chunks, diff, fresh).collect()) == ["c9", "n", "s"]
+    assert sorted(r.chunk_id for r in indexing.apply_chunks(chunks, diff, manifest, fresh).collect()) == ["c9", "n", "s"]
     made = spark.createDataFrame([("file:new",), ("file:new",), ("file:changed",)], "doc_id string")
     report = {r.action: (r.documents, r.chunks_added, r.chunks_deleted)
               for r in indexing.run_report(diff, made).collect()}
