@@ -135,8 +135,16 @@ def _local_step(make, k: int, m: int):
                     else:
                         s = tokens.packed(a, b)
                 packed.append(s)
-            # What is decided already needs no meeting place and is dealt evenly.
-            minimiser[kind == 1] = mix(starts[kind == 1].astype(np.uint64) + np.uint64(block))
+            # What is decided already needs no meeting place: runs that go on in the next one
+            # become one row, and a block's rows go to one bucket.
+            done = np.flatnonzero(kind == 1)
+            on = np.append(False, (done[1:] == done[:-1] + 1) & (row[done[1:]] == row[done[:-1]])
+                           & (starts[done[1:]] == ends[done[:-1]]))[:len(done)]
+            heads = np.flatnonzero(~on)
+            lasts = np.append(heads[1:], len(done))[:len(heads)] - 1
+            ends[done[heads]] = ends[done[lasts]]
+            kind[done[on]] = 2
+            minimiser[done] = mix(np.array([block], np.uint64))[0]
             sent = np.flatnonzero(kind < 2)
             also = [np.array(more[i], np.int64).tobytes() if i in more else None for i in sent.tolist()]
             out = [kind[sent], minimiser[sent].view(np.int64), np.full(len(sent), block), key_of[sent], rows[row][sent].astype(np.int32),
