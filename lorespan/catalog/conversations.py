@@ -7,7 +7,7 @@ from lorespan.catalog.sql import collapse, strip
 from lorespan.functions.clock import epoch_seconds
 from lorespan.operators.conversations import (
     append_turns, detail, earlier_messages, history, list_for, prune, recent_messages,
-    refresh_titles, sidebar, titles,
+    refresh_titles, save_turns, sidebar, titles,
 )
 from lorespan.operators.retrieval import with_history
 from lorespan.session import load_table
@@ -55,6 +55,57 @@ APPENDED_SQL = KEPT_SQL.replace("r <= 4", "r <= 3").replace(
     "FROM conversations)", "FROM conversations WHERE role <> 'assistant' OR trim(text) <> '')")
 
 
+def _saved(spark, d):
+    said = _said(spark, d)
+    reply = said.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    owner = F.concat(F.lit("o"), F.col("conv_id") % 7)
+    new = said.where("role = 'user'").join(reply, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.when(F.col("turn") % 5 == 4, "x").otherwise(owner).alias("owner_id"), F.col("text").alias("question"),
+        "answer", (F.col("conv_id") * 10 + F.col("turn") + 1000).alias("asked_at"))
+    meta = said.where("conv_id % 3 = 0").select(
+        "conv_id", F.lit("old").alias("title"), F.col("conv_id").alias("updated_at"), owner.alias("owner_id"),
+        F.col("conv_id").alias("seq")).distinct()
+    return save_turns(meta, said.where("role = 'system'"), new, 3, 40)
+
+
+def saved_turns(spark, d):
+    """Conversations and messages after the turns of a day; some are of another's conversation."""
+    meta, messages, _ = _saved(spark, d)
+    shown = messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+                                            lambda m: F.concat_ws(":", m["role"], m["text"])), "|").alias("messages"))
+    return meta.drop("seq").join(shown, "conv_id", "left")
+
+
+def refused_turns(spark, d):
+    return _saved(spark, d)[2].select("conv_id", "turn", "owner_id")
+
+
+_SAVED = """
+WITH n AS (SELECT u.conv_id, u.turn, CASE WHEN u.turn % 5 = 4 THEN 'x' ELSE 'o' || (u.conv_id % 7) END AS owner_id,
+                  u.text AS question, coalesce(a.text, '') AS answer, u.conv_id * 10 + u.turn + 1000 AS asked_at
+           FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+           WHERE u.role = 'user'),
+m AS (SELECT DISTINCT conv_id, conv_id AS at, 'o' || (conv_id % 7) AS owner FROM conversations WHERE conv_id % 3 = 0),
+f AS (SELECT conv_id, min_by(owner_id, turn) AS owner, min_by(asked_at, turn) AS at FROM n WHERE trim(question) <> '' GROUP BY 1),
+o AS (SELECT conv_id, coalesce(m.owner, f.owner) AS owner_id, coalesce(m.at, f.at) AS at, m.owner IS NULL AS fresh FROM f FULL JOIN m USING (conv_id)),
+ok AS (SELECT n.* FROM n JOIN o USING (conv_id, owner_id) WHERE trim(question) <> '')
+"""
+SAVED_SQL = f"""{_SAVED},
+done AS (SELECT * FROM ok WHERE trim(answer) <> ''),
+l AS (SELECT conv_id, max_by(trim(question), turn) AS q, max_by(asked_at, turn) AS at FROM done GROUP BY 1),
+meta AS (SELECT conv_id, owner_id, coalesce(l.at, o.at) AS updated_at,
+                coalesce(CASE WHEN length(q) > 40 THEN left(q, 40) || '...' ELSE q END, CASE WHEN fresh THEN 'New chat' ELSE 'old' END) AS title
+         FROM o LEFT JOIN l USING (conv_id) ORDER BY updated_at DESC LIMIT 40),
+said AS (SELECT conv_id, turn, 'user' AS role, trim(question) AS text FROM done
+         UNION ALL SELECT conv_id, turn + 1, 'assistant', trim(answer) FROM done
+         UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE role = 'system'),
+shown AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS messages
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM said) WHERE r <= 3 GROUP BY 1)
+SELECT conv_id, title, updated_at, owner_id, messages FROM meta LEFT JOIN shown USING (conv_id)
+"""
+REFUSED_SQL = f"{_SAVED} SELECT conv_id, turn, owner_id FROM n ANTI JOIN ok USING (conv_id, turn)"
+
+
 def history_windows(spark, d):
     """The last two question-answer pairs."""
     return history(_said(spark, d), 2).select("conv_id", _flat(F.col("messages")).alias("messages"))
@@ -189,6 +240,8 @@ FROM customer LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) ON conv_id
 QUERIES = {
     "kept_messages": (kept_messages, KEPT_SQL),
     "appended_messages": (appended_messages, APPENDED_SQL),
+    "saved_turns": (saved_turns, SAVED_SQL),
+    "refused_turns": (refused_turns, REFUSED_SQL),
     "history_windows": (history_windows, HISTORY_SQL),
     "message_lists": (message_lists, MESSAGE_LISTS_SQL),
     "conversation_titles": (conversation_titles, TITLES_SQL),

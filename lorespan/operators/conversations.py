@@ -10,13 +10,13 @@ from lorespan.fixed_values import (
     CONVERSATIONS_KEPT, CONVERSATIONS_LISTED, DEFAULT_TITLE, HISTORY_TURNS,
     MESSAGES_KEPT, SIDEBAR_KEPT,
 )
-from lorespan.functions.text import blank, summary_of, title_of
-from lorespan.operators.ordering import keep_first
+from lorespan.functions.text import blank, strip, summary_of, title_of
+from lorespan.operators.ordering import keep_first, number_rows
 
 MESSAGE = "struct<role:string,content:string>"
 
 
-def _in_order(*extra: Column) -> Column:
+def _in_order() -> Column:
     """Messages of a group as an ordered array; groups are cut to size before."""
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return F.transform(rows, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
@@ -58,6 +58,37 @@ def prune(meta: DataFrame, messages: DataFrame, keep: int = CONVERSATIONS_KEPT):
     return kept, messages.join(kept.select("conv_id"), "conv_id", "left_semi")
 
 
+def save_turns(meta: DataFrame, messages: DataFrame, new: DataFrame, keep: int = MESSAGES_KEPT,
+               conversations: int = CONVERSATIONS_KEPT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(meta, messages, refused)`` after ``new(conv_id, turn, owner_id, question, answer, asked_at)``.
+
+    A turn with a blank question or of another's conversation is refused.  A new
+    conversation belongs to whoever asks first in it.  Question and answer are added
+    as turns ``turn`` and ``turn + 1`` and give the title and the time; a turn without
+    an answer only opens its conversation.  The last ``keep`` messages stay, and the
+    ``conversations`` updated last.
+    """
+    asked = new.where(~blank(F.col("question")))
+    first = asked.groupBy("conv_id").agg(F.min_by("owner_id", "turn").alias("_first"), F.min_by("asked_at", "turn").alias("_at"))
+    owners = first.join(meta.select("conv_id", F.col("owner_id").alias("_set")), "conv_id", "left").select(
+        "conv_id", "_at", F.coalesce("_set", "_first").alias("_owner"), F.col("_set").isNull().alias("_fresh"))
+    judged = new.join(owners.select("conv_id", "_owner"), "conv_id", "left").withColumn(
+        "_ok", ~blank(F.coalesce("question", F.lit(""))) & F.col("owner_id").eqNullSafe(F.col("_owner")))
+    answered = judged.where(F.col("_ok") & ~blank(F.coalesce("answer", F.lit(""))))
+    said = answered.select("conv_id", F.inline(F.array(
+        F.struct(F.col("turn"), F.lit("user").alias("role"), strip(F.col("question")).alias("text")),
+        F.struct((F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), strip(F.col("answer")).alias("text")))))
+    last = answered.groupBy("conv_id").agg(
+        title_of(F.max_by("question", "turn")).alias("_title"), F.max_by("asked_at", "turn").alias("_last"))
+    opened = number_rows(owners.where("_fresh"), "_n", ["_at", "conv_id"]).select(
+        "conv_id", F.lit(DEFAULT_TITLE).alias("title"), F.col("_at").alias("updated_at"), F.col("_owner").alias("owner_id"),
+        (F.col("_n") + (meta.agg(F.max("seq")).first()[0] or 0)).alias("seq"))
+    now = meta.select(opened.columns).unionByName(opened).join(last, "conv_id", "left").select(
+        "conv_id", F.coalesce("_title", "title").alias("title"), F.coalesce("_last", "updated_at").alias("updated_at"), "owner_id", "seq")
+    kept, shown = prune(now, append_turns(messages, said.select(messages.columns), keep), conversations)
+    return kept, shown, judged.where(~F.col("_ok")).select(new.columns)
+
+
 def list_for(meta: DataFrame, owner: str | int | None = None, n: int = CONVERSATIONS_LISTED) -> DataFrame:
     """Newest ``n`` conversations of one owner, or of every owner at once."""
     order = [F.desc("updated_at"), F.asc("seq")]

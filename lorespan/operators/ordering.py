@@ -23,15 +23,15 @@ def number_rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     up; the rows themselves never meet in one task, however sparse the order is.
     """
     placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _PLACE_BITS)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+                         .withColumn("_row_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_row_at", _PLACE_BITS)
+    counts = placed.groupBy(part.alias("_row_part")).agg(F.count(F.lit(1)).alias("_row_n"))
+    before = W.orderBy("_row_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_row_part", F.coalesce(F.sum("_row_n").over(before), F.lit(0)).alias("_row_start"))
     # A row for each partition of the written table.
-    return (placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-            .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1) + 1)
-            .drop("_part", "_start", "_at"))
+    return (placed.withColumn("_row_part", part).join(F.broadcast(starts), "_row_part")
+            .withColumn(name, F.col("_row_start") + F.col("_row_at").bitwiseAND((1 << _PLACE_BITS) - 1) + 1)
+            .drop("_row_part", "_row_start", "_row_at"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
@@ -53,9 +53,9 @@ def running_total(df: DataFrame, keys: list[str], position: str, value: str, nam
     keyed = df.withColumn("_span", F.floor(F.col(position) / F.lit(span)))
     totals = keyed.groupBy(*keys, "_span").agg(F.sum(value).alias("_t"))
     earlier = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_span", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
+    starts = totals.select(*keys, "_span", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_row_start"))
     inside = (W.partitionBy(*keys, "_span").orderBy(position)
               .rowsBetween(W.unboundedPreceding, -1))
     return (keyed.join(starts, [*keys, "_span"])
-            .withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .drop("_span", "_start"))
+            .withColumn(name, F.col("_row_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .drop("_span", "_row_start"))
