@@ -147,11 +147,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     """
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
     out = _joined(keyed, hits(docs, benchmark, size).drop("items"))
-    # gaps[i] stands before word i, gaps[n] after the last.
+    n_hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)")
+    out = out.where(F.col("spans").isNull() | (word_count(spaced(F.col("row.text"))) > n_hit))
+    # The first gap stands before the first word, each other one after a word.
     words, gaps = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.split("row.text", WORD, -1)
-    kept = F.expr("""
-        concat(gaps[0], array_join(transform(sequence(0, size(words) - 1), i ->
-            if(exists(spans, x -> i >= x.s and i < x.e), '', concat(words[i], gaps[i + 1]))), ''))""")
-    hit = (out.where("spans is not null").withColumns({"words": words, "gaps": gaps})
-           .withColumn("row", F.col("row").withField("text", kept)).where(spaced(F.col("row.text")) != ""))
-    return out.where("spans is null").select("row.*").unionByName(hit.select("row.*"))
+    pairs = F.arrays_zip(words.alias("word"), F.slice(gaps, 2, F.size(words)).alias("gap"))
+    kept = F.transform(pairs, lambda z, i: F.when(
+        F.exists("spans", lambda x: (i >= x["s"]) & (i < x["e"])), "").otherwise(F.concat(z["word"], z["gap"])))
+    text = F.concat(F.element_at(gaps, 1), F.array_join(kept, ""))
+    row = F.col("row")
+    return out.select(F.when(F.col("spans").isNull(), row).otherwise(row.withField("text", text)).alias("row")).select("row.*")

@@ -200,9 +200,9 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,
                   'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))),
            concat(a, array(x))))""")
-    text = F.expr("""concat(array_join(transform(m, (x, i) -> concat(
-        substring(row.text, cast(if(i = 0, 0, m[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, m[i - 1].end) as int)),
-        '[', upper(x.kind), ']')), ''), substring(row.text, cast(element_at(m, -1).end + 1 as int)))""")
+    text = F.expr("""concat(array_join(zip_with(m, concat(array(0L), m.end), (x, before) -> if(x is null, '', concat(
+        substring(row.text, cast(before + 1 as int), cast(x.start - before as int)), '[', upper(x.kind), ']'))), ''),
+        substring(row.text, cast(element_at(m, -1).end + 1 as int)))""")
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
     rows = _with_spans(keyed, lists).withColumn("m", merged)
     return rows.select(F.when(F.size("m") > 0, F.col("row").withField("text", text)).otherwise(F.col("row")).alias("row")).select("row.*")
