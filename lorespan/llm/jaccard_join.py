@@ -31,8 +31,10 @@ from lorespan.llm.textarrays import gram_hashes, row_slices, utf8, word_hashes,
 from lorespan.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A shingle of this part of the texts comes last in every prefix: at most the mean text length over it.
-COMMON = 0.005
+#: A shingle of this part of the texts comes last in every prefix: at most twice the mean set size over it.
+COMMON = 0.0005
+#: Times that sets without a centre look for one; more make fewer groups, not other results.
+STAR_ROUNDS = 1
 #: Bytes of text hashed at a time.
 SLICE_BYTES = 1024 * 1024
 
@@ -92,7 +94,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     Each batch of rows reports the shingles that are that common in it; as a shingle
     common in all is common in some batch, the reports hold every such shingle.
-    Their number is bounded by the mean length over ``COMMON``, whatever the input.
+    Their number is at most twice the mean set size over ``COMMON``, whatever the input.
     """
     def report(batches):
         for batch in batches:
@@ -201,12 +203,20 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     sets = sets.drop("prefix")
 
     # Centres: the set that most of a set's lists name first, among those of about its size.
-    heads = entries.groupBy("item", "level").agg(F.min("id").alias("b"))
-    named = (entries.join(heads, ["item", "level"]).where("id <> b").groupBy("id", "b").count()
-             .groupBy("id").agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b"))
-    stars = cut_lineage(_near(named, sets, percent))
-    roots = stars.join(stars.select(F.col("a").alias("b")), "b", "left_anti")  # centres that have none themselves
-    groups = cut_lineage(roots.select(F.col("a").alias("id"), F.col("b").alias("g")))
+    # Sets that found none, or one that follows another itself, look again among each other.
+    left, stars, roots = entries, None, None
+    for _ in range(STAR_ROUNDS):
+        heads = left.groupBy("item", "level").agg(F.min("id").alias("b"))
+        named = (left.join(heads, ["item", "level"]).where("id <> b").groupBy("id", "b").count()
+                 .groupBy("id").agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b"))
+        found = cut_lineage(_near(named, sets, percent))
+        tops = cut_lineage(found.join(found.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+        stars = found if stars is None else stars.unionByName(found)
+        roots = tops if roots is None else roots.unionByName(tops)
+        taken = tops.select(F.col("a").alias("id")).unionByName(tops.select(F.col("b").alias("id"))).distinct()
+        left = left.join(taken, "id", "left_anti")
+    stars = stars.distinct()
+    groups = roots.select(F.col("a").alias("id"), F.col("b").alias("g"))
     member = entries.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
 
     # Blocks of a list meet unless place or size forbids every pair between them.
@@ -221,7 +231,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
              .groupBy("g").agg(F.expr(f"max(n + m - 2 * {_overlap('n', 'm', percent)})").alias("reach"), F.expr("max(n - m)").alias("more")))
     side = lambda s: reach.select(F.col("g").alias(s), F.col("reach").alias(f"reach_{s}"), F.col("more").alias(f"more_{s}"))
     met = met.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    slack = "coalesce(reach_a, 0) + coalesce(reach_b, 0) + greatest(coalesce(more_a, 0), 0) + greatest(coalesce(more_b, 0), 0)"
+    # What is allowed grows with the sizes, but for rounding by less than 2.
+    slack = "2 + coalesce(reach_a, 0) + coalesce(reach_b, 0) + greatest(coalesce(more_a, 0), 0) + greatest(coalesce(more_b, 0), 0)"
     met = cut_lineage(_near(met, sets, percent, slack))
 
     wanted = (stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))
@@ -236,21 +247,29 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     distance = counted.select("a", "b", "distance")
     delta = groups.select(F.col("id").alias("a"), F.col("g").alias("b")).join(distance, ["a", "b"]).select(
         F.col("a").alias("id"), F.col("distance").alias("delta")).distinct()
-    near = (member.join(root, "id", "left").join(delta, "id", "left")
-            .select("item", "id", "n", "pos", "g", F.coalesce("root", "id").alias("root"), F.coalesce("delta", F.lit(0)).alias("delta")))
-    grouped = groups.select("g").distinct()
-    has = lambda s: grouped.select(F.col("g").alias(s), F.lit(True).alias(f"has_{s}"))
-    open_pairs = (met.join(has("a"), "a", "left").join(has("b"), "b", "left").where("has_a or has_b").join(distance, ["a", "b"])
-                  .select(F.col("a").alias("g_x"), F.col("b").alias("g_y"), "distance").distinct())
-    p, q = (near.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "g", "root", "delta"))) for s in "xy")
+    named = (sets.select("id", "n").join(groups, "id", "left").join(root, "id", "left").join(delta, "id", "left")
+             .select("id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("root", "id").alias("root"),
+                     F.coalesce("delta", F.lit(0)).alias("delta")))
+    spans = named.groupBy("g").agg(F.max("delta").alias("far"), F.max("n").alias("high"), F.count("*").alias("size"),
+                                   F.max(F.when(F.col("id") == F.col("g"), F.col("root"))).alias("root"))
+    ends = lambda s: spans.select(*(F.col(c).alias(f"{c}_{s}") for c in ("g", "far", "high", "size", "root")))
+    open_pairs = (met.join(distance, ["a", "b"]).select(F.col("a").alias("g_x"), F.col("b").alias("g_y"), "distance").distinct()
+                  .join(ends("x"), "g_x").join(ends("y"), "g_y").where("root_x <> root_y and size_x + size_y > 2").drop("root_x", "root_y"))
+    # First the members of either group that can be near the other group at all, then their pairs.
+    reaches = "distance - delta_{0} - far_{1} <= 2 + n_{0} + high_{1} - 2 * " + _overlap("n_{0}", "high_{1}", percent)
+    of = lambda s: named.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "g", "root", "delta")))
     pair = [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
-    fits = f"""id_x <> id_y and root_x <> root_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x
-               and least(n_x - pos_x, n_y - pos_y) >= {_overlap('n_x', 'n_y', percent)}"""
-    more = (open_pairs.join(p, "g_x").join(q, ["item", "g_y"])
-            .where(f"{fits} and distance - delta_x - delta_y <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(pair))
+    alike = f"root_x <> root_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
+    x = of("x").join(open_pairs, "g_x").where(reaches.format("x", "y")).select("g_x", "g_y", "distance", "id_x", "n_x", "root_x", "delta_x")
+    y = of("y").join(open_pairs, "g_y").where(reaches.format("y", "x")).select("g_x", "g_y", "id_y", "n_y", "root_y", "delta_y")
+    more = x.join(y, ["g_x", "g_y"]).where(
+        f"{alike} and distance - delta_x - delta_y <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(pair)
     # A member that is not linked to its centre does not share the centre's answers.
     loose = roots.join(counted.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("id_x"))
-    more = more.unionByName(p.join(loose, "id_x", "left_semi").join(q, "item").where(fits).select(pair)).distinct()
+    p, q = (entries.join(named.select("id", "root"), "id").select(
+        "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root"))) for s in "xy")
+    more = more.unionByName(p.join(loose, "id_x", "left_semi").join(q, "item").where(
+        f"id_x <> id_y and {alike} and least(n_x - pos_x, n_y - pos_y) >= {_overlap('n_x', 'n_y', percent)}").select(pair)).distinct()
     more = more.join(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut_lineage(_near(more, sets, percent))
     if more.agg(F.count("*")).first()[0]:
