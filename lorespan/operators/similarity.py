@@ -10,6 +10,8 @@ Four ways, one result shape ``(query keys…, item_id, score, rank)``:
   every fragment pair meets once in a bounded cell (fragment-and-replicate), so
   no task sees more than one cell and only ``k`` rows per query leave it.
 * ``lsh`` - as ``grid``, but rows meet only where random-hyperplane codes agree.
+  A query also reads the codes beside its own in which its least certain bits are
+  turned, and one that finds too few items reads them all.
   A code shared by a large part of the rows is cut into fragments just the same.
 
 In the last two, rows with equal vectors are scored once for all of them.
@@ -272,9 +274,9 @@ def _whole(items: DataFrame, queries: DataFrame, cell_items: int, cell_queries:
                  for df in (items, queries))
 
 
-def _by_code(items: DataFrame, queries: DataFrame, codes, n_codes: int,
+def _by_code(items: DataFrame, queries: DataFrame, codes, probed, n_codes: int,
              cell_items: int, cell_queries: int):
-    """One row per code of a vector; codes on one side only fall away.
+    """One row per code of an item and per probed code of a query; codes on one side only fall away.
 
     The table of cuts has at most ``n_codes`` rows, a number the options fix.
     """
@@ -282,7 +284,7 @@ def _by_code(items: DataFrame, queries: DataFrame, codes, n_codes: int,
         n = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
         return df.groupBy("code").agg(n.alias(name))
 
-    items, queries = (df.withColumn("code", F.explode(codes("vec"))) for df in (items, queries))
+    items, queries = (df.withColumn("code", F.explode(of("vec"))) for df, of in ((items, codes), (queries, probed)))
     cuts = cut_lineage(pieces(items, "i_cuts", cell_items).join(
         pieces(queries, "q_cuts", cell_queries), "code"))
     cuts = F.broadcast(cuts) if n_codes <= CODES_BROADCAST else cuts
@@ -319,11 +321,12 @@ def _lowest_copies(items: DataFrame, n: int) -> DataFrame:
 
 
 def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
-                        schema: T.StructType, cut) -> DataFrame:
+                        schema: T.StructType, cut, whole=None) -> DataFrame:
     """Search once per distinct query vector, then give each query its rows.
 
     Copies on either side therefore cost no scoring.  Distinct vectors are told
-    apart by 128 bits of hash.
+    apart by 128 bits of hash.  With ``whole``, those that find fewer than ``k``
+    items by ``cut`` search again by it.
     """
     # Without its length an empty vector would hash as none does.
     length = F.coalesce(F.size("vec"), F.lit(-1))
@@ -332,13 +335,25 @@ def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequen
     distinct = marked.groupBy("_h1", "_h2").agg(F.any_value("vec").alias("vec"))
     keys = ["_h1", "_h2"]
     inner = T.StructType([T.StructField(c, T.LongType()) for c in keys] + schema.fields[-2:])
-    sides = cut(_lowest_copies(items, k), distinct)
-    best = _top(_by_cells(*sides, keys, k, inner), keys, k)
+    lowest = _lowest_copies(items, k)
+    best = _top(_by_cells(*cut(lowest, distinct), keys, k, inner), keys, k)
+    if whole:
+        best = cut_lineage(best)
+        full = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = cut_lineage(distinct.join(full, keys, "left_anti"))
+        if not short.isEmpty():
+            again = _top(_by_cells(*whole(lowest, short), keys, k, inner), keys, k)
+            best = best.join(full, keys, "left_semi").unionByName(again)
     return marked.select(*query_keys, *keys).join(best, keys).drop(*keys)
 
 
-def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
-    """Column function: one sign code per table, the table number in the high bits."""
+def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17, probes: int = 0):
+    """Column function: one sign code per table, the table number in the high bits.
+
+    ``probes`` adds, for each table, the codes in which one of the bits nearest to
+    their hyperplane is turned.
+    """
+    probes = min(probes, bits)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     weights = (1 << np.arange(bits, dtype=np.int64))
 
@@ -352,8 +367,12 @@ def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17):
             for r in np.flatnonzero(known):
                 v = vectors.iloc[r][:dim]
                 rows[r, :len(v)] = v
-        signs = (rows @ planes > 0).reshape(len(rows), tables, bits)
-        values = signs @ weights + (np.arange(tables, dtype=np.int64) << bits)
+        sides = (rows @ planes).reshape(len(rows), tables, bits)
+        values = (sides > 0) @ weights + (np.arange(tables, dtype=np.int64) << bits)
+        if probes:
+            nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
+            values = np.concatenate([values[:, :, None], values[:, :, None] ^ weights[nearest]], axis=2)
+            values = values.reshape(len(rows), -1)
         return pd.Series(list(values)).where(known, None)
 
     return run_once(codes)
@@ -364,7 +383,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
         exclude_self: bool = False, width: int | None = None,
         broadcast_bytes: int = BROADCAST_BYTES,
         cell_items: int | None = None, cell_queries: int | None = None,
-        tables: int = 8, bits: int = 8) -> DataFrame:
+        tables: int = 8, bits: int = 8, probes: int = 2) -> DataFrame:
     """Best ``k`` of ``items(item_id, vec)`` for each of ``queries(keys…, vec)``.
 
     Ids and query keys are unique; ``exclude_self`` compares the first key with
@@ -374,8 +393,8 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     ``auto`` is exact: it broadcasts the smaller side when its measured size fits
     and uses the grid when neither does.  ``width`` is the vector length where the
     caller knows it, which saves the measuring.
-    ``lsh`` is the approximate form; more ``tables`` raise recall, more ``bits``
-    lower the work.
+    ``lsh`` is the approximate form; more ``tables`` and ``probes`` raise recall, more
+    ``bits`` lower the work.  A query gets ``k`` items wherever there are that many.
     """
     query_keys = list(query_keys)
     items = items.select("item_id", "vec")
@@ -400,15 +419,16 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
         # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that.
         cell_items = cell_items or max(1, CELL_BYTES // (8 * width))
         sizes = cell_items, cell_queries or max(1, cell_items // 4)
-        if method == "grid":
-            def cut(i, q):
-                return _whole(i, q, *sizes)
-        else:
-            codes = hyperplane_codes(width, tables, bits)
+        def whole(i, q):
+            return _whole(i, q, *sizes)
+
+        codes, probed = (hyperplane_codes(width, tables, bits, probes=n) for n in (0, probes))
+
+        def near(i, q):
+            return _by_code(i, q, codes, probed, tables << bits, *sizes)
 
-            def cut(i, q):
-                return _by_code(i, q, codes, tables << bits, *sizes)
-        hits = _by_distinct_vector(items, queries, query_keys, want, schema, cut)
+        cut = (whole,) if method == "grid" else (near, whole)
+        hits = _by_distinct_vector(items, queries, query_keys, want, schema, *cut)
     else:
         raise ValueError(f"unknown method: {method}")
 

@@ -76,6 +76,24 @@ def test_lsh_recall_and_hot_code(spark):
     assert len(near) == len(exact) and len(exact & near) / len(exact) > 0.85
 
 
+def test_registered_lsh_recall(spark):
+    """The registered query against the exact one, on the tables it reads."""
+    from lorespan.catalog.similarity import approximate_neighbors, nearest_vectors
+
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        exact, near = ({(r.vec_id, r.neighbor_id) for r in query(spark, folder).collect()}
+                       for query in (nearest_vectors, approximate_neighbors))
+        assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.9
+
+
+def test_lsh_tops_up_short_queries(spark):
+    items = [(i, [1.0, 0.01 * i]) for i in range(5)]
+    a, b = tables(spark, items, [(0, [-1.0, -0.1]), (1, [1.0, 0.0])])
+    for bits in (8, 58):
+        got = {(r.query_id, r.item_id, r["rank"]) for r in knn(a, b, 5, method="lsh", tables=2, bits=bits).collect()}
+        assert got == brute(items, [(0, [-1.0, -0.1]), (1, [1.0, 0.0])], 5)
+
+
 @pytest.mark.parametrize("form", FORMS[:3] + FORMS[5:])
 def test_many_copies(spark, form):
     """A third of the rows are copies of one vector."""
