@@ -98,3 +98,39 @@ def test_periodic_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in remove_repeated_bytes(df).collect()} == {1: 59_998, 2: 39_998, 3: 120}
     assert {r.doc_id: r.n_removed for r in remove_repeated_windows(df).collect()} == {1: 0, 2: 0, 3: 60}
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_hot_edges_and_rows_without_id_are_spread(spark, kind):
+    """No bucket or block holds much more than its share, and the results are whole."""
+    from pyspark.sql import functions as F
+
+    from lorespan.llm import substring_dedup, suffix_dedup
+    from lorespan.llm.superkmers import ByteTokens, WordTokens, remove_repeats
+
+    k, m, block, find, tokens = ((30, 12, 4_000, suffix_dedup._find(30), ByteTokens) if kind == "bytes" else
+                                 (10, 4, 8_000, substring_dedup._find(10), WordTokens))
+    rnd = random.Random(4)
+
+    def own():
+        return " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(1000)) for _ in range(14))
+
+    passage = " ".join(f"p{i}q{i * 7}" for i in range(30))
+    rows = [(None if i % 3 == 0 else i, f"{own()} {passage} {own()}") for i in range(800)]
+
+    def bounded(strings, keys):
+        assert sum(map(len, strings)) < 5 * block
+        return find(strings, keys)
+
+    class Bounded(tokens):
+        def __init__(self, column):
+            super().__init__(column)
+            assert len(self.data) < 5 * block
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeats(df, F.col("text"), Bounded, bounded, k, m, block_bytes=block).collect()
+    got = [(r.doc_id, r["size"], r.n_removed, r.n_spans, r.kept_sha256) for r in got]
+    if kind == "bytes":
+        assert sorted(got, key=repr) == brute_bytes(rows, k)
+    else:
+        assert sorted(((*r[:3], r[4]) for r in got), key=repr) == brute_words(rows, k)
