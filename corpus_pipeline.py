@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm.decontamination import remove_spans
-from lorespan.llm.jaccard_join import similar_components
+from lorespan.llm.jaccard_join import similar_rows
 from lorespan.llm.packing import pack_documents
 from lorespan.llm.pii import redact
 from lorespan.llm.quality import keep_quality
@@ -20,13 +20,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles connect at a similarity of 0.8, the one with the smallest id stays.
+    """Of rows that five-word shingles connect at a similarity of 0.8, one stays: that with the smallest id.
 
-    Rows that share that id stay together; documents without an id stay where no other of their group has one.
+    A row without an id stays where no other of its group has one, the one whose text has the least hash.
+    Rows without words are in no group and all stay.
     """
-    first = (similar_components(docs, size=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("first_id")).distinct())
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
+    names = similar_rows(docs, size=5, percent=80).where("root is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = names.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n")).alias("f"))
+    first = cut_lineage(first.select(F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"), F.col("f.n").alias("copies")))
+
+    def chosen(firsts: DataFrame) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(firsts["first_id"]) & (F.xxhash64(docs["text"]) == firsts["first_hash"])
+        return docs.join(firsts, same, "left_semi")
+
+    wordless = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = chosen(first.where("copies = 1")).unionByName(wordless)
+    repeated = cut_lineage(first.where("copies > 1"))
+    if not repeated.isEmpty():
+        # Rows with one id and one text.
+        rows = chosen(repeated).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+        out = out.unionByName(rows.select("row.*"))
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

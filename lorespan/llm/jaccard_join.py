@@ -192,6 +192,18 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     nothing; rows with one id are documents of their own; a null id never names a
     component of others; other columns are ignored; an empty table gives no row.
     """
+    rows = similar_rows(docs, size, percent)
+    linked = rows.where("n_shingles > 0")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return linked.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
+        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, hash, n_shingles, root`` of each row: its text's hash, and a number of its component.
+
+    Rows without words have no number.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _profiles(docs, size, percent, common_shingles(docs, size))
     first = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
@@ -282,7 +294,5 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     names = rows.where("n > 0").join(first.withColumnRenamed("id", "set_id"), "key").join(
         root.select(F.col("id").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = names.select("doc_id", "n", "root").join(least, "root").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return names.select("doc_id", "hash", F.col("n").alias("n_shingles"), "root").unionByName(
+        rows.where("n = 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root")))

@@ -53,6 +53,23 @@ def test_near_duplicates(stages):
     assert set(rows(stages, 2)) == {i for i, _, c in brute_components(before, 5, 80) if i == c}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, repeated rows, and an id that two texts share."""
+    def text(c, end=""):
+        return " ".join(f"{c}{i}" for i in range(40)) + end
+
+    docs = [(None, "", "k"), (None, "", "k"), (None, text("a"), "k"), (None, text("a", " x"), "k"),   # no id in the group
+            (1, text("b"), "k"), (None, text("b", " x"), "k"),                                      # one with an id
+            (2, text("c"), "k"), (2, text("c"), "k"), (2, text("c"), "l"),                           # repeated rows
+            (3, text("d"), "k"), (3, text("e"), "k"), (2, text("e", " x"), "k"), (None, text("f"), "k"), (None, text("f"), "k")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, DATA).collect()]
+    a = [r for r in got if r[0] is None and r[1].startswith("a0")]
+    assert len(a) == 1
+    assert sorted((r for r in got if r not in a), key=repr) == sorted([
+        *docs[:2], docs[4], docs[6], docs[9], docs[11], docs[12]], key=repr)
+
+
 def test_decontamination(spark, stages):
     windows = set()
     for r in load_table(spark, DATA, "benchmark").collect():
