@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lorespan.session import cut_lineage
 
 BASE = ("email", "ip", "card", "phone")
-#: Kind, what a text must contain, and the pattern.  A lookbehind keeps the search linear: a match
+#: Kind, what a text must contain (a character, a pattern, or "" for a digit), and the pattern.  A lookbehind keeps the search linear: a match
 #: starts where a run of its first class starts, or where the match before ended.
 PATTERNS = (
     ("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -26,7 +26,7 @@ PATTERNS = (
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("local", "", r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3}[ -])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])"),
     ("national", "-", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    ("hidden", "at", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64} ?(?:\(at\)|\[at\]|<at>) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|<dot>|\.) ?[a-z0-9-]{1,63}){1,4}"),
+    ("hidden", r"[(\[<][Aa][Tt][)\]>]", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64} ?(?:\(at\)|\[at\]|<at>) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|<dot>|\.) ?[a-z0-9-]{1,63}){1,4}"),
     ("person", ".", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. ?[A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30}){0,2}"),
 )
 KINDS = tuple(kind for kind, _, _ in PATTERNS)
@@ -78,7 +78,7 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
     rows = rows.select("*", *(
-        F.when(F.contains("text", F.lit(need)) if need else F.col("text").rlike("[0-9]"),
+        F.when(F.contains("text", F.lit(need)) if len(need) == 1 else F.col("text").rlike(need or "[0-9]"),
                F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"m_{kind}")
         for kind, need, pattern in PATTERNS))
     found = F.array(*(F.struct(

@@ -80,3 +80,10 @@ def test_plan_is_native_and_redaction_keeps_the_rest(spark):
         1: "mail [EMAIL] now, or call [PHONE].", 2: "nothing", 3: None, 4: "é [EMAIL]"}
     plan = candidate_spans(df)._jdf.queryExecution().executedPlan().toString() + pii_report(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hidden_addresses_in_upper_case(spark):
+    texts = ["JOHN [AT] EXAMPLE [DOT] COM", "jo <At> x <DOT> org", "JO (AT) X.ORG", "AT [A] T", "at"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.match) for r in candidate_spans(df).where("kind = 'hidden'").collect()}
+    assert got == {(0, texts[0]), (1, texts[1]), (2, texts[2])}
