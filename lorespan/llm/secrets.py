@@ -131,7 +131,7 @@ def trigrams_in(query) -> set[str]:
 
 def candidates(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
     """The documents that satisfy a query, from sorted postings."""
-    if query is True:
+    if query is True or isinstance(query, str) and not query.isascii():  # not indexed
         return np.arange(n)
     if isinstance(query, str):
         return postings.get(query, np.zeros(0, np.int64))

@@ -54,3 +54,11 @@ def test_every_match_satisfies_its_query():
                 found += 1
                 assert holds(query, text), (pattern, text)
     assert trigram_query("[0-9a-f]+") is True and candidates(True, {}, 2).tolist() == [0, 1]
+
+
+def test_rule_with_other_letters(spark):
+    from lorespan.llm.secrets import Rule
+
+    df = spark.createDataFrame([(1, "x Schlüssel=abc12"), (2, "Schlussel=abc12"), (3, None)], "doc_id long, text string")
+    rules = (Rule("key", "Schlüssel=[a-z0-9]+"), Rule("hex", "[0-9a-f]+", base=True))
+    assert {r.doc_id: r.n_added for r in scan_secrets(df, rules).collect()} == {1: 1, 2: 0, 3: 0}
