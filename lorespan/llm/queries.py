@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from lorespan.llm.decontamination import scan_report
+from lorespan.llm.fast_sketch import near_duplicates
 from lorespan.llm.jaccard_join import similar_components
 from lorespan.llm.media import media_columns
 from lorespan.llm.packing import pack_documents
@@ -126,6 +127,27 @@ def op10_packing(spark, d):
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_near_duplicates(spark, d):
+    return near_duplicates(load_table(spark, d, "documents"), size=3, percent=85)
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+c AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.r = e.a),
+m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r, d.doc_id) AS component_id,
+       coalesce(r, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, SUFFIX_SQL),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
@@ -137,4 +159,5 @@ QUERIES = {
     "op8_secrets": (op8_secrets, None),
     "op9_decontamination": (op9_decontamination, DECONTAMINATION_SQL),
     "op10_packing": (op10_packing, None),
+    "op11_near_duplicates": (op11_near_duplicates, NEAR_DUPLICATES_SQL),
 }
