@@ -6,6 +6,7 @@ import public_tokenizers
 
 from lorespan.llm.decontamination import scan_report
 from lorespan.llm.fast_sketch import near_duplicates
+from lorespan.llm.importance import resample
 from lorespan.llm.jaccard_join import similar_components
 from lorespan.llm.media import media_columns
 from lorespan.llm.packing import pack_documents
@@ -15,6 +16,7 @@ from lorespan.llm.secrets import scan_secrets
 from lorespan.llm.substring_dedup import remove_repeated_windows
 from lorespan.llm.suffix_dedup import remove_repeated_bytes
 from lorespan.llm.toxicity import toxicity_report
+from lorespan.llm.whitening import whiten
 from lorespan.session import load_table
 
 
@@ -148,6 +150,43 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op12_importance(spark, d):
+    return resample(load_table(spark, d, "documents"), load_table(spark, d, "benchmark"))
+
+
+# The table of the byte-wise CRC-32 follows from its polynomial in eight steps a byte.
+IMPORTANCE_SQL = r"""
+WITH t AS MATERIALIZED (
+    SELECT list(list_reduce(list_prepend(b, range(8)::BIGINT[]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+    FROM (SELECT unnest(range(256))::BIGINT AS b)),
+w AS (SELECT 0 AS part, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+      UNION ALL
+      SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+n AS MATERIALIZED (SELECT part, id, word, count(*) AS n FROM w GROUP BY ALL),
+v AS MATERIALIZED (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+                                 lambda c, b: xor(c // 256, t.t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)), t),
+k AS (SELECT bucket, sum(CASE part WHEN 0 THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE part WHEN 1 THEN n ELSE 0 END)::DOUBLE AS t
+      FROM n JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000))))::BIGINT AS gain FROM k),
+f AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+      FROM n JOIN v USING (word) JOIN g USING (bucket) WHERE part = 0 GROUP BY id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM d WHERE n_features >= 20)
+SELECT d.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def op13_whitening(spark, d):
+    return whiten(load_table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, SUFFIX_SQL),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
@@ -160,4 +199,6 @@ QUERIES = {
     "op9_decontamination": (op9_decontamination, DECONTAMINATION_SQL),
     "op10_packing": (op10_packing, None),
     "op11_near_duplicates": (op11_near_duplicates, NEAR_DUPLICATES_SQL),
+    "op12_importance": (op12_importance, IMPORTANCE_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
