@@ -38,7 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = cut_lineage(first.where("copies > 1"))
     if not repeated.isEmpty():
         # Rows with one id and one text.
-        rows = chosen(repeated).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+        row = F.struct(*docs.columns)
+        unordered = any(kind in name for _, name in docs.dtypes for kind in ("map<", "variant"))
+        rows = chosen(repeated).groupBy("doc_id", F.xxhash64("text")).agg(
+            (F.min_by(row, F.to_json(row)) if unordered else F.min(row)).alias("row"))
         out = out.unionByName(rows.select("row.*"))
     return out
 
