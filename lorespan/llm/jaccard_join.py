@@ -5,8 +5,9 @@ lists of its prefix: two similar sets share a shingle there.  The lists are read
 blocks: the entries of one list that belong to one group of highly similar sets.
 A block that lies too late in the list, or is too large or small, is skipped whole.
 
-A group has a centre, the set that most lists of its members name first.  The answers
-of the members follow from the centre's: a set that is far from the centre, farther than
+A group has a centre, the set that most lists of its members name as their head.  The head
+of a list is the member that stands with most others in all its lists, so a centre
+follows no other and copies meet the text they come from.  The answers of the members follow from the centre's: a set that is far from the centre, farther than
 the members' distance and the threshold together, is far from every member.  Distances
 are first bounded by bitmaps, whose difference is never more than that of the sets, so
 only near pairs are counted exactly.  Members of one group are never paired with each
@@ -31,10 +32,8 @@ from lorespan.llm.textarrays import gram_hashes, row_slices, utf8, word_hashes,
 from lorespan.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A shingle of this part of the texts comes last in every prefix: at most twice the mean set size over it.
-COMMON = 0.0005
-#: Times that sets without a centre look for one; more make fewer groups, not other results.
-STAR_ROUNDS = 1
+#: Shingles of this part of the texts come last in every prefix, the commonest at the end: at most twice the mean set size over it.
+COMMON = 0.0002
 #: Bytes of text hashed at a time.
 SLICE_BYTES = 1024 * 1024
 
@@ -69,6 +68,16 @@ def bitmap(items: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+#: Places of the parities that two sets of one list are compared by where they meet.
+PARITIES = 512
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """Odd or even counts of the items in ``PARITIES`` hashed places, as 64-bit numbers."""
+    counts = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def bitmap_distance(a: bytes, b: bytes) -> int:
     """At most the size of the symmetric difference; the longer bitmap is folded."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -89,8 +98,8 @@ def _spaced(docs: DataFrame) -> DataFrame:
                        F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")).alias("text"))
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that stand in about ``COMMON`` of the texts, or more.
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that stand in about ``COMMON`` of the texts, or more, and the place of each by its count.
 
     Each batch of rows reports the shingles that are that common in it; as a shingle
     common in all is common in some batch, the reports hold every such shingle.
@@ -105,33 +114,42 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     total = docs.count()
     rows = (_spaced(docs).select("text").mapInArrow(report, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= max(4, COMMON / 2 * total)).select("item").toArrow())
-    return np.sort(rows.column("item").to_numpy().view(np.uint64))
+            .where(F.col("n") >= max(4, COMMON / 2 * total)).toArrow())
+    items, counts = rows.column("item").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(items)
+    items, counts = items[order], counts[order]
+    places = np.empty(len(items), np.int64)
+    places[np.lexsort((items, counts))] = np.arange(len(items))
+    return items, places
+
 
+def _profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``id, doc_id, hash, n, key, bits, parity, prefix`` of each row, written once."""
+    often, places = common
 
-def _profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``id, doc_id, hash, n, key, bits, prefix`` of each row, written once."""
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(2), size)
-            keys, bits, prefix = [], [], []
+            keys, bits, odd, prefix = [], [], [], []
             for s in sets:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bits.append(bitmap(s) if len(s) else None)
+                odd.append(parity(s) if len(s) else None)
                 length = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                if len(common) and length:
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                if len(often) and length:
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    late = often[at] == s
+                    s = np.concatenate([s[~late], s[late][np.argsort(places[at[late]])]])
                 prefix.append(s[:length].view(np.int64))
             lengths = np.array([len(p) for p in prefix], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)),
                                              pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), lists],
-                names=["doc_id", "hash", "n", "key", "bits", "prefix"])
+                 pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(odd, pa.list_(pa.int64())), lists],
+                names=["doc_id", "hash", "n", "key", "bits", "parity", "prefix"])
 
-    made = _spaced(docs).mapInArrow(run, "doc_id long, hash long, n long, key binary, bits binary, prefix array<long>")
+    made = _spaced(docs).mapInArrow(run, "doc_id long, hash long, n long, key binary, bits binary, parity array<long>, prefix array<long>")
     return cut_lineage(made.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -170,7 +188,10 @@ def _counted(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 
 def _items(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``id, items`` of the sets in ``wanted`` (``id, doc_id, hash``), from their texts."""
+    """``id, items`` of the sets in ``wanted`` (``id, doc_id, hash``), from their texts.
+
+    Rows that repeat an id and a text are one set and give one row.
+    """
     def run(batches):
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
@@ -179,10 +200,79 @@ def _items(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     wanted = wanted.select("id", F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"))
     text = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rows = text.join(wanted, text.doc_id.eqNullSafe(wanted._doc) & (text.hash == wanted._hash))
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"))  # equal texts: any of them
     rows = rows.select("id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")).alias("text"))
     return rows.mapInArrow(run, "id long, items binary")
 
 
+def _alike(percent: int) -> str:
+    """SQL for two sets of different components whose sizes allow a link."""
+    return f"root_x <> root_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
+
+
+def _ordered() -> list:
+    return [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
+
+
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """``item, id, n, c, level, rest, parity`` of every prefix shingle that more than one set has, written once.
+
+    ``c`` is the length of the list.  ``rest`` is the most that the set can share with another
+    whose first common shingle this is.
+    """
+    spread = sets.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "item"))
+    # The set's other columns do not travel where lists are counted.
+    shared = spread.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+    return cut_lineage(spread.join(shared, "item").selectExpr(
+        "item", "id", "n", "c", f"cast(floor(ln(n) / ln({100 / percent}D)) as int) as level", "n - pos as rest", "parity"))
+
+
+def _meeting(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, slack``: groups, by their centres, with blocks that meet in a list, and how much farther than a
+    link centres of groups with linked members can be apart.
+
+    Blocks of a list meet unless place or size forbids every pair between them, or, for two sets
+    that are in no group, the parities of their shingle counts.
+    """
+    groups_of = (entries.join(groups, "id").groupBy("item", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+                 .withColumn("parity", F.lit(None).cast("array<long>")))
+    alone = entries.join(groups, "id", "left_anti").select("item", F.col("id").alias("g"), F.col("n").alias("low"), F.col("n").alias("high"), "rest", "parity")
+    blocks = groups_of.unionByName(alone)
+    x, y = (blocks.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("g", "low", "high", "rest", "parity"))) for s in "xy")
+    # Sets differ in a shingle or more for each place in which the parities of two sets without a group do.
+    differ = " + ".join(f"bit_count(parity_x[{i}] ^ parity_y[{i}])" for i in range(PARITIES // 64))
+    met = (x.join(y, "item").where(f"""g_x < g_y and 100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x
+                 and least(rest_x, rest_y) >= {_overlap('low_x', 'low_y', percent)}
+                 and coalesce({differ} <= low_x + low_y - 2 * {_overlap('low_x', 'low_y', percent)}, true)""")
+           .select(F.col("g_x").alias("a"), F.col("g_y").alias("b")).distinct())
+    # How far the members of a group can be from its centre, and how much larger; one row a group.
+    reach = cut_lineage(groups.join(sets.select("id", "n"), "id").join(sets.select(F.col("id").alias("g"), F.col("n").alias("m")), "g")
+                        .groupBy("g").agg(F.expr(f"max(n + m - 2 * {_overlap('n', 'm', percent)}) + greatest(max(n - m), 0)").alias("reach")))
+    side = lambda s: reach.select(F.col("g").alias(s), F.col("reach").alias(f"reach_{s}"))
+    # What is allowed grows with the sizes, but for rounding by less than 2.
+    return met.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", F.expr("2 + coalesce(reach_a, 0) + coalesce(reach_b, 0)").alias("slack"))
+
+
+def _open_pairs(known: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members, of groups that have met and are not connected, that the distances leave open.
+
+    |x - z| is at least the distance of the centres less those of the members.
+    """
+    spans = known.groupBy("g").agg(F.max("delta").alias("far"), F.max("n").alias("high"), F.count("*").alias("size"),
+                                   F.max(F.when(F.col("id") == F.col("g"), F.col("root"))).alias("root"))
+    ends = lambda s: spans.select(*(F.col(c).alias(f"{c}_{s}") for c in ("g", "far", "high", "size", "root")))
+    pairs = cut_lineage(met.select(F.col("a").alias("g_x"), F.col("b").alias("g_y"), "distance").distinct()
+                        .join(ends("x"), "g_x").join(ends("y"), "g_y").where("root_x <> root_y and size_x + size_y > 2").drop("root_x", "root_y"))
+    # First the members of either group that can be near the other group at all, then their pairs.
+    reaches = "distance - delta_{0} - far_{1} <= 2 + n_{0} + high_{1} - 2 * " + _overlap("n_{0}", "high_{1}", percent)
+    of = lambda s: known.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "g", "root", "delta")))
+    x = of("x").join(pairs, "g_x").where(reaches.format("x", "y")).select("g_x", "g_y", "distance", "id_x", "n_x", "root_x", "delta_x")
+    y = of("y").join(pairs, "g_y").where(reaches.format("y", "x")).select("g_x", "g_y", "id_y", "n_y", "root_y", "delta_y")
+    return x.join(y, ["g_x", "g_y"]).where(
+        f"{_alike(percent)} and distance - delta_x - delta_y <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(*_ordered())
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document.
 
@@ -207,90 +297,52 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _profiles(docs, size, percent, common_shingles(docs, size))
     first = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
-    sets = cut_lineage(rows.join(first.select("id"), "id", "left_semi").select("id", "doc_id", "hash", "n", "bits", "prefix"))
-    spread = sets.select("id", "n", F.posexplode("prefix").alias("pos", "item"))
-    entries = cut_lineage(spread.selectExpr("*", "count(*) over (partition by item) as c").where("c > 1")
-                          .selectExpr("item", "id", "n", "cast(pos as long) as pos",
-                                      f"cast(floor(ln(n) / ln({100 / percent}D)) as int) as level"))
-    sets = sets.drop("prefix")
-
-    # Centres: the set that most of a set's lists name first, among those of about its size.
-    # Sets that found none, or one that follows another itself, look again among each other.
-    left, stars, roots = entries, None, None
-    for _ in range(STAR_ROUNDS):
-        heads = left.groupBy("item", "level").agg(F.min("id").alias("b"))
-        named = (left.join(heads, ["item", "level"]).where("id <> b").groupBy("id", "b").count()
-                 .groupBy("id").agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b"))
-        found = cut_lineage(_near(named, sets, percent))
-        tops = cut_lineage(found.join(found.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
-        stars = found if stars is None else stars.unionByName(found)
-        roots = tops if roots is None else roots.unionByName(tops)
-        taken = tops.select(F.col("a").alias("id")).unionByName(tops.select(F.col("b").alias("id"))).distinct()
-        left = left.join(taken, "id", "left_anti")
-    stars = stars.distinct()
+    sets = cut_lineage(rows.join(first.select("id"), "id", "left_semi").select("id", "doc_id", "hash", "n", "bits", "parity", "prefix"))
+    entries = _entries(sets, percent)
+    sets = sets.drop("prefix", "parity")
+    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    # Centres: the set that most of a set's lists have as their head, among those of about its size.
+    met = entries.groupBy("id").agg(F.sum("c").alias("met"))
+    heads = entries.join(met, "id").groupBy("item", "level").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("b"))
+    named = (entries.join(heads, ["item", "level"]).where("id <> b").groupBy("id", "b").count()
+             .groupBy("id").agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b"))
+    stars = cut_lineage(_near(named, sets, percent))
+    # Who follows another is no centre; its followers stay groups of their own.
+    roots = cut_lineage(stars.join(stars.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
     groups = roots.select(F.col("a").alias("id"), F.col("b").alias("g"))
-    member = entries.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
-
-    # Blocks of a list meet unless place or size forbids every pair between them.
-    blocks = member.groupBy("item", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"),
-                                             F.max(F.col("n") - F.col("pos")).alias("rest"))
-    x, y = (blocks.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("g", "low", "high", "rest"))) for s in "xy")
-    met = (x.join(y, "item").where(f"""g_x < g_y and 100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x
-                 and least(rest_x, rest_y) >= {_overlap('low_x', 'low_y', percent)}""")
-           .select(F.col("g_x").alias("a"), F.col("g_y").alias("b")).distinct())
-    # How far the members of a group can be from its centre, and how much larger.
-    reach = (groups.join(sets.select("id", "n"), "id").join(sets.select(F.col("id").alias("g"), F.col("n").alias("m")), "g")
-             .groupBy("g").agg(F.expr(f"max(n + m - 2 * {_overlap('n', 'm', percent)})").alias("reach"), F.expr("max(n - m)").alias("more")))
-    side = lambda s: reach.select(F.col("g").alias(s), F.col("reach").alias(f"reach_{s}"), F.col("more").alias(f"more_{s}"))
-    met = met.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    # What is allowed grows with the sizes, but for rounding by less than 2.
-    slack = "2 + coalesce(reach_a, 0) + coalesce(reach_b, 0) + greatest(coalesce(more_a, 0), 0) + greatest(coalesce(more_b, 0), 0)"
-    met = cut_lineage(_near(met, sets, percent, slack))
 
-    wanted = (stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))
-              .unionByName(met.select(F.col("a").alias("id"))).unionByName(met.select(F.col("b").alias("id"))).distinct())
-    items = cut_lineage(_items(docs, sets.join(wanted, "id", "left_semi"), size))
+    met = cut_lineage(_near(_meeting(entries, groups, sets, percent), sets, percent, "slack"))
+    items = cut_lineage(_items(docs, sets.join(ids(stars).unionByName(ids(met)).distinct(), "id", "left_semi"), size))
     counted = cut_lineage(_counted(stars.unionByName(met).distinct(), items, percent))
-    links = counted.where("linked").select("a", "b")
-
-    # Members answer for themselves where their centre's answer leaves it open and nothing connects them yet:
-    # |x - z| is at least the distance of the centres less those of the members.
-    root = components(links)
-    distance = counted.select("a", "b", "distance")
-    delta = groups.select(F.col("id").alias("a"), F.col("g").alias("b")).join(distance, ["a", "b"]).select(
-        F.col("a").alias("id"), F.col("distance").alias("delta")).distinct()
-    named = (sets.select("id", "n").join(groups, "id", "left").join(root, "id", "left").join(delta, "id", "left")
-             .select("id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("root", "id").alias("root"),
-                     F.coalesce("delta", F.lit(0)).alias("delta")))
-    spans = named.groupBy("g").agg(F.max("delta").alias("far"), F.max("n").alias("high"), F.count("*").alias("size"),
-                                   F.max(F.when(F.col("id") == F.col("g"), F.col("root"))).alias("root"))
-    ends = lambda s: spans.select(*(F.col(c).alias(f"{c}_{s}") for c in ("g", "far", "high", "size", "root")))
-    open_pairs = (met.join(distance, ["a", "b"]).select(F.col("a").alias("g_x"), F.col("b").alias("g_y"), "distance").distinct()
-                  .join(ends("x"), "g_x").join(ends("y"), "g_y").where("root_x <> root_y and size_x + size_y > 2").drop("root_x", "root_y"))
-    # First the members of either group that can be near the other group at all, then their pairs.
-    reaches = "distance - delta_{0} - far_{1} <= 2 + n_{0} + high_{1} - 2 * " + _overlap("n_{0}", "high_{1}", percent)
-    of = lambda s: named.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "g", "root", "delta")))
-    pair = [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
-    alike = f"root_x <> root_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
-    x = of("x").join(open_pairs, "g_x").where(reaches.format("x", "y")).select("g_x", "g_y", "distance", "id_x", "n_x", "root_x", "delta_x")
-    y = of("y").join(open_pairs, "g_y").where(reaches.format("y", "x")).select("g_x", "g_y", "id_y", "n_y", "root_y", "delta_y")
-    more = x.join(y, ["g_x", "g_y"]).where(
-        f"{alike} and distance - delta_x - delta_y <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(pair)
+    root = components(counted.where("linked").select("a", "b"))
+
+    # Members answer for themselves where their centre's answer leaves it open and nothing connects them yet.
+    delta = groups.select(F.col("id").alias("a"), F.col("g").alias("b")).join(counted, ["a", "b"]).select(
+        F.col("a").alias("id"), F.col("distance").alias("delta"), F.col("linked").alias("near_centre"))
+    known = cut_lineage(entries.select("id", "n").distinct()
+                        .join(groups, "id", "left").join(root, "id", "left").join(delta, "id", "left")
+                        .select("id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("root", "id").alias("root"),
+                                F.coalesce("delta", F.lit(0)).alias("delta"), F.coalesce("near_centre", F.lit(True)).alias("near_centre")))
+    more = _open_pairs(known, met.join(counted, ["a", "b"]).select("a", "b", "distance"), percent)
     # A member that is not linked to its centre does not share the centre's answers.
-    loose = roots.join(counted.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("id_x"))
-    p, q = (entries.join(named.select("id", "root"), "id").select(
-        "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root"))) for s in "xy")
-    more = more.unionByName(p.join(loose, "id_x", "left_semi").join(q, "item").where(
-        f"id_x <> id_y and {alike} and least(n_x - pos_x, n_y - pos_y) >= {_overlap('n_x', 'n_y', percent)}").select(pair)).distinct()
+    p, q = (known.select("id", "root", "near_centre").join(entries, "id").select(
+        "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "rest", "root", "near_centre"))) for s in "xy")
+    more = more.unionByName(p.where("not near_centre_x").join(q, "item").where(
+        f"id_x <> id_y and {_alike(percent)} and least(rest_x, rest_y) >= {_overlap('n_x', 'n_y', percent)}").select(*_ordered())).distinct()
     more = more.join(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut_lineage(_near(more, sets, percent))
-    if more.agg(F.count("*")).first()[0]:
-        ends = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        missing = cut_lineage(sets.join(ends, "id", "left_semi").join(items.select("id"), "id", "left_anti"))
-        if missing.agg(F.count("*")).first()[0]:
+    if not more.isEmpty():
+        missing = cut_lineage(sets.join(ids(more).distinct(), "id", "left_semi").join(items.select("id"), "id", "left_anti"))
+        if not missing.isEmpty():
             items = items.unionByName(_items(docs, missing, size))
-        links = links.unionByName(_counted(more, items, percent).where("linked").select("a", "b"))
-        root = components(links)
+        links = cut_lineage(_counted(more, items, percent).where("linked").select("a", "b"))
+        if not links.isEmpty():
+            # Only the components that the new links join are joined again.
+            at = lambda name: known.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
+            joined = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            root = known.select("id", "root").join(joined.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
+                "id", F.coalesce("top", "root").alias("root"))
 
     names = rows.where("n > 0").join(first.withColumnRenamed("id", "set_id"), "key").join(
         root.select(F.col("id").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

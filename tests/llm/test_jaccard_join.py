@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lorespan.llm.components import components
-from lorespan.llm.jaccard_join import bitmap, bitmap_distance, similar_components
+from lorespan.llm.jaccard_join import _items, bitmap, bitmap_distance, parity, similar_components
 
 
 def brute(rows, n, percent):
@@ -61,6 +61,24 @@ def test_bitmaps_never_exceed_the_distance():
         assert bitmap_distance(bitmap(a), bitmap(a)) == 0
 
 
+def test_parities_never_exceed_the_distance():
+    rng = np.random.default_rng(8)
+    for size in (1, 30, 700):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.append(a[: size // 2 + 1], rng.integers(0, 1 << 63, 9).astype(np.uint64)))
+        assert np.bitwise_count(parity(a).view(np.uint64) ^ parity(b).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_repeated_rows_are_one_set(spark):
+    """A thousand rows without an id and with one text give one row of shingles, not a thousand."""
+    texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"]
+    df = spark.createDataFrame([(None, t) for t in texts for _ in range(1000)], "doc_id long, text string")
+    wanted = df.selectExpr("doc_id", "xxhash64(text) as hash").distinct().selectExpr("hash as id", "doc_id", "hash")
+    assert _items(df, wanted, 5).count() == 2
+    got = similar_components(df, 5, 80).groupBy("n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, got), key=repr) == [(6, None, 1000), (7, None, 1000)]
+
+
 def test_empty_null_and_short(spark):
     rows = [(5, ""), (4, None), (3, "one two"), (2, "One  TWO"), (1, " \n "), (9, "one"), (8, "two one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
