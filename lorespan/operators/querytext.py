@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespan.fixed_values import INTENT_DEFAULT, INTENT_RULES, MAX_EXPANSIONS
 from lorespan.functions.text import map_characters, normalize, strip
@@ -14,6 +18,8 @@ from lorespan.session import spread
 
 INLINE_KEYS = 2_000
 KEYS_BROADCAST_BYTES = 32 * 1024 * 1024
+#: Characters of keywords that one automaton may hold: about 28 bytes each in every worker.
+AUTOMATON_CHARACTERS = 2_000_000
 # A keyword is looked up by its first characters: the longest of these lengths it has.
 _GRAMS = (1, 2, 3, 8)
 
@@ -52,9 +58,70 @@ def expand_inline(text: Column, entries: Sequence[tuple[str, Sequence[str]]],
     return F.slice(F.array_distinct(F.filter(candidates, lambda c: c != text)), 1, m)
 
 
-def match_dictionary(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+class _Keywords:
+    """Keywords as one automaton, built once in each worker from the shared list."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.built = words, None
+
+    def __getstate__(self):
+        return {"words": self.words, "built": None}
+
+    def found(self, text: str) -> list[int]:
+        """The distinct places, in the list, of the keywords that ``text`` contains."""
+        if self.built is None:
+            self.built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, word in enumerate(self.words):
+                if word:
+                    self.built.add_word(word, i)
+            self.built.make_automaton()
+        # The list is sorted, so the empty keyword, which every text contains, is the first.
+        always = [0] if self.words and not self.words[0] else []
+        return always + sorted({i for _, i in self.built.iter(text)} if len(self.built) else ())
+
+
+def match_dictionary(queries: DataFrame, dictionary: DataFrame,
+                     automaton_characters: int = AUTOMATON_CHARACTERS) -> DataFrame:
     """``(query_id, q, key_order, keyword, synonyms)`` for each keyword contained in ``q``.
 
+    Keywords whose measured length allows it travel to the texts as one automaton, which
+    reads each text once, whatever the number of keywords; more are joined on their first
+    characters.  Both compare in lower case; the empty keyword is in every text, a null
+    text contains nothing, and entries with one keyword all match.
+    """
+    keys = usable_entries(dictionary).withColumn("_k", F.lower("keyword"))
+    held = keys.agg(F.sum(F.length("_k") + 1)).first()[0] or 0
+    if held > automaton_characters:
+        return match_by_grams(queries, dictionary)
+    words = sorted(r["_k"] for r in keys.select("_k").distinct().collect())  # of checked length
+    shared = queries.sparkSession.sparkContext.broadcast(_Keywords(words))
+    schema = T.StructType([queries.schema["query_id"], queries.schema["q"],
+                           T.StructField("_at", T.ArrayType(T.IntegerType()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keywords = shared.value
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            places = [keywords.found(text) if text is not None else [] for text in texts]
+            kept = pa.array(np.flatnonzero([bool(p) for p in places]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(kept), batch.column(1).take(kept),
+                 pa.array([p for p in places if p], pa.list_(pa.int32()))], names=["query_id", "q", "_at"])
+
+    met = spread(queries).select("query_id", "q", F.lower("q").alias("_low")).mapInArrow(scan, schema)
+    numbers = queries.sparkSession.createDataFrame(
+        pa.table({"_k": pa.array(words, pa.string()), "_at": pa.array(range(len(words)), pa.int32())}))
+    # As many entries as the keywords, with synonyms: shared where those are small too.
+    entries = keys.join(F.broadcast(numbers), "_k")
+    used = keys.agg(F.sum(F.octet_length(F.to_json("synonyms")))).first()[0] or 0
+    entries = F.broadcast(entries) if used + 4 * held <= KEYS_BROADCAST_BYTES else entries.hint("merge")
+    return (met.select("query_id", "q", F.explode("_at").alias("_at")).join(entries, "_at")
+            .select("query_id", "q", "key_order", "keyword", "synonyms"))
+
+
+def match_by_grams(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``match_dictionary`` for dictionaries too large for one automaton.
+
     A containment join without a product of both sides: a keyword can only be
     contained where the text holds its first characters, so ids and keywords meet
     on those, and the full test follows on the few pairs that met.
