@@ -210,6 +210,11 @@ def _alike(percent: int) -> str:
     return f"root_x <> root_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
 
 
+def _apart() -> str:
+    """SQL for the places in which two sets' parities differ: they differ in as many shingles or more."""
+    return "(" + " + ".join(f"bit_count(parity_x[{i}] ^ parity_y[{i}])" for i in range(PARITIES // 64)) + ")"
+
+
 def _ordered() -> list:
     return [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
 
@@ -239,11 +244,10 @@ def _meeting(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
     alone = entries.join(groups, "id", "left_anti").select("item", F.col("id").alias("g"), F.col("n").alias("low"), F.col("n").alias("high"), "rest", "parity")
     blocks = groups_of.unionByName(alone)
     x, y = (blocks.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("g", "low", "high", "rest", "parity"))) for s in "xy")
-    # Sets differ in a shingle or more for each place in which the parities of two sets without a group do.
-    differ = " + ".join(f"bit_count(parity_x[{i}] ^ parity_y[{i}])" for i in range(PARITIES // 64))
+    # The parities are those of sets without a group.
     met = (x.join(y, "item").where(f"""g_x < g_y and 100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x
                  and least(rest_x, rest_y) >= {_overlap('low_x', 'low_y', percent)}
-                 and coalesce({differ} <= low_x + low_y - 2 * {_overlap('low_x', 'low_y', percent)}, true)""")
+                 and coalesce({_apart()} <= low_x + low_y - 2 * {_overlap('low_x', 'low_y', percent)}, true)""")
            .select(F.col("g_x").alias("a"), F.col("g_y").alias("b")).distinct())
     # How far the members of a group can be from its centre, and how much larger; one row a group.
     reach = cut_lineage(groups.join(sets.select("id", "n"), "id").join(sets.select(F.col("id").alias("g"), F.col("n").alias("m")), "g")
@@ -266,11 +270,11 @@ def _open_pairs(known: DataFrame, met: DataFrame, percent: int) -> DataFrame:
                         .join(ends("x"), "g_x").join(ends("y"), "g_y").where("root_x <> root_y and size_x + size_y > 2").drop("root_x", "root_y"))
     # First the members of either group that can be near the other group at all, then their pairs.
     reaches = "distance - delta_{0} - far_{1} <= 2 + n_{0} + high_{1} - 2 * " + _overlap("n_{0}", "high_{1}", percent)
-    of = lambda s: known.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "g", "root", "delta")))
-    x = of("x").join(pairs, "g_x").where(reaches.format("x", "y")).select("g_x", "g_y", "distance", "id_x", "n_x", "root_x", "delta_x")
-    y = of("y").join(pairs, "g_y").where(reaches.format("y", "x")).select("g_x", "g_y", "id_y", "n_y", "root_y", "delta_y")
+    of = lambda s: known.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "g", "root", "delta", "parity")))
+    x = of("x").join(pairs, "g_x").where(reaches.format("x", "y")).select("g_x", "g_y", "distance", "id_x", "n_x", "root_x", "delta_x", "parity_x")
+    y = of("y").join(pairs, "g_y").where(reaches.format("y", "x")).select("g_x", "g_y", "id_y", "n_y", "root_y", "delta_y", "parity_y")
     return x.join(y, ["g_x", "g_y"]).where(
-        f"{_alike(percent)} and distance - delta_x - delta_y <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(*_ordered())
+        f"{_alike(percent)} and greatest(distance - delta_x - delta_y, {_apart()}) <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(*_ordered())
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -299,6 +303,7 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     first = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
     sets = cut_lineage(rows.join(first.select("id"), "id", "left_semi").select("id", "doc_id", "hash", "n", "bits", "parity", "prefix"))
     entries = _entries(sets, percent)
+    parities = sets.select("id", "parity")
     sets = sets.drop("prefix", "parity")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
@@ -320,16 +325,16 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     # Members answer for themselves where their centre's answer leaves it open and nothing connects them yet.
     delta = groups.select(F.col("id").alias("a"), F.col("g").alias("b")).join(counted, ["a", "b"]).select(
         F.col("a").alias("id"), F.col("distance").alias("delta"), F.col("linked").alias("near_centre"))
-    known = cut_lineage(entries.select("id", "n").distinct()
+    known = cut_lineage(entries.select("id", "n").distinct().join(parities, "id")
                         .join(groups, "id", "left").join(root, "id", "left").join(delta, "id", "left")
-                        .select("id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("root", "id").alias("root"),
+                        .select("id", "n", "parity", F.coalesce("g", "id").alias("g"), F.coalesce("root", "id").alias("root"),
                                 F.coalesce("delta", F.lit(0)).alias("delta"), F.coalesce("near_centre", F.lit(True)).alias("near_centre")))
     more = _open_pairs(known, met.join(counted, ["a", "b"]).select("a", "b", "distance"), percent)
     # A member that is not linked to its centre does not share the centre's answers.
     p, q = (known.select("id", "root", "near_centre").join(entries, "id").select(
-        "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "rest", "root", "near_centre"))) for s in "xy")
+        "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "rest", "parity", "root", "near_centre"))) for s in "xy")
     more = more.unionByName(p.where("not near_centre_x").join(q, "item").where(
-        f"id_x <> id_y and {_alike(percent)} and least(rest_x, rest_y) >= {_overlap('n_x', 'n_y', percent)}").select(*_ordered())).distinct()
+        f"id_x <> id_y and {_alike(percent)} and least(rest_x, rest_y) >= {_overlap('n_x', 'n_y', percent)} and {_apart()} <= n_x + n_y - 2 * {_overlap('n_x', 'n_y', percent)}").select(*_ordered())).distinct()
     more = more.join(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut_lineage(_near(more, sets, percent))
     if not more.isEmpty():
