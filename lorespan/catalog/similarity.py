@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lorespan.catalog.sql import similarities, word_vectors
 from lorespan.functions.embedding import DIM, cosine, with_vectors
 from lorespan.operators.similarity import knn
+from lorespan.operators.vector_index import build_index, recall, search_index
 from lorespan.session import load_table
 
 
@@ -17,6 +18,10 @@ def _neighbours(spark, d, **options):
     items = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     queries = rows.select("vec_id", F.col("embedding").alias("vec"))
     hits = knn(items, queries, query_keys=["vec_id"], exclude_self=True, **options)
+    return _neighbour_rows(hits)
+
+
+def _neighbour_rows(hits):
     return hits.select("vec_id", F.col("item_id").alias("neighbor_id"),
                        F.round("score", 4).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
@@ -37,6 +42,39 @@ def approximate_neighbors(spark, d):
     return _neighbours(spark, d, method="lsh", tables=8, bits=4)
 
 
+def _indexed(spark, d, **options):
+    """Every hundredth vector against all, each with itself."""
+    rows = _vectors(spark, d)
+    items = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("vec"))
+    return items, asked, search_index(build_index(items), asked, query_keys=["vec_id"], **options)
+
+
+def indexed_neighbors(spark, d):
+    return _neighbour_rows(_indexed(spark, d)[2])
+
+
+def indexed_neighbors_exact(spark, d):
+    return _neighbour_rows(_indexed(spark, d, exact=True)[2])
+
+
+def indexed_recall(spark, d):
+    """The neighbours that the index should find, and whether nine of ten are among those it finds."""
+    items, asked, hits = _indexed(spark, d)
+    found = recall(hits, knn(items, asked, query_keys=["vec_id"]), ["vec_id"])
+    return found.select("n_true", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+INDEXED_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 9) AS score
+      FROM v a CROSS JOIN v b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
+SELECT vec_id, neighbor_id, round(score, 4) AS similarity, rank FROM r WHERE rank <= 6
+"""
+
+INDEXED_RECALL_SQL = f"SELECT count(*) AS n_true, true AS recall_reached FROM ({INDEXED_SQL})"
+
 NEAREST_SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 9) AS score
@@ -94,6 +132,9 @@ QUERIES = {
     "nearest_vectors_shared_queries": (nearest_vectors_shared_queries, NEAREST_SQL),
     "nearest_vectors_grid": (nearest_vectors_grid, NEAREST_SQL),
     "approximate_neighbors": (approximate_neighbors, None),
+    "indexed_neighbors": (indexed_neighbors, None),
+    "indexed_neighbors_exact": (indexed_neighbors_exact, INDEXED_SQL),
+    "indexed_recall": (indexed_recall, INDEXED_RECALL_SQL),
     "vector_pairs": (vector_pairs, VECTOR_PAIRS_SQL),
     "text_vectors": (text_vectors, TEXT_VECTORS_SQL),
     "nearest_documents": (nearest_documents, NEAREST_DOCUMENTS_SQL),
