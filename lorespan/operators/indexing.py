@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lorespan.fixed_values import ALLOWED_TYPES, MAX_UPLOAD_MB
 from lorespan.functions.identity import base_name, extension
 from lorespan.operators.chunking import chunk_lists
+from lorespan.session import is_small
 
-DEAD_BROADCAST = 1_000_000
 NEW, CHANGED, UNCHANGED, REMOVED, KEPT = "NEW", "CHANGED", "UNCHANGED", "REMOVED", "KEPT"
 
 
@@ -76,11 +76,10 @@ def superseded(diff: DataFrame, manifest: DataFrame) -> DataFrame:
 def live_chunks(chunk_log: DataFrame, dead: DataFrame) -> DataFrame:
     """Current chunks of an append-only log: all but those of superseded records.
 
-    The dead records are few beside the chunks; counted so, they travel to the
+    The dead records are few beside the chunks; measured so, they travel to the
     chunks, which are then read without a shuffle.
     """
-    few = dead.limit(DEAD_BROADCAST + 1).count() <= DEAD_BROADCAST
-    return chunk_log.join(F.broadcast(dead) if few else dead, ["doc_id", "indexed_in"], "left_anti")
+    return chunk_log.join(F.broadcast(dead) if is_small(dead) else dead.hint("merge"), ["doc_id", "indexed_in"], "left_anti")
 
 
 def manifest_from(records: DataFrame, chunks: DataFrame, diff: DataFrame, manifest: DataFrame,

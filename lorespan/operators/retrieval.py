@@ -12,21 +12,24 @@ from lorespan.fixed_values import DEDUP_PREFIX, TOP_K
 from lorespan.functions.embedding import DIM, with_vectors
 from lorespan.operators.ordering import keep_first
 from lorespan.operators.similarity import knn
-from lorespan.session import cut_lineage
-
-HITS_BROADCAST = 1_000_000
+from lorespan.session import cut_lineage, is_small
 
 
 def with_text(hits: DataFrame, passages: DataFrame) -> DataFrame:
     """Join the passage text to its hits.
 
-    The hits are written once, so the search runs once and their number is known:
-    few of them travel to the passages, which then stay where they are; many
-    shuffle on the id with them.
+    The hits are written once, so the search runs once and their size can be
+    measured: where it is small they travel to the passages, which then stay where they
+    are.  Of many hits the distinct ids go first, so that only passages that were hit
+    shuffle with them.
     """
     hits = cut_lineage(hits)
-    few = hits.count() <= HITS_BROADCAST
-    return (F.broadcast(hits) if few else hits).join(passages, "item_id")
+    if is_small(hits):
+        return F.broadcast(hits).join(passages, "item_id")
+    ids = hits.select("item_id").distinct()
+    # Passages that nothing hit end here; few ids decide that without moving text.
+    wanted = passages.join(F.broadcast(ids) if is_small(ids) else ids, "item_id", "left_semi")
+    return hits.hint("merge").join(wanted, "item_id")
 
 
 def merge_variants(hits: DataFrame, prefix: int = DEDUP_PREFIX,

@@ -15,11 +15,10 @@ from lorespan.functions.html import parse_page
 from lorespan.functions.text import clean_lines
 from lorespan.functions.urls import canonical, on_site, skipped, trim_slashes
 from lorespan.operators.ordering import number_rows
-from lorespan.session import cut_lineage, run_once, spread, work_dir
+from lorespan.session import cut_lineage, is_small, run_once, spread, work_dir
 
 
 # A level of at most this many URLs is broadcast to the links.
-FRONT_BROADCAST = 200_000
 
 
 def _parsed(selectors: Sequence[str], min_chars: int):
@@ -80,7 +79,7 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     URLs seen before are left out.  Skipped URLs cost no budget, every visited
     one does.  Each level is added to one folder, which is read as one table, so
     the plan of the last level is as short as that of the first and a lost
-    executor repeats little.  A level of known, moderate size is sent to the
+    executor repeats little.  A level of measured, moderate size is sent to the
     links; a larger one shuffles with them.  Runs a few jobs for each level.
     """
     spark = seeds.sparkSession
@@ -109,7 +108,7 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
             break
         done, level = done + n, level + 1
         front = now.select(F.col("visit").alias("parent"), F.col("url").alias("src_url"))
-        front = F.broadcast(front) if n <= FRONT_BROADCAST else front
+        front = F.broadcast(front) if is_small(front) else front.hint("merge")
         queue = links.join(front, "src_url").select("parent", "pos", "url")
     if not done:
         return spark.createDataFrame([], schema)

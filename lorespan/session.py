@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 SPREAD_BYTES = 16 * 1024 * 1024
+#: Measured bytes up to which a table travels to all tasks.
+SMALL_BYTES = 32 * 1024 * 1024
 
 
 def build_session(app: str = "lorespan", master: str | None = None, **conf) -> SparkSession:
@@ -61,6 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether the rows, measured as text with 64 bytes more for each, stay within the limit.
+
+    One aggregate, summed up in each task first.
+    """
+    row = F.octet_length(F.to_json(F.struct(*df.columns))) + 64
+    return (df.agg(F.sum(row)).first()[0] or 0) <= limit
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out a small input before work that is heavy per row.
 

@@ -59,3 +59,18 @@ class Snapshots:
         columns = [f.name for f in self.schema.fields]
         df.select(*columns).write.mode("overwrite").parquet(self.path(version))
         return version
+
+    def prune(self, keep: int) -> list[int]:
+        """Remove all but the newest ``keep`` whole versions and return their numbers.
+
+        Not for logs that are read with ``read_all``.  A reader that started before has
+        ``keep - 1`` publications to finish.
+        """
+        if keep < 1:
+            raise ValueError("at least one version stays")
+        old = self.versions()[:-keep]
+        for version in old:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(version))
+            fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            fs.delete(folder, True)
+        return old

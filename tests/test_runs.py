@@ -4,6 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from lorespan.operators.answers import split_thinking
 from lorespan.operators.conversations import recent_messages, titles
 from lorespan.plans.indexing import ChunkStore, index_corpus
@@ -183,6 +185,33 @@ def test_cache_stream(spark, tmp_path):
     assert [(r.seq, r.question, len(r.vec)) for r in rows] == [(2, "q3", 8), (3, "q4", 8)]
 
 
+def test_cache_stream_keeps_few_versions(spark, tmp_path):
+    schema = "arrival long, question string, answer string, created_at long"
+    store = Snapshots(spark, str(tmp_path / "cache"), CACHE)
+    with pytest.raises(ValueError):
+        start_cache_stream(spark.readStream.schema(schema).parquet(str(tmp_path)), store, str(tmp_path / "c"), keep=1)
+    for i in range(5):
+        spark.createDataFrame([(i, f"q{i}", "a", i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        answers = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        start_cache_stream(answers, store, str(tmp_path / "check"), cap=3, dim=4, keep=2).awaitTermination()
+    assert store.versions() == [4, 5]
+    assert sorted(r.question for r in store.read().collect()) == ["q2", "q3", "q4"]
+
+
+def test_passages_of_many_hits(spark, monkeypatch):
+    """The same rows whether hits, or their ids, are measured as small or not."""
+    from lorespan.operators import retrieval
+
+    hits = spark.createDataFrame([(q, f"p{q % 7}", 0.5, 1) for q in range(60)], "query_id int, item_id string, score double, rank int")
+    passages = spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(12)], "item_id string, text string")
+    want = sorted((q, f"p{q % 7}", f"text {q % 7}") for q in range(60))
+    for answers in ([True], [False, True], [False, False]):
+        left = iter(answers)
+        monkeypatch.setattr(retrieval, "is_small", lambda df: next(left))
+        got = retrieval.with_text(hits, passages)
+        assert sorted((r.query_id, r.item_id, r.text) for r in got.collect()) == want
+
+
 def test_questions_to_answers(spark):
     questions = spark.createDataFrame([(1, " green apples "), (2, "red bricks"), (3, "  ")], "query_id int, text string")
     entries = with_vectors(spark.createDataFrame([(1, "green apples", "cached", 100)],
