@@ -8,6 +8,7 @@ which the listing no longer has; notes are records of another origin.
 from pyspark.sql import functions as F
 
 from lorespan.catalog.chunk_sql import chunk_ctes
+from lorespan.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from lorespan.functions.identity import chunk_id
 from lorespan.operators.chunking import chunk, chunk_lists, flat_metadata
 from lorespan.operators.indexing import (
@@ -178,6 +179,18 @@ def document_chunks(spark, d):
                        "chunk_id", "text", "lang")
 
 
+def measured_chunks(spark, d):
+    """A length function of the caller's: every character counts twice, so chunks are half as long."""
+    rows = chunk(_current(spark, d), length=lambda text: 2 * len(text))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+MEASURED_SQL = f"""
+WITH RECURSIVE {chunk_ctes("SELECT doc_id AS id, text FROM documents", CHUNK_SIZE // 2, CHUNK_OVERLAP // 2)}
+SELECT 'file:doc/' || id AS doc_id, chunk_index, text FROM chunk
+"""
+
+
 CHUNKS_SQL = f"""
 WITH RECURSIVE {chunk_ctes("SELECT doc_id AS id, text FROM documents")}
 SELECT 'file:doc/' || id AS doc_id, chunk_index,
@@ -326,6 +339,7 @@ QUERIES = {
     "indexing_report": (indexing_report, REPORT_SQL),
     "chunk_metadata": (chunk_metadata, METADATA_SQL),
     "document_chunks": (document_chunks, CHUNKS_SQL),
+    "measured_chunks": (measured_chunks, MEASURED_SQL),
     "content_hashes": (content_hashes, HASHES_SQL),
     "document_records": (document_records, RECORDS_SQL),
     "upload_triage": (upload_triage, TRIAGE_SQL),

@@ -111,6 +111,24 @@ SELECT id AS doc_id, b AS bucket, round(f, 6) AS weight FROM v
 """
 
 
+def model_vectors(spark, d):
+    """A model of the caller's in place of the word vectors: here lengths and digits of the text."""
+    def model(text):
+        return F.array(F.length(text), F.length(F.regexp_replace(text, "[^0-9]", "")),
+                       F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("array<float>")
+
+    docs = with_vectors(load_table(spark, d, "documents"), model=model)
+    return docs.select("doc_id", F.posexplode("vec").alias("place", "value")).select(
+        "doc_id", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+
+
+MODEL_SQL = """
+SELECT doc_id, unnest([0, 1, 2])::BIGINT AS place,
+       unnest([length(text), length(regexp_replace(text, '[^0-9]', '', 'g')), length(replace(text, ' ', ''))])::DOUBLE AS value
+FROM documents
+"""
+
+
 def nearest_documents(spark, d):
     items = with_vectors(load_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
     queries = with_vectors(load_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
@@ -137,5 +155,6 @@ QUERIES = {
     "indexed_recall": (indexed_recall, INDEXED_RECALL_SQL),
     "vector_pairs": (vector_pairs, VECTOR_PAIRS_SQL),
     "text_vectors": (text_vectors, TEXT_VECTORS_SQL),
+    "model_vectors": (model_vectors, MODEL_SQL),
     "nearest_documents": (nearest_documents, NEAREST_DOCUMENTS_SQL),
 }

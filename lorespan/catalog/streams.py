@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lorespan.catalog.conversations import KEPT_SQL
 from lorespan.session import load_table, work_dir
 from lorespan.sources.snapshots import Snapshots
+from lorespan.sources.stores import CACHE
+from lorespan.streaming.cache import start_cache_stream
 from lorespan.streaming.conversations import current_messages, log_schema, start_conversation_stream
 from lorespan.streaming.markers import marker_stream
 from lorespan.fixed_values import THINK_CLOSE, THINK_OPEN
@@ -47,7 +49,26 @@ SELECT conv_id * 1000 + turn AS stream_id, text || ' end' AS answer,
        len(string_split(text, chr(10))) - 1 AS steps FROM conversations
 """
 
+def streamed_cache(spark, d):
+    """Events as answers arriving at an empty cache."""
+    folder = work_dir(spark, "cache")
+    store = Snapshots(spark, f"{folder}/entries", CACHE)
+    answers = _stream(spark, d, "events").select(
+        F.col("event_id").alias("arrival"), F.col("event_type").alias("question"), F.col("props").alias("answer"),
+        F.unix_timestamp("ts").alias("created_at"))
+    start_cache_stream(answers, store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().select("seq", "question", "answer", "created_at")
+
+
+STREAMED_CACHE_SQL = """
+WITH e AS (SELECT event_id, event_type AS question, props AS answer, epoch(date_trunc('second', ts))::BIGINT AS created_at
+           FROM events WHERE length(props) > 0 ORDER BY event_id DESC LIMIT 500)
+SELECT row_number() OVER (ORDER BY event_id) AS seq, question, answer, created_at FROM e
+"""
+
+
 QUERIES = {
+    "streamed_cache": (streamed_cache, STREAMED_CACHE_SQL),
     "streamed_conversations": (streamed_conversations, KEPT_SQL),
     "streamed_markers": (streamed_markers, MARKERS_SQL),
 }
