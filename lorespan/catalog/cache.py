@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lorespan.catalog.sql import similarities, word_vectors
 from lorespan.functions.clock import epoch_seconds
 from lorespan.functions.embedding import DIM, with_vectors
-from lorespan.operators.cache import cache_append, cache_lookup, cache_stats, newest
+from lorespan.operators.cache import cache_append, cache_hits, cache_lookup, cache_stats, newest
 from lorespan.session import load_table
 
 START = 1_704_067_200
@@ -51,6 +51,14 @@ def cached_answers_loose(spark, d):
     return _found(cache_lookup(_entries(spark, d), queries, NOW, threshold=LOOSE, width=DIM))
 
 
+def cached_hits(spark, d):
+    """The messages that the cache answers, found by weighted lists."""
+    queries = with_vectors(load_table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
+    hits = cache_hits(_entries(spark, d), queries, NOW, width=DIM)
+    return hits.select("query_id", F.round("score", 4).alias("similarity"), F.col("seq").cast("long").alias("seq"), "answer")
+
+
 def _lookup_sql(source, threshold):
     return f"""
 WITH {_ENTRIES},
@@ -117,6 +125,8 @@ SELECT * FROM (SELECT * FROM old UNION ALL SELECT * FROM new) ORDER BY seq DESC
 QUERIES = {
     "cached_answers": (cached_answers, _lookup_sql(
         "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 0.92)),
+    "cached_hits": (cached_hits, "SELECT query_id, similarity, seq, answer FROM (" + _lookup_sql(
+        "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 0.92) + ") WHERE hit"),
     "cached_answers_loose": (cached_answers_loose, _lookup_sql(
         "SELECT doc_id AS id, text FROM documents", LOOSE)),
     "cache_statistics": (cache_statistics, STATISTICS_SQL),

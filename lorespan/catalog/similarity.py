@@ -6,6 +6,7 @@ from lorespan.catalog.sql import similarities, word_vectors
 from lorespan.functions.embedding import DIM, cosine, with_vectors
 from lorespan.operators.similarity import knn
 from lorespan.operators.vector_index import build_index, recall, search_index
+from lorespan.operators.weighted_lists import list_search
 from lorespan.session import load_table
 
 
@@ -129,10 +130,22 @@ FROM documents
 """
 
 
+def _documents_and_items(spark, d):
+    return (with_vectors(load_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")),
+            with_vectors(load_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
+
+
 def nearest_documents(spark, d):
-    items = with_vectors(load_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
-    queries = with_vectors(load_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    return knn(items, queries, width=DIM).select(
+    return _document_rows(knn(*_documents_and_items(spark, d), width=DIM))
+
+
+def nearest_documents_sparse(spark, d):
+    """The same neighbours by weighted inverted lists."""
+    return _document_rows(list_search(*_documents_and_items(spark, d), width=DIM))
+
+
+def _document_rows(hits):
+    return hits.select(
         "query_id", F.col("item_id").alias("doc_id"), F.round("score", 4).alias("similarity"),
         F.col("rank").cast("long").alias("rank"))
 
@@ -157,4 +170,5 @@ QUERIES = {
     "text_vectors": (text_vectors, TEXT_VECTORS_SQL),
     "model_vectors": (model_vectors, MODEL_SQL),
     "nearest_documents": (nearest_documents, NEAREST_DOCUMENTS_SQL),
+    "nearest_documents_sparse": (nearest_documents_sparse, NEAREST_DOCUMENTS_SQL),
 }

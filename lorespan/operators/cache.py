@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lorespan.fixed_values import CACHE_ENTRIES, CACHE_THRESHOLD, CACHE_TTL_SECONDS
 from lorespan.operators.similarity import knn
+from lorespan.operators.weighted_lists import list_search
 
 
 def live(created_at: Column, now: int, ttl: int = CACHE_TTL_SECONDS) -> Column:
@@ -36,6 +37,20 @@ def cache_lookup(entries: DataFrame, queries: DataFrame, now: int,
                     F.when(F.col("hit"), F.col("answer")).alias("answer")))
 
 
+def cache_hits(entries: DataFrame, queries: DataFrame, now: int, threshold: float = CACHE_THRESHOLD,
+               ttl: int = CACHE_TTL_SECONDS, width: int | None = None) -> DataFrame:
+    """``(query_id, score, seq, answer)`` of the queries that hit, as ``cache_lookup`` finds them.
+
+    Only entries that can reach the threshold meet a query, whatever the size of
+    both sides; a miss has no row and no score.
+    """
+    fresh = entries.where(live(F.col("created_at"), now, ttl))
+    best = list_search(fresh.select(F.col("seq").alias("item_id"), "vec"), queries, 1, threshold=threshold, width=width)
+    answers = fresh.select("seq", "answer").where(F.length("answer") > 0)
+    return best.select("query_id", "score", F.col("item_id").alias("seq")).join(answers, "seq").select(
+        "query_id", "score", "seq", "answer")
+
+
 def newest(entries: DataFrame, cap: int = CACHE_ENTRIES) -> DataFrame:
     """Newest ``cap`` entries; expired ones still take a place.  Each task keeps
     only its own newest, so no full sort is needed."""
