@@ -52,11 +52,12 @@ def cached_answers_loose(spark, d):
 
 
 def cached_hits(spark, d):
-    """The messages that the cache answers, found by weighted lists."""
+    """Every message, with the answer where weighted lists find one in the cache."""
     queries = with_vectors(load_table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
     hits = cache_hits(_entries(spark, d), queries, NOW, width=DIM)
-    return hits.select("query_id", F.round("score", 4).alias("similarity"), F.col("seq").cast("long").alias("seq"), "answer")
+    return (queries.select("query_id").join(hits, "query_id", "left")
+            .select("query_id", F.col("seq").isNotNull().alias("hit"), F.col("seq").cast("long").alias("seq"), "answer"))
 
 
 def _lookup_sql(source, threshold):
@@ -125,8 +126,8 @@ SELECT * FROM (SELECT * FROM old UNION ALL SELECT * FROM new) ORDER BY seq DESC
 QUERIES = {
     "cached_answers": (cached_answers, _lookup_sql(
         "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 0.92)),
-    "cached_hits": (cached_hits, "SELECT query_id, similarity, seq, answer FROM (" + _lookup_sql(
-        "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 0.92) + ") WHERE hit"),
+    "cached_hits": (cached_hits, "SELECT query_id, hit, seq, answer FROM (" + _lookup_sql(
+        "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 0.92) + ")"),
     "cached_answers_loose": (cached_answers_loose, _lookup_sql(
         "SELECT doc_id AS id, text FROM documents", LOOSE)),
     "cache_statistics": (cache_statistics, STATISTICS_SQL),

@@ -5,7 +5,8 @@ rarest coordinate first.  An entry goes to the list of its coordinate together w
 the length of what follows it.  Two vectors whose first common coordinate is ``c``
 have at most the product of their entries at ``c`` plus the product of the lengths
 of what follows, so a list brings together only rows for which this reaches what the
-query still needs.  What a query needs is the threshold, or the ``k``-th best score
+query still needs, and for which the lengths of ``PARTS`` parts of both vectors allow
+it too: part by part, a product of vectors is at most that of their lengths.  What a query needs is the threshold, or the ``k``-th best score
 among the heads of its heaviest lists.  The lists of a pair together say between
 which values its score lies, and only pairs that may be among the result are scored.
 """
@@ -28,6 +29,8 @@ from lorespan.session import cut_lineage
 
 #: More than scores lose by rounding.
 SLACK = 2 * 10.0 ** -SCORE_DIGITS
+#: Parts of a vector whose lengths travel with each entry.
+PARTS = 16
 #: Lists whose heads give a query its first scores.
 FIRST_LISTS = 4
 _MARK = ["_h1", "_h2"]
@@ -48,13 +51,16 @@ def _list_lengths(items: DataFrame, width: int) -> list[int]:
 
 
 def _entries(rows: DataFrame, keys: Sequence[str], order: np.ndarray, floor: float, signed: bool) -> DataFrame:
-    """``(keys…, place, weight, reach, rest)``: an entry, the length from it on, and the length after it.
+    """``(keys…, place, weight, reach, rest, parts)``: an entry, the length from it on, the length after it,
+    and the lengths of the vector's parts, rounded up.
 
     Entries from which on less than ``floor`` is left are in no list.
     """
     schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys]
                           + [T.StructField("place", T.IntegerType())]
-                          + [T.StructField(c, T.DoubleType()) for c in ("weight", "reach", "rest")])
+                          + [T.StructField(c, T.DoubleType()) for c in ("weight", "reach", "rest")]
+                          + [T.StructField("parts", T.ArrayType(T.FloatType()))])
+    part = np.arange(len(order)) % PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,10 +78,13 @@ def _entries(rows: DataFrame, keys: Sequence[str], order: np.ndarray, floor: flo
             unit = unit[:, order]
             reach = np.sqrt(np.cumsum((unit * unit)[:, ::-1], axis=1)[:, ::-1])
             rest = np.concatenate([reach[:, 1:], np.zeros((len(unit), 1))], axis=1)
+            parts = np.sqrt(np.stack([(unit[:, part == g] ** 2).sum(axis=1) for g in range(PARTS)], axis=1))
+            parts = (parts * (1 + 1e-6)).astype(np.float32)
             row, place = np.nonzero((unit != 0) & (reach >= floor - SLACK))
             named = pa.Table.from_batches([batch]).select(list(keys)).take(pa.array(row))
             columns = [named.column(i) for i in range(named.num_columns)]
             columns += [pa.array(v) for v in (place, unit[row, place], reach[row, place], rest[row, place])]
+            columns.append(pa.FixedSizeListArray.from_arrays(pa.array(parts[row].ravel()), PARTS))
             yield from pa.table(columns, names=arrow.names).cast(arrow).to_batches()
 
     return rows.select(*keys, "vec").mapInArrow(run, schema)
@@ -103,7 +112,10 @@ def candidates(lists: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     i, q = lists.alias("i"), wanted.alias("q")
     product, after = F.col("q.weight") * F.col("i.weight"), F.col("q.rest") * F.col("i.rest")
-    met = q.join(i, (F.col("q.place") == F.col("i.place")) & (product + after >= F.col("q.need") - SLACK))
+    parts = sum((F.col("q.parts")[g].cast("double") * F.col("i.parts")[g].cast("double") for g in range(PARTS)),
+                F.lit(0.0))
+    need = F.col("q.need") - SLACK
+    met = q.join(i, (F.col("q.place") == F.col("i.place")) & (product + after >= need) & (parts >= need))
     pairs = met.groupBy(*[F.col(f"q.{c}") for c in _MARK], F.col("i.item_id"), F.col("q.need")).agg(
         F.sum(product).alias("low"), F.min(after).alias("_after"))
     return (pairs.select(*_MARK, "item_id", "low", (F.col("low") + F.col("_after")).alias("high"), "need")
