@@ -13,9 +13,11 @@ from lorespan.fixed_values import THINK_CLOSE, THINK_OPEN
 
 
 def _stream(spark, d, name):
+    """The table's files as they arrive, whether it is one file or a folder of many."""
     schema = load_table(spark, d, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(d))
+    # A stream takes a single file only as what a pattern matches.
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .parquet(f"{d.rstrip('/')}/{name}.parque[t]"))
 
 
 def streamed_conversations(spark, d):
@@ -35,10 +37,11 @@ def streamed_markers(spark, d):
                       F.explode(starts).alias("seq"))
               .select("stream_id", "seq", F.substring("text", F.col("seq") * 7 + 1, F.lit(7)).alias("chunk"),
                       (F.col("seq") == F.floor((F.length("text") - 1) / 7)).alias("last")))
-    query = (marker_stream(chunks).writeStream.format("parquet").trigger(availableNow=True)
+    marked = marker_stream(chunks)
+    query = (marked.writeStream.format("parquet").trigger(availableNow=True)
              .option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/parts"))
     query.awaitTermination()
-    parts = spark.read.parquet(f"{folder}/parts")
+    parts = spark.read.schema(marked.schema).parquet(f"{folder}/parts")
     return parts.groupBy("stream_id").agg(
         F.expr("listagg(text, '') within group (order by part) filter (where kind = 'answer')").alias("answer"),
         F.count_if(F.col("kind") == "step").alias("steps"))
