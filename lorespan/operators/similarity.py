@@ -4,8 +4,8 @@ Four ways, one result shape ``(query keys…, item_id, score, rank)``:
 
 * ``items`` - the item matrix is small (checked) and travels to the queries; each
   query is finished where it is read, without a shuffle.
-* ``queries`` - the query matrix is small (checked) and travels to the items;
-  every task keeps only its best ``k`` per query.
+* ``queries`` - the query matrix travels to the items, in parts that are small
+  (measured); every task keeps only its best ``k`` per query.
 * ``grid`` - both sides are large.  Items and queries are cut into fragments and
   every fragment pair meets once in a bounded cell (fragment-and-replicate), so
   no task sees more than one cell and only ``k`` rows per query leave it.
@@ -34,13 +34,16 @@ from pyspark.sql import Window as W
 
 from lorespan.fixed_values import TOP_K
 from lorespan.operators.ordering import keep_first
-from lorespan.session import cut_lineage, run_once
+from lorespan.session import cut_lineage, run_once, spread
 
 SCORE_DIGITS = 9
 BROADCAST_BYTES = 32 * 1024 * 1024
 CELL_BYTES = 64 * 1024 * 1024
 CODES_BROADCAST = 1 << 20
-_SCORE_BLOCK = 4_000_000
+#: Fragments of a side up to which the caller's cell sizes hold; beyond, cells grow to CELL_BYTES first.
+FRAGMENTS = 8
+#: Rows of a product, so that it stays in the cache, and numbers gathered for exact scores at a time.
+_BLOCK_QUERIES, _BLOCK_ITEMS, _PAIR_NUMBERS = 256, 4096, 1 << 21
 
 
 # ---------------------------------------------------------------- in a task
@@ -89,33 +92,52 @@ def _matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Best:
-    """Best ``k`` items per query row seen so far in this task."""
+    """Best ``k`` items per query row seen so far in this task.
+
+    Products in single precision say which pairs may be among them, by a bound of
+    their error; only these are scored in double precision.
+    """
 
     def __init__(self, k: int, n_queries: int):
         self.k = k
         self.limit = 4 * k * max(n_queries, 1) + 100_000
+        #: The k-th best score of a query is not below this.
+        self.floor = np.full(n_queries, -np.inf)
         self.parts: list[pd.DataFrame] = []
         self.held = 0
 
     def offer(self, queries: np.ndarray, items: np.ndarray, ids: np.ndarray) -> None:
-        step = max(1, _SCORE_BLOCK // max(len(items), 1))
-        for start in range(0, len(queries), step):
-            scores = queries[start:start + step] @ items.T
-            if scores.shape[1] > self.k:
-                kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-                # Keep everything that may round up to the k-th score.
-                row, col = np.nonzero(scores >= (kth - 10.0 ** -SCORE_DIGITS)[:, None])
-            else:
-                row, col = np.indices(scores.shape).reshape(2, -1)
-            part = pd.DataFrame({
-                "q": row + start,
-                "score": np.round(scores[row, col], SCORE_DIGITS) + 0.0,
-                "id": ids[col],
-            })
-            self.parts.append(self._cut(part))
-            self.held += len(self.parts[-1])
-            if self.held > self.limit:
-                self._merge()
+        near, far = queries.astype(np.float32), items.astype(np.float32)
+        slack = (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS
+        for a in range(0, len(near), _BLOCK_QUERIES):
+            for b in range(0, len(far), _BLOCK_ITEMS):
+                row, col = self._may_enter(near[a:a + _BLOCK_QUERIES] @ far[b:b + _BLOCK_ITEMS].T, a, slack)
+                if len(row):
+                    row, col = row + a, col + b
+                    self.add(row, exact_scores(queries, items, row, col), ids[col])
+
+    def _may_enter(self, scores: np.ndarray, first: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block that may be among the best, and the floors that follow from the block."""
+        floor = self.floor[first:first + len(scores)]
+        hit = scores >= (floor - slack)[:, None].astype(np.float32)
+        if scores.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(scores):
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
+            some = scores[many]
+            kth = (some.max(axis=1) if self.k == 1 else
+                   np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k]).astype(np.float64)
+            hit[many] &= some >= (kth - 2 * slack)[:, None].astype(np.float32)
+            floor[many] = np.maximum(floor[many], kth - slack)
+        return np.divmod(np.flatnonzero(hit), scores.shape[1])
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scored pairs of the queries in ``rows``."""
+        part = pd.DataFrame({"q": rows, "score": scores, "id": ids})
+        if len(part) > self.limit // 4:
+            part = self._cut(part)
+        self.parts.append(part)
+        self.held += len(part)
+        if self.held > self.limit:
+            self._merge()
 
     def _cut(self, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["q", "score", "id"], ascending=[True, False, True])
@@ -124,6 +146,9 @@ class _Best:
     def _merge(self) -> None:
         merged = self._cut(pd.concat(self.parts, ignore_index=True))
         self.parts, self.held = [merged], len(merged)
+        last = merged[(merged.groupby("q").cumcount() == self.k - 1).to_numpy()]
+        at = last["q"].to_numpy(np.int64)
+        self.floor[at] = np.maximum(self.floor[at], last["score"].to_numpy())
 
     def rows(self) -> pd.DataFrame:
         if not self.parts:
@@ -132,6 +157,14 @@ class _Best:
         return self.parts[0]
 
 
+def exact_scores(queries: np.ndarray, items: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Rounded scores of pairs of unit rows."""
+    step = max(1, _PAIR_NUMBERS // max(queries.shape[1], 1))
+    scores = [np.einsum("ij,ij->i", queries[row[a:a + step]], items[col[a:a + step]])
+              for a in range(0, len(row), step)]
+    return np.round(np.concatenate([np.zeros(0), *scores]), SCORE_DIGITS) + 0.0
+
+
 def _emit(best: _Best, keys: pa.Table, id_type: pa.DataType, schema: pa.Schema,
           others: int | None = None) -> pa.Table:
     """Arrow rows of the bests; ``others`` drops the query itself and keeps that many."""
@@ -223,7 +256,8 @@ def _by_shared_items(items: DataFrame, queries: DataFrame, query_keys: Sequence[
 
 
 def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
-                       schema: T.StructType) -> DataFrame:
+                       schema: T.StructType):
+    """Bests of each task, and the broadcast that they are found with."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     table = _usable(queries.select(*query_keys, "vec").toArrow())
@@ -243,7 +277,24 @@ def _by_shared_queries(items: DataFrame, queries: DataFrame, query_keys: Sequenc
         if id_type is not None:
             yield from _emit(best, keys, id_type, arrow_schema).to_batches()
 
-    return items.select("item_id", "vec").mapInArrow(scan, schema)
+    return items.select("item_id", "vec").mapInArrow(scan, schema), shared
+
+
+def _shared_in_parts(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
+                     schema: T.StructType, parts: int) -> DataFrame:
+    """As many queries as may be shared travel to the items at a time, part after part.
+
+    Every part meets all items and writes its bests, so neither the driver nor a
+    task holds more than one part.
+    """
+    items, queries = cut_lineage(items), cut_lineage(queries)
+    part, found = F.pmod(F.xxhash64(*query_keys, F.lit(3)), F.lit(parts)), None
+    for n in range(parts):
+        hits, shared = _by_shared_queries(spread(items), queries.where(part == n), query_keys, k, schema)
+        hits = cut_lineage(_top(hits, query_keys, k))
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def _cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str]):
@@ -263,10 +314,15 @@ def _cells(items: DataFrame, queries: DataFrame, query_keys: Sequence[str]):
     return left, right
 
 
-def _whole(items: DataFrame, queries: DataFrame, cell_items: int, cell_queries: int):
-    """One code for all rows, cut by their counts."""
+def _whole(items: DataFrame, queries: DataFrame, cell_items: int, cell_queries: int, most: int):
+    """One code for all rows, cut by their counts.
+
+    A row is copied for each fragment of the other side, so the number of these is
+    held: past ``FRAGMENTS`` they have up to ``most`` rows, whatever the sizes say.
+    """
     def cuts(df, size):
-        return F.lit(max(1, -(-df.count() // size))).cast("int")
+        n = df.count()
+        return F.lit(max(1, min(-(-n // size), max(FRAGMENTS, -(-n // most))))).cast("int")
 
     i_cuts, q_cuts = cuts(items, cell_items), cuts(queries, cell_queries)
     return tuple(df.withColumn("code", F.lit(0).cast("long"))
@@ -408,19 +464,24 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
     if method in ("items", "queries"):
         side = items if method == "items" else queries
         size = 8 * side.count() * (width or longest_vector(side))
-        if size > max(broadcast_bytes, BROADCAST_BYTES):
+        most = max(broadcast_bytes, BROADCAST_BYTES)
+        if size > most and method == "items":
             raise ValueError(f"{method} of {size} bytes are too many to share")
 
     if method == "items":
         return _by_shared_items(items, queries, query_keys, k, schema, exclude_self)
     if method == "queries":
-        hits = _top(_by_shared_queries(items, queries, query_keys, want, schema), query_keys, want)
+        if size > most:
+            hits = _shared_in_parts(items, queries, query_keys, want, schema, -(-size // most))
+        else:
+            hits = _top(_by_shared_queries(items, queries, query_keys, want, schema)[0], query_keys, want)
     elif method in ("grid", "lsh"):
-        # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that.
-        cell_items = cell_items or max(1, CELL_BYTES // (8 * width))
+        # A cell's item matrix takes about CELL_BYTES, its query matrix a quarter of that, or all of it where many.
+        most = max(1, CELL_BYTES // (8 * width))
+        cell_items = cell_items or most
         sizes = cell_items, cell_queries or max(1, cell_items // 4)
         def whole(i, q):
-            return _whole(i, q, *sizes)
+            return _whole(i, q, *sizes, most)
 
         codes, probed = (hyperplane_codes(width, tables, bits, probes=n) for n in (0, probes))
 

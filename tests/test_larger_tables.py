@@ -1,6 +1,9 @@
 """Larger tables: folders of many files, sides beyond what is shared, long batches."""
 
+import numpy as np
 import __spark_entry__ as entry
+from lorespan.operators import similarity
+from lorespan.operators.similarity import knn
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -9,3 +12,28 @@ def test_a_stream_reads_a_table_of_many_files(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/conversations.parquet").repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
     got, want = (sorted(map(tuple, entry.queries()["streamed_markers"](spark, d).collect())) for d in (str(tmp_path), SMALL))
     assert len(want) == 87 and got == want
+
+
+def vectors(spark, n, width=8):
+    rows = np.random.default_rng(4).integers(-3, 4, (n, width)).astype(float).tolist()
+    items = spark.createDataFrame(list(enumerate(rows)), "item_id int, vec array<float>").repartition(3)
+    return items, items.withColumnRenamed("item_id", "query_id")
+
+
+def test_queries_beyond_the_limit_are_shared_in_parts(spark, monkeypatch):
+    items, queries = vectors(spark, 200)
+    want = sorted(map(tuple, knn(items, queries, 5, method="items", exclude_self=True).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 5000)
+    got = knn(items, queries, 5, method="queries", exclude_self=True, broadcast_bytes=0)
+    assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == want
+
+
+def test_cells_do_not_copy_rows_without_end(spark):
+    items, queries = vectors(spark, 600)
+    cells = similarity._cells(*similarity._whole(items, queries, 7, 3, 1000), ["query_id"])
+    assert [side.count() for side in cells] == [600 * similarity.FRAGMENTS] * 2
+    cells = similarity._cells(*similarity._whole(items, queries, 7, 3, 40), ["query_id"])
+    assert [side.count() for side in cells] == [600 * 15] * 2
+    want = sorted(map(tuple, knn(items, queries, 5, method="items").collect()))
+    got = knn(items, queries, 5, method="grid", cell_items=7, cell_queries=3)
+    assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == want
