@@ -5,7 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +23,17 @@ WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
+def text_slices(texts: pa.Array, most: int = 4 * 1024 * 1024) -> Iterator[pa.Array]:
+    """Neighbouring rows of up to ``most`` bytes, or one longer row, so that few become Python strings at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def strip(text: Column) -> Column:
     """Remove outer white space (one linear pass, no regular expression)."""
     return F.btrim(text, F.lit(WHITESPACE))

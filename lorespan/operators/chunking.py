@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from lorespan.functions.identity import chunk_id
 from lorespan.functions.splitter import split_text
+from lorespan.functions.text import text_slices
 from lorespan.operators.ordering import running_total
 from lorespan.session import run_once, spread
 
@@ -20,13 +21,15 @@ CORE_FIELDS = ("source_type", "source_url", "title", "file_path", "updated_at",
 def chunk_texts(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                 separators: Sequence[str] = SEPARATORS,
                 length: Callable[[str], int] = len) -> Column:
-    """``array<string>`` of chunks.  Only the text column goes to Python."""
+    """``array<string>`` of chunks.  Only the text column goes to Python, and only a slice of it is held as strings."""
     separators = tuple(separators)
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [] if t is None else split_text(t, size, overlap, separators, length))
+    @F.arrow_udf("array<string>")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in text_slices(batch):
+                yield pa.array([[] if t is None else split_text(t, size, overlap, separators, length)
+                                for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return run_once(pieces)(text)
 
