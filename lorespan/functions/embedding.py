@@ -7,15 +7,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.functions.text import text_slices
 from lorespan.session import run_once, spread
 
 DIM = 256
 _TOKEN = re.compile(r"[^\W_]+")
-_KNOWN_TOKENS = 500_000
+#: Bytes of text made into vectors at a time.
+_SLICE_BYTES = 2 * 1024 * 1024
+#: Tokens whose bucket a task remembers.
+_KNOWN_TOKENS = 100_000
 
 
 def bucket_of(token: str, dim: int) -> int:
@@ -30,6 +35,8 @@ class _Slots(dict):
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
+        if len(self) >= _KNOWN_TOKENS:
+            self.clear()
         slot = self[token] = bucket_of(token, self.dim)
         return slot
 
@@ -40,23 +47,25 @@ def hashed_words(dim: int = DIM) -> Callable[[Column], Column]:
     Runs beside the scan: one row in, one row out, no shuffle.
     """
 
-    @F.pandas_udf("array<float>")
-    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slots = _Slots(dim)
 
-        def one(text):
-            if text is None:
-                return None
+        def counted(text):
             tokens = _TOKEN.findall(text.lower())
-            found = np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens))
-            counts = np.bincount(found, minlength=dim)
-            norm = np.sqrt(float(np.dot(counts, counts)))
-            return (counts / norm if norm else counts).astype(np.float32)
-
-        for texts in batches:
-            if len(slots) > _KNOWN_TOKENS:
-                slots.clear()
-            yield texts.map(one)
+            return np.bincount(np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens)), minlength=dim)
+
+        for batch in batches:
+            for texts in text_slices(batch, _SLICE_BYTES):
+                counts = np.zeros((len(texts), dim))
+                for row, text in enumerate(texts.to_pylist()):
+                    if text is not None:
+                        counts[row] = counted(text)
+                norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+                rows = (counts / np.where(norms == 0, 1.0, norms)[:, None]).astype(np.float32)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), dim).cast(pa.list_(pa.float32()))
+                missing = texts.is_null()
+                yield pc.if_else(missing, pa.scalar(None, flat.type), flat) if texts.null_count else flat
 
     return run_once(vector)
 

@@ -1,7 +1,11 @@
 """Larger tables: folders of many files, sides beyond what is shared, long batches."""
 
 import numpy as np
+import pyarrow as pa
 import __spark_entry__ as entry
+from lorespan.functions.embedding import embed
+from lorespan.functions.text import text_slices
+from lorespan.operators.chunking import chunk_texts
 from lorespan.operators import similarity
 from lorespan.operators.similarity import knn
 
@@ -37,3 +41,21 @@ def test_cells_do_not_copy_rows_without_end(spark):
     want = sorted(map(tuple, knn(items, queries, 5, method="items").collect()))
     got = knn(items, queries, 5, method="grid", cell_items=7, cell_queries=3)
     assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == want
+
+
+def test_a_long_batch_is_read_in_slices(spark):
+    texts = pa.array(["aaaa", None, "", "bb", "c" * 9, None, "d"])
+    assert [part.to_pylist() for part in text_slices(texts, 6)] == [["aaaa", None, "", "bb"], ["c" * 9], [None, "d"]]
+    assert list(text_slices(texts.slice(0, 0))) == []
+
+
+def test_no_task_holds_a_batch_of_strings(spark, tmp_path):
+    """Vectors and chunks of one batch come in several pieces, row for row."""
+    rows = spark.range(40, numPartitions=1).selectExpr(
+        "id", "if(id % 7 = 3, null, repeat(concat('word', id, ' '), if(id % 2 = 0, 40000, 3))) text")
+    got = rows.select("id", "text", chunk_texts("text").alias("c"), embed("text").alias("v")).collect()
+    assert sum(len(r.text or "") for r in got) > 3 * 1024 * 1024
+    for r in got:
+        assert (r.v is None) == (r.text is None) and (r.c == []) == (r.text is None)
+        if r.text:
+            assert r.c[0].startswith(f"word{r.id} ") and len(set(r.v)) == 2 and abs(max(r.v) - 1) < 1e-6
