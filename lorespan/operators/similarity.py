@@ -139,6 +139,11 @@ class _Best:
         if self.held > self.limit:
             self._merge()
 
+    def settle(self) -> None:
+        """Raise the floors when many pairs were added since they were last."""
+        if self.held > self.limit // 4:
+            self._merge()
+
     def _cut(self, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["q", "score", "id"], ascending=[True, False, True])
         return part[part.groupby("q").cumcount() < self.k]

@@ -7,8 +7,9 @@ have at most the product of their entries at ``c`` plus the product of the lengt
 of what follows, so a list brings together only rows for which this reaches what the
 query still needs, and for which the lengths of ``PARTS`` parts of both vectors allow
 it too: part by part, a product of vectors is at most that of their lengths.  What a query needs is the threshold, or the ``k``-th best score
-among the heads of its heaviest lists.  The lists of a pair together say between
-which values its score lies, and only pairs that may be among the result are scored.
+it has found so far.  Lists are made in a task, of the rows it holds: few queries
+travel to the items, of many each fragment meets each fragment of the items.  Pairs
+are scored where they meet and only the best of each query leave a task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 
 from lorespan.fixed_values import TOP_K
 from lorespan.operators.ordering import keep_first
-from lorespan.operators.similarity import (SCORE_DIGITS, _lowest_copies, _matched, _top, _unit_rows, _usable,
+from lorespan.operators.similarity import (_BLOCK_QUERIES, CELL_BYTES, SCORE_DIGITS, _Best, _cells, _emit,
+                                           _lowest_copies, _top, _unit_rows, _usable, _whole, exact_scores,
                                            vector_width)
 from lorespan.session import cut_lineage
 
@@ -31,8 +33,10 @@ from lorespan.session import cut_lineage
 SLACK = 2 * 10.0 ** -SCORE_DIGITS
 #: Parts of a vector whose lengths travel with each entry.
 PARTS = 16
-#: Lists whose heads give a query its first scores.
-FIRST_LISTS = 4
+#: Queries of up to this size travel to the items.
+SHARED_BYTES = 4 * 1024 * 1024
+#: Items put in lists together, and pairs of entries that are looked at together.
+_BLOCK_ITEMS, _ENTRY_PAIRS = 4096, 1 << 20
 _MARK = ["_h1", "_h2"]
 
 
@@ -50,96 +54,141 @@ def _list_lengths(items: DataFrame, width: int) -> list[int]:
     return [lengths.get(place, 0) for place in range(width)]
 
 
-def _entries(rows: DataFrame, keys: Sequence[str], order: np.ndarray, floor: float, signed: bool) -> DataFrame:
-    """``(keys…, place, weight, reach, rest, parts)``: an entry, the length from it on, the length after it,
-    and the lengths of the vector's parts, rounded up.
+def _ordered(vectors: pa.Array, order: np.ndarray, signed: bool) -> np.ndarray:
+    """Rows of length one with their entries in the order of the lists."""
+    unit = _unit_rows(vectors, len(order))
+    if unit.shape[1] > len(order):
+        raise ValueError(f"vectors longer than width={len(order)}")
+    if not signed and (unit < 0).any():
+        raise ValueError("the best k of vectors with negative entries need knn")
+    return unit[:, order]
+
+
+class Lists:
+    """Inverted lists of some rows: entries by place, with the length from each on and after it.
 
     Entries from which on less than ``floor`` is left are in no list.
     """
-    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys]
-                          + [T.StructField("place", T.IntegerType())]
-                          + [T.StructField(c, T.DoubleType()) for c in ("weight", "reach", "rest")]
-                          + [T.StructField("parts", T.ArrayType(T.FloatType()))])
-    part = np.arange(len(order)) % PARTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, unit: np.ndarray, floor: float):
+        self.unit = unit
+        squares = unit * unit
+        reach = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
+        self.row, place = np.nonzero((unit != 0) & (reach >= floor - SLACK))
+        by_place = np.argsort(place, kind="stable")
+        self.row, self.place = self.row[by_place], place[by_place]
+        self.starts = np.searchsorted(self.place, np.arange(unit.shape[1] + 1))
+        self.weight, self.reach = unit[self.row, self.place], reach[self.row, self.place]
+        self.rest = np.sqrt(np.maximum(self.reach ** 2 - self.weight ** 2, 0.0)) * (1 + 1e-6)
+        # Lengths of the parts, rounded up.
+        part = np.arange(unit.shape[1]) % PARTS
+        lengths = np.sqrt(np.stack([squares[:, part == g].sum(axis=1) for g in range(PARTS)], axis=1))
+        self.parts = (lengths * (1 + 1e-5)).astype(np.float32)
+
+    def __len__(self):
+        return len(self.unit)
+
+
+def meet(wanted: Lists, items: Lists, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``(query row, item row)`` that meet in a list and may reach the query's ``need``.
+
+    Where the lists hold about as many entries as there are pairs, the lengths of
+    parts are compared for all pairs instead of entry by entry.
+    """
+    held = np.diff(items.starts)[wanted.place]
+    live = (wanted.reach >= need[wanted.row] - SLACK) & (held > 0)
+    if held[live].sum() > len(wanted) * len(items) / 4:
+        for a in range(0, len(wanted), _BLOCK_QUERIES):
+            least = (need[a:a + _BLOCK_QUERIES] - SLACK)[:, None].astype(np.float32) * (1 - np.float32(1e-6))
+            bound = wanted.parts[a:a + _BLOCK_QUERIES] @ items.parts.T
+            row, col = np.divmod(np.flatnonzero((bound >= least) & (bound > 0)), len(items))
+            yield row + a, col
+        return
+    at = np.flatnonzero(live)
+    at = at[np.argsort(wanted.row[at], kind="stable")]
+    ends = np.cumsum(held[at])
+    start = 0
+    while start < len(at):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _ENTRY_PAIRS, side="right")))
+        mine, n = at[start:stop], held[at[start:stop]]
+        q = np.repeat(mine, n)
+        i = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.starts[wanted.place[mine]], n)
+        least = need[wanted.row[q]] - SLACK
+        good = wanted.weight[q] * items.weight[i] + wanted.rest[q] * items.rest[i] >= least
+        row, col, least = wanted.row[q[good]], items.row[i[good]], least[good]
+        good = np.einsum("ij,ij->i", wanted.parts[row], items.parts[col]) * (1 + 1e-6) >= least
+        yield np.divmod(np.unique(row[good] * len(items) + col[good]), len(items))
+        start = stop
+
+
+def _search(best: _Best, wanted: Lists, items: Lists, ids: np.ndarray, threshold: float) -> None:
+    """Score what meets; with no threshold the k-th best score so far is what a query needs."""
+    for a in range(0, len(items), _BLOCK_ITEMS):
+        block = items if len(items) <= _BLOCK_ITEMS else Lists(items.unit[a:a + _BLOCK_ITEMS], threshold)
+        need = np.maximum(best.floor, threshold)
+        for row, col in meet(wanted, block, need):
+            score = exact_scores(wanted.unit, block.unit, row, col)
+            good = (score >= need[row] - SLACK) & (score >= threshold) & (score > 0)
+            if good.any():
+                best.add(row[good], score[good], ids[a + col[good]])
+        best.settle()
+
+
+def _by_shared(items: DataFrame, asked: DataFrame, k: int, schema: T.StructType, order: np.ndarray,
+               threshold: float, signed: bool) -> DataFrame:
+    """Few queries travel to the items, which are put in lists where they are read."""
+    table = _usable(asked.select(*_MARK, "vec").toArrow())
+    shared = items.sparkSession.sparkContext.broadcast((table.select(_MARK), _ordered(table.column("vec"), order, signed)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        keys, unit = shared.value
+        wanted, best, id_type = Lists(unit, threshold), _Best(k, len(unit)), None
         for batch in batches:
             batch = _usable(batch)
-            if not batch.num_rows:
-                continue
-            unit = _unit_rows(batch.column("vec"), len(order))
-            if unit.shape[1] > len(order):
-                raise ValueError(f"vectors longer than width={len(order)}")
-            if not signed and (unit < 0).any():
-                raise ValueError("the best k of vectors with negative entries need knn")
-            unit = unit[:, order]
-            reach = np.sqrt(np.cumsum((unit * unit)[:, ::-1], axis=1)[:, ::-1])
-            rest = np.concatenate([reach[:, 1:], np.zeros((len(unit), 1))], axis=1)
-            parts = np.sqrt(np.stack([(unit[:, part == g] ** 2).sum(axis=1) for g in range(PARTS)], axis=1))
-            parts = (parts * (1 + 1e-6)).astype(np.float32)
-            row, place = np.nonzero((unit != 0) & (reach >= floor - SLACK))
-            named = pa.Table.from_batches([batch]).select(list(keys)).take(pa.array(row))
-            columns = [named.column(i) for i in range(named.num_columns)]
-            columns += [pa.array(v) for v in (place, unit[row, place], reach[row, place], rest[row, place])]
-            columns.append(pa.FixedSizeListArray.from_arrays(pa.array(parts[row].ravel()), PARTS))
-            yield from pa.table(columns, names=arrow.names).cast(arrow).to_batches()
-
-    return rows.select(*keys, "vec").mapInArrow(run, schema)
-
-
-@F.arrow_udf(T.DoubleType())
-def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
-    left, right = _matched(_unit_rows(a), _unit_rows(b))
-    return pa.array(np.round(np.einsum("ij,ij->i", left, right), SCORE_DIGITS) + 0.0)
-
-
-def _scored(pairs: DataFrame, items: DataFrame, asked: DataFrame) -> DataFrame:
-    """Exact scores of ``(mark, item_id)`` pairs."""
-    both = (pairs.join(asked.select(*_MARK, F.col("vec").alias("_q")), _MARK)
-            .join(items.select("item_id", "vec"), "item_id"))
-    return both.select(*_MARK, "item_id", _cosines("_q", "vec").alias("score"))
-
-
-def candidates(lists: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(mark, item_id, low, high, need)``: pairs of some list whose score, between ``low`` and ``high``, may reach ``need``.
-
-    Along the order a pair's bound only falls, so the common coordinates whose bound
-    reaches the need are the first ones; what follows the last of them adds at most
-    the product of the lengths after it.
-    """
-    i, q = lists.alias("i"), wanted.alias("q")
-    product, after = F.col("q.weight") * F.col("i.weight"), F.col("q.rest") * F.col("i.rest")
-    parts = sum((F.col("q.parts")[g].cast("double") * F.col("i.parts")[g].cast("double") for g in range(PARTS)),
-                F.lit(0.0))
-    need = F.col("q.need") - SLACK
-    met = q.join(i, (F.col("q.place") == F.col("i.place")) & (product + after >= need) & (parts >= need))
-    pairs = met.groupBy(*[F.col(f"q.{c}") for c in _MARK], F.col("i.item_id"), F.col("q.need")).agg(
-        F.sum(product).alias("low"), F.min(after).alias("_after"))
-    return (pairs.select(*_MARK, "item_id", "low", (F.col("low") + F.col("_after")).alias("high"), "need")
-            .where(F.col("high") >= F.col("need") - SLACK))
-
-
-def _contenders(pairs: DataFrame, k: int) -> DataFrame:
-    """Without pairs that ``k`` others of the query exceed in any case."""
-    pairs = cut_lineage(pairs)
-    lows = keep_first(pairs, _MARK, [F.desc("low"), F.asc("item_id")], k, rank="_rank")
-    lows = lows.where(F.col("_rank") == k).select(*_MARK, F.col("low").alias("_low"))
-    return (pairs.join(lows, _MARK, "left")
-            .where(F.col("high") >= F.coalesce("_low", F.lit(0.0)) - SLACK).drop("_low"))
-
-
-def _first_needs(lists: DataFrame, wanted: DataFrame, items: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``(mark, need)``: the ``k``-th best of the scores with the heads of the heaviest lists, else 0."""
-    heads = keep_first(lists, ["place"], [F.desc("weight"), F.asc("item_id")], k)
-    tried = wanted.join(heads.select("place", "item_id", F.col("weight").alias("_w")), "place")
-    tried = keep_first(tried, _MARK, [F.desc(F.col("weight") * F.col("_w")), F.asc("item_id")], FIRST_LISTS * k)
-    best = _top(_scored(tried.select(*_MARK, "item_id").distinct(), items, asked), _MARK, k)
-    reached = best.where(F.col("rank") == k).select(*_MARK, F.col("score").alias("need"))
-    return asked.select(*_MARK).join(reached, _MARK, "left").select(
-        *_MARK, F.coalesce("need", F.lit(0.0)).alias("need"))
+            if batch.num_rows:
+                id_type = batch.column(0).type
+                _search(best, wanted, Lists(_ordered(batch.column(1), order, signed), threshold),
+                        batch.column(0).to_numpy(zero_copy_only=False), threshold)
+        if id_type is not None:
+            yield from _emit(best, keys, id_type, to_arrow_schema(schema)).to_batches()
+
+    return items.select("item_id", "vec").mapInArrow(scan, schema)
+
+
+def _scored(pairs: DataFrame, floor: float) -> DataFrame:
+    """Of the scored pairs that leave the tasks those above 0 and not below the floor."""
+    return pairs.where(F.col("score") >= floor).where("score > 0")
+
+
+def _by_fragments(items: DataFrame, asked: DataFrame, k: int, schema: T.StructType, order: np.ndarray,
+                  threshold: float, signed: bool, most: int) -> DataFrame:
+    """Fragments of both sides meet in groups of bounded size, and only the best of a group leave it."""
+    left, right = _cells(*_whole(items, asked, most, most, most), _MARK)
+    kind = items.schema["item_id"].dataType
+    none = {c: F.lit(None).cast("long") for c in _MARK}
+    both = left.withColumns(none).select("i", "q", "item_id", *_MARK, "vec", F.lit(True).alias("_item")).unionByName(
+        right.select("i", "q", F.lit(None).cast(kind).alias("item_id"), *_MARK, "vec", F.lit(False).alias("_item")))
+
+    def cell(rows: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, rows = to_arrow_schema(schema), _usable(rows)
+        side = rows.column("_item").to_numpy()
+        mine, keys = rows.filter(pa.array(side)), rows.filter(pa.array(~side))
+        if not mine.num_rows or not keys.num_rows:
+            return arrow.empty_table()
+        wanted = Lists(_ordered(keys.column("vec"), order, signed), threshold)
+        best, ids = _Best(k, len(wanted)), mine.column("item_id")
+        found, vectors = ids.to_numpy(), mine.column("vec")
+        for a in range(0, len(found), _BLOCK_ITEMS):
+            unit = _ordered(vectors.slice(a, _BLOCK_ITEMS), order, signed)
+            _search(best, wanted, Lists(unit, threshold), found[a:a + _BLOCK_ITEMS], threshold)
+        return _emit(best, keys.select(_MARK), ids.type, arrow)
+
+    return both.groupBy("i", "q").applyInArrow(cell, schema)
 
 
 def list_search(items: DataFrame, queries: DataFrame, k: int = TOP_K, *, query_keys: Sequence[str] = ("query_id",),
@@ -167,22 +216,15 @@ def list_search(items: DataFrame, queries: DataFrame, k: int = TOP_K, *, query_k
     # Rarest first; coordinates without any item first of all, so that they shorten what follows.
     order = np.argsort(np.array(_list_lengths(items, width)), kind="stable")
     signed, floor = threshold is not None, threshold or 0.0
-    lists = _entries(items, ["item_id"], order, floor, signed)
-    wanted = _entries(asked, _MARK, order, floor, signed)
-    if signed:
-        wanted = wanted.withColumn("need", F.lit(threshold))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in _MARK]
+                          + [items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    if 8 * width * asked.count() <= SHARED_BYTES:
+        found = _by_shared(items, asked, k, schema, order, floor, signed)
     else:
-        lists, wanted = cut_lineage(lists), cut_lineage(wanted)
-        needs = cut_lineage(_first_needs(lists, wanted, items, asked, k))
-        lowest = needs.agg(F.min("need")).first()[0] or 0.0
-        lists = lists.where(F.col("reach") >= lowest - SLACK)
-        wanted = wanted.join(needs, _MARK).where(F.col("reach") >= F.col("need") - SLACK)
-    pairs = candidates(lists, wanted)
-    if not signed:
-        pairs = _contenders(pairs, k)
-    found = _scored(pairs, items, asked).where(F.col("score") >= floor).where("score > 0")
+        found = _by_fragments(items, asked, k, schema, order, floor, signed, max(1, CELL_BYTES // (16 * width)))
+    found = _scored(found, floor)
     if not signed:
-        found = cut_lineage(found)
+        found = cut_lineage(_top(found, _MARK, k).drop("rank"))
         found = found.unionByName(_zero_scores(found, items, asked, k))
     best = _top(found, _MARK, k)
     return marked.select(*query_keys, *_MARK).join(best, _MARK).drop(*_MARK)

@@ -5,6 +5,7 @@ import pyarrow as pa
 import __spark_entry__ as entry
 from lorespan.functions.embedding import embed
 from lorespan.functions.text import text_slices
+from lorespan.operators import weighted_lists
 from lorespan.operators.chunking import chunk_texts
 from lorespan.operators import similarity
 from lorespan.operators.similarity import knn
@@ -59,3 +60,39 @@ def test_no_task_holds_a_batch_of_strings(spark, tmp_path):
         assert (r.v is None) == (r.text is None) and (r.c == []) == (r.text is None)
         if r.text:
             assert r.c[0].startswith(f"word{r.id} ") and len(set(r.v)) == 2 and abs(max(r.v) - 1) < 1e-6
+
+
+def test_lists_bring_few_pairs_together_and_lose_none():
+    rng = np.random.default_rng(5)
+    rows = np.zeros((500, 1024))
+    for row in rows:
+        row[rng.integers(0, 1024, 10)] += rng.uniform(0.5, 2, 10)
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    for width, most in ((1024, 500 * 500 / 10), (4, 500 * 500)):      # entry by entry, and by the parts of all pairs
+        few = unit[:, :width] if width == 1024 else np.abs(rng.standard_normal((500, 4)))
+        few = few / np.linalg.norm(few, axis=1)[:, None]
+        lists = weighted_lists.Lists(few, 0.3)
+        met = {(int(a), int(b)) for row, col in weighted_lists.meet(lists, lists, np.full(500, 0.3)) for a, b in zip(row, col)}
+        assert {(int(a), int(b)) for a, b in zip(*np.nonzero(few @ few.T >= 0.3))} <= met
+        assert len(met) <= most
+
+
+def test_only_the_best_of_each_query_leave_a_task(spark, monkeypatch):
+    """Before, every pair that met was written together with both of its vectors."""
+    rows = np.random.default_rng(6).uniform(0.1, 1, (300, 16)).tolist()       # every pair meets
+    items = spark.createDataFrame(list(enumerate(rows)), "item_id int, vec array<float>").repartition(2)
+    queries, left, kept = items.withColumnRenamed("item_id", "query_id"), [], weighted_lists._scored
+
+    def counted(pairs, *more):
+        left.append(pairs.count())
+        return kept(pairs, *more)
+
+    monkeypatch.setattr(weighted_lists, "_scored", counted)
+    for shared in (1 << 22, 0):
+        monkeypatch.setattr(weighted_lists, "SHARED_BYTES", shared)
+        for threshold in (None, 0.5):
+            got = weighted_lists.list_search(items, queries, 3, threshold=threshold, width=16)
+            want = knn(items, queries, 3, method="items")
+            assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == \
+                sorted(map(tuple, want.collect()))
+    assert max(left) <= 300 * 3 * 8
