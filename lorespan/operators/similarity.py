@@ -43,7 +43,7 @@ CODES_BROADCAST = 1 << 20
 #: Fragments of a side up to which the caller's cell sizes hold; beyond, cells grow to CELL_BYTES first.
 FRAGMENTS = 8
 #: Rows of a product, so that it stays in the cache, and numbers gathered for exact scores at a time.
-_BLOCK_QUERIES, _BLOCK_ITEMS, _PAIR_NUMBERS = 256, 4096, 1 << 21
+_BLOCK_QUERIES, _BLOCK_ITEMS, _PAIR_NUMBERS = 1024, 2048, 1 << 21
 
 
 # ---------------------------------------------------------------- in a task
@@ -119,12 +119,22 @@ class _Best:
     def _may_enter(self, scores: np.ndarray, first: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a block that may be among the best, and the floors that follow from the block."""
         floor = self.floor[first:first + len(scores)]
-        hit = scores >= (floor - slack)[:, None].astype(np.float32)
+        least = (floor - slack).astype(np.float32)
+        if self.k == 1:
+            # Only the queries whose highest product reaches their floor are looked through.
+            highest = scores.max(axis=1)
+            rows = np.flatnonzero(highest >= least)
+            if len(rows) < len(scores):
+                scores, highest = scores[rows], highest[rows]
+            kth = highest.astype(np.float64)
+            floor[rows] = np.maximum(floor[rows], kth - slack)
+            row, col = np.divmod(np.flatnonzero(scores >= (kth - 2 * slack).astype(np.float32)[:, None]), scores.shape[1])
+            return rows[row], col
+        hit = scores >= least[:, None]
         if scores.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(scores):
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
             some = scores[many]
-            kth = (some.max(axis=1) if self.k == 1 else
-                   np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k]).astype(np.float64)
+            kth = np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k].astype(np.float64)
             hit[many] &= some >= (kth - 2 * slack)[:, None].astype(np.float32)
             floor[many] = np.maximum(floor[many], kth - slack)
         return np.divmod(np.flatnonzero(hit), scores.shape[1])
@@ -392,11 +402,12 @@ def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequen
     # Without its length an empty vector would hash as none does.
     length = F.coalesce(F.size("vec"), F.lit(-1))
     mark = {"_h1": F.xxhash64(length, "vec"), "_h2": F.xxhash64(F.lit(7), length, "vec")}
-    marked = queries.withColumns(mark)
-    distinct = marked.groupBy("_h1", "_h2").agg(F.any_value("vec").alias("vec"))
+    # Vectors may cost more than the search, and both sides are read more than once.
+    marked = cut_lineage(queries.withColumns(mark))
+    distinct = cut_lineage(marked.groupBy("_h1", "_h2").agg(F.any_value("vec").alias("vec")))
     keys = ["_h1", "_h2"]
     inner = T.StructType([T.StructField(c, T.LongType()) for c in keys] + schema.fields[-2:])
-    lowest = _lowest_copies(items, k)
+    lowest = cut_lineage(_lowest_copies(items, k))
     best = _top(_by_cells(*cut(lowest, distinct), keys, k, inner), keys, k)
     if whole:
         best = cut_lineage(best)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lorespan.fixed_values import TOP_K
 from lorespan.operators.ordering import keep_first
-from lorespan.operators.similarity import (_BLOCK_QUERIES, CELL_BYTES, SCORE_DIGITS, _Best, _cells, _emit,
+from lorespan.operators.similarity import (CELL_BYTES, SCORE_DIGITS, _Best, _cells, _emit,
                                            _lowest_copies, _top, _unit_rows, _usable, _whole, exact_scores,
                                            vector_width)
 from lorespan.session import cut_lineage
@@ -35,8 +35,8 @@ SLACK = 2 * 10.0 ** -SCORE_DIGITS
 PARTS = 16
 #: Queries of up to this size travel to the items.
 SHARED_BYTES = 4 * 1024 * 1024
-#: Items put in lists together, and pairs of entries that are looked at together.
-_BLOCK_ITEMS, _ENTRY_PAIRS = 4096, 1 << 20
+#: Queries and items put in lists together, and pairs of entries that are looked at together.
+_BLOCK_QUERIES, _BLOCK_ITEMS, _ENTRY_PAIRS = 256, 4096, 1 << 20
 _MARK = ["_h1", "_h2"]
 
 

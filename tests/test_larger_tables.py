@@ -96,3 +96,18 @@ def test_only_the_best_of_each_query_leave_a_task(spark, monkeypatch):
             assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == \
                 sorted(map(tuple, want.collect()))
     assert max(left) <= 300 * 3 * 8
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    """Before, the grid made each query's vector three times."""
+    from pyspark.sql import functions as F
+
+    def slow(x):
+        (tmp_path / f"{x}-{np.random.default_rng().integers(1 << 60)}").touch()
+        return [float(x % 7), 1.0, float(x % 5)]
+
+    made = F.udf(slow, "array<double>").asNondeterministic()
+    queries = spark.range(40).select(F.col("id").alias("query_id"), made("id").alias("vec"))
+    items = spark.range(100, 130).select(F.col("id").alias("item_id"), made("id").alias("vec"))
+    assert knn(items, queries, 1, method="grid", width=3).count() == 40
+    assert len(list(tmp_path.iterdir())) == 70
