@@ -44,6 +44,8 @@ CODES_BROADCAST = 1 << 20
 FRAGMENTS = 8
 #: Rows of a product, so that it stays in the cache, and numbers gathered for exact scores at a time.
 _BLOCK_QUERIES, _BLOCK_ITEMS, _PAIR_NUMBERS = 1024, 2048, 1 << 21
+#: Unit vectors further apart than the first score below 1 when rounded; steps and number of the lines they are laid on.
+_NEAR, _STEP, _LINES = 4e-5, 2.5e-4, 4
 
 
 # ---------------------------------------------------------------- in a task
@@ -392,12 +394,13 @@ def _lowest_copies(items: DataFrame, n: int) -> DataFrame:
 
 
 def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], k: int,
-                        schema: T.StructType, cut, whole=None) -> DataFrame:
+                        schema: T.StructType, width: int, cut, whole=None) -> DataFrame:
     """Search once per distinct query vector, then give each query its rows.
 
     Copies on either side therefore cost no scoring.  Distinct vectors are told
-    apart by 128 bits of hash.  With ``whole``, those that find fewer than ``k``
-    items by ``cut`` search again by it.
+    apart by 128 bits of hash.  Where only the best is wanted, a query that has an
+    item in its own direction is done before anything meets in cells.  With
+    ``whole``, those that find fewer than ``k`` items by ``cut`` search again by it.
     """
     # Without its length an empty vector would hash as none does.
     length = F.coalesce(F.size("vec"), F.lit(-1))
@@ -408,7 +411,13 @@ def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequen
     keys = ["_h1", "_h2"]
     inner = T.StructType([T.StructField(c, T.LongType()) for c in keys] + schema.fields[-2:])
     lowest = cut_lineage(_lowest_copies(items, k))
+    found = None
+    if k == 1 and not whole:
+        found = cut_lineage(_top(_same_direction(lowest, distinct, keys, inner, width), keys, 1))
+        distinct = cut_lineage(distinct.join(found, keys, "left_anti"))
     best = _top(_by_cells(*cut(lowest, distinct), keys, k, inner), keys, k)
+    if found is not None:
+        best = best.unionByName(found)
     if whole:
         best = cut_lineage(best)
         full = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
@@ -419,6 +428,56 @@ def _by_distinct_vector(items: DataFrame, queries: DataFrame, query_keys: Sequen
     return marked.select(*query_keys, *keys).join(best, keys).drop(*keys)
 
 
+def _same_direction(items: DataFrame, queries: DataFrame, query_keys: Sequence[str], schema: T.StructType,
+                    width: int) -> DataFrame:
+    """Pairs with a score of 1, above which there is none, without a product of the sides.
+
+    Unit vectors of such a pair are less than ``_NEAR`` apart, and so are their
+    places on any line.  Rows meet by their steps on a few lines; a query near the
+    end of a step looks in the next one too.  What meets is scored as elsewhere.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    lines = np.random.default_rng(23).standard_normal((width, _LINES))
+    lines /= np.linalg.norm(lines, axis=0)
+    factors = np.random.default_rng(29).integers(1, 1 << 62, _LINES) | 1
+    turns = np.array(np.meshgrid(*[[0, 1]] * _LINES)).reshape(_LINES, -1).T
+
+    def stepped(df, names, reach):
+        out = T.StructType([T.StructField("code", T.LongType()), *(df.schema[c] for c in (*names, "vec"))])
+
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrow = to_arrow_schema(out)
+            for batch in batches:
+                batch = _usable(batch)
+                if not batch.num_rows:
+                    continue
+                unit = _unit_rows(batch.column("vec"), width)
+                at = unit[:, :width] @ lines
+                low, high = (np.floor((at + d) / _STEP).astype(np.int64) for d in (-reach, reach))
+                # One code for each corner whose turned steps differ.
+                use = ((high > low)[:, None, :] | (turns == 0)[None]).all(axis=2) & unit.any(axis=1)[:, None]
+                row, turn = np.nonzero(use)
+                code = (np.where(turns[turn] == 1, high[row], low[row]) * factors).sum(axis=1)
+                rows = pa.Table.from_batches([batch]).take(pa.array(row))
+                yield from pa.table([pa.array(code), *rows.columns], names=arrow.names).cast(arrow).to_batches()
+
+        return df.select(*names, "vec").mapInArrow(steps, out)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            a, b = _matched(_unit_rows(batch.column("query_vec")), _unit_rows(batch.column("vec")))
+            every = np.arange(batch.num_rows)
+            score = exact_scores(a, b, every, every)
+            rows = pa.Table.from_batches([batch]).select([*query_keys, "item_id"])
+            rows = rows.append_column("score", pa.array(score)).filter(pa.array(score >= 1.0))
+            yield from rows.cast(arrow).to_batches()
+
+    asked = stepped(queries, query_keys, _NEAR).withColumnRenamed("vec", "query_vec")
+    return asked.join(stepped(items, ["item_id"], 0.0), "code").drop("code").mapInArrow(scored, schema)
+
+
 def hyperplane_codes(dim: int, tables: int, bits: int, seed: int = 17, probes: int = 0):
     """Column function: one sign code per table, the table number in the high bits.
 
@@ -505,7 +564,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int = TOP_K, *,
             return _by_code(i, q, codes, probed, tables << bits, *sizes)
 
         cut = (whole,) if method == "grid" else (near, whole)
-        hits = _by_distinct_vector(items, queries, query_keys, want, schema, *cut)
+        hits = _by_distinct_vector(items, queries, query_keys, want, schema, width, *cut)
     else:
         raise ValueError(f"unknown method: {method}")
 

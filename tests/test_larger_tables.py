@@ -98,6 +98,30 @@ def test_only_the_best_of_each_query_leave_a_task(spark, monkeypatch):
     assert max(left) <= 300 * 3 * 8
 
 
+def test_queries_in_an_items_direction_meet_no_cell(spark, monkeypatch):
+    """Before, every query met every item although nothing scores above 1; rounding to 1 and copies count too."""
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((120, 8))
+    rows[60:80] = 3 * rows[:20]                                   # lower ids in the same direction
+    rows[80:90] = rows[20:30] * (1 + 1e-5 * rng.standard_normal((10, 8)))    # scores that round to 1
+    rows[90:100] = rows[30:40] * (1 + 1e-3 * rng.standard_normal((10, 8)))   # and some that do not
+    rows[100] = 0
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "item_id int, vec array<double>")
+    asked = np.concatenate([rows, rng.standard_normal((9, 8))])
+    queries = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(asked)], "query_id int, vec array<double>")
+    want = sorted(map(tuple, knn(items, queries, 1, method="items").collect()))
+    met, cells = [], similarity._by_cells
+
+    def counted(a, b, *more):
+        met.append(b.select("query_id" if "query_id" in b.columns else "_h1").distinct().count())
+        return cells(a, b, *more)
+
+    monkeypatch.setattr(similarity, "_by_cells", counted)
+    got = knn(items, queries, 1, method="grid", cell_items=50, cell_queries=40)
+    assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == want
+    assert met == [10]                                            # the zero row and the nine others
+
+
 def test_vectors_are_made_once(spark, tmp_path):
     """Before, the grid made each query's vector three times."""
     from pyspark.sql import functions as F
