@@ -70,6 +70,12 @@ def link_edges(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "dst_url"))
 
 
+def _marks(url: Column) -> list[Column]:
+    """128 bits of hash that stand for a URL; none without one."""
+    return [F.when(url.isNotNull(), F.xxhash64(*more, url)).alias(name)
+            for name, more in (("_h1", ()), ("_h2", (F.lit(7),)))]
+
+
 def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Visiting order of a first-in-first-out crawl: ``(visit, level, url)``.
 
@@ -81,20 +87,23 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     the plan of the last level is as short as that of the first and a lost
     executor repeats little.  A level of measured, moderate size is sent to the
     links; a larger one shuffles with them.  Runs a few jobs for each level.
+
+    All links are read at each level, so the page that holds one is named by 128
+    bits of hash, and whether a URL is skipped is asked of what a level finds only.
     """
     spark = seeds.sparkSession
     folder, schema = work_dir(spark, "visits"), "visit long, level int, url string"
-    links = spread(edges).select(trim_slashes(F.col("src_url")).alias("src_url"),
-                         F.col("pos").cast("long").alias("pos"),
-                         trim_slashes(F.col("dst_url")).alias("url"))
-    links = cut_lineage(links.where(~skipped(F.col("url"))))
-    queue = (seeds.select(F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"),
-                          trim_slashes(F.col("url")).alias("url"))
-             .where(~skipped(F.col("url"))))
+    links = cut_lineage(spread(edges.select(
+        *_marks(trim_slashes(F.col("src_url"))), F.col("pos").cast("long").alias("pos"),
+        trim_slashes(F.col("dst_url")).alias("url"))))
+    queue = seeds.select(F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"),
+                         trim_slashes(F.col("url")).alias("url"))
     level, done = 0, 0
     while done < max_pages:
         firsts = queue.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("first"))
-        firsts = firsts.select("url", "first.parent", "first.pos")
+        # Named in the condition, the aggregate keeps it from being asked of every link.
+        fetched = F.when(F.col("first").isNotNull(), ~skipped(F.col("url")))
+        firsts = firsts.where(fetched).select("url", "first.parent", "first.pos")
         if level:
             seen = spark.read.schema(schema).parquet(folder).select("url")
             firsts = firsts.join(seen, "url", "left_anti")
@@ -107,9 +116,11 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
         if n == 0:
             break
         done, level = done + n, level + 1
-        front = now.select(F.col("visit").alias("parent"), F.col("url").alias("src_url"))
+        front = now.select(F.col("visit").alias("parent"), *_marks(F.col("url")))
         front = F.broadcast(front) if is_small(front) else front.hint("merge")
-        queue = links.join(front, "src_url").select("parent", "pos", "url")
+        # One number to look a page up by, the other to tell it from those that share it.
+        queue = (links.join(front.withColumnRenamed("_h2", "_h3"), "_h1")
+                 .where(F.col("_h2").bitwiseXOR(F.col("_h3")) == 0).select("parent", "pos", "url"))
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(folder)

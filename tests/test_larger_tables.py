@@ -135,3 +135,36 @@ def test_vectors_are_made_once(spark, tmp_path):
     items = spark.range(100, 130).select(F.col("id").alias("item_id"), made("id").alias("vec"))
     assert knn(items, queries, 1, method="grid", width=3).count() == 40
     assert len(list(tmp_path.iterdir())) == 70
+
+
+def test_a_crawl_asks_the_skip_rule_of_found_urls_only(spark, monkeypatch, tmp_path):
+    """Before, every link was asked, and a level read and compared the URLs of all pages that hold links."""
+    from pyspark.sql import functions as F
+    from lorespan.operators import webpages
+
+    def rule(url):
+        if url is not None:
+            (tmp_path / url).touch()
+            return "login" in url
+
+    monkeypatch.setattr(webpages, "skipped", F.udf(rule, "boolean"))
+    edges = [("a", 0, "b"), ("a", 1, "login"), ("b", 0, "c/"), ("b", 1, "a"), (None, 0, "d"), ("c", 0, None)]
+    edges += [(f"x{n}", 0, f"x{n + 1}") for n in range(50)]
+    for small in (True, False):
+        monkeypatch.setattr(webpages, "is_small", lambda front, small=small: small)
+        got = webpages.crawl_order(spark.createDataFrame([(0, "a/")], "pos int, url string"),
+                                   spark.createDataFrame(edges, "src_url string, pos int, dst_url string"))
+        assert [(r.level, r.url) for r in got.orderBy("visit").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "c", "login"]
+
+
+def test_a_crawl_tells_pages_apart_that_share_a_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from lorespan.operators import webpages
+
+    marks = webpages._marks
+    monkeypatch.setattr(webpages, "_marks", lambda url: [
+        F.when(url.isNotNull(), F.lit(1).cast("long")).alias("_h1"), marks(url)[1]])
+    got = webpages.crawl_order(spark.createDataFrame([(0, "a")], "pos int, url string"),
+                               spark.createDataFrame([("a", 0, "b"), ("z", 0, "y")], "src_url string, pos int, dst_url string"))
+    assert [r.url for r in got.orderBy("visit").collect()] == ["a", "b"]
