@@ -28,6 +28,8 @@ MOST_BITS = 12
 #: Payload bytes of a frame; longer payloads become animations, whose frames decode side by side.
 FRAME_BYTES = 32 * 1024
 ROW_PIXELS = 16
+#: Colour cache of a frame, and about the bits that a symbol takes in a code.
+CACHE_BITS, CODE_BITS = 6, 6
 #: Table entries of the streams that are decoded side by side.
 TABLE_ENTRIES = 1 << 23
 
@@ -274,10 +276,12 @@ def decode_pixels(images: list[Image]) -> None:
     out_base = out_base[:-1]
     grouped = [i for i, image in enumerate(images) if image.groups is not None]
     cached = np.array([i for i, image in enumerate(images) if image.cache_bits], np.int64)
-    cache_bits = np.array([images[i].cache_bits for i in cached], np.uint64)
-    cache_base = np.append(0, np.cumsum(1 << cache_bits.astype(np.int64)))
+    cache_bits = np.array([images[i].cache_bits for i in cached], np.int64)
+    cache_base = np.append(0, np.cumsum(1 << cache_bits))
     cache = np.zeros(int(cache_base[-1]), np.uint32)
-    slot_of = {int(i): k for k, i in enumerate(cached)}
+    slot = np.zeros(len(images), np.int64)
+    slot[cached] = cache_base[:-1]
+    cache_shift = (32 - cache_bits).astype(np.uint32)
     copies = np.zeros(len(images), np.int64)
     distance = np.zeros(len(images), np.int64)
     group = first_group.copy()
@@ -295,15 +299,16 @@ def decode_pixels(images: list[Image]) -> None:
                     (y >> image.group_bits) * _blocks(image.width, image.group_bits) + (x >> image.group_bits)]
                 goff[:, i], gmask[:, i] = offsets[group[i]], masks[group[i]]
         place = at[:live]
-        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        word, shift = place >> 6, (place & 63).view(np.uint64)
         window = words[word] >> shift | words[word + 1] << (np.uint64(63) - shift) << one
-        entry = flat[goff[0, :live] + (window & gmask[0, :live]).astype(np.int64)]
+        entry = flat[goff[0, :live] + (window & gmask[0, :live]).view(np.int64)]
         green, used = entry >> 4, entry & 15
+        first = used
         spent = used.copy()
         pixel = green << 8
         for channel, to in ((1, 16), (2, 0), (3, 24)):
-            window = window >> used.astype(np.uint64)
-            entry = flat[goff[channel, :live] + (window & gmask[channel, :live]).astype(np.int64)]
+            window = window >> used.view(np.uint64)
+            entry = flat[goff[channel, :live] + (window & gmask[channel, :live]).view(np.int64)]
             used = entry & 15
             pixel = pixel | (entry >> 4) << to
             spent += used
@@ -312,16 +317,16 @@ def decode_pixels(images: list[Image]) -> None:
             spent[busy] = 0
             green[busy] = 0
         special = np.flatnonzero(green > 255) if int(green.max()) > 255 else ()
+        if len(special) and len(cached):
+            symbol = green[special]
+            named = special[symbol >= 256 + N_LENGTHS]
+            pixel[named] = cache[slot[named] + green[named] - (256 + N_LENGTHS)]
+            spent[named] = first[named]
+            special = special[symbol < 256 + N_LENGTHS]
         for i in special:
             i = int(i)
             image, symbol = images[i], int(green[i])
-            first = int(flat[goff[0, i] + (int(_window(words, at[i])) & int(gmask[0, i]))]) & 15
-            if symbol >= 256 + N_LENGTHS:
-                k = slot_of[i]
-                pixel[i] = cache[cache_base[k] + symbol - 256 - N_LENGTHS]
-                spent[i] = first
-                continue
-            bits = Bits(image.bits.data, int(at[i] - base[i]) + first)
+            bits = Bits(image.bits.data, int(at[i] - base[i]) + int(first[i]))
             length = _value(bits, symbol - 256)
             entry_d = int(flat[goff[4, i] + (int(_window(words, base[i] + bits.at)) & int(gmask[4, i]))])
             bits.at += entry_d & 15
@@ -339,10 +344,9 @@ def decode_pixels(images: list[Image]) -> None:
             copying = bool(copies.any())
         out[out_base[:live] + step] = pixel
         if len(cached):
-            k = np.flatnonzero(cached < live)
-            value = pixel[cached[k]].astype(np.uint64)
-            key = (value * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (np.uint64(32) - cache_bits[k])
-            cache[cache_base[k] + key.astype(np.int64)] = value.astype(np.uint32)
+            k = int(np.searchsorted(cached, live))
+            value = pixel[cached[:k]].astype(np.uint32)
+            cache[cache_base[:k] + (value * np.uint32(CACHE_FACTOR) >> cache_shift[:k])] = value
     for i, image in enumerate(images):
         image.pixels = out[out_base[i]:out_base[i] + counts[i]]
         image.bits.at = int(at[i] - base[i])
@@ -542,6 +546,15 @@ def _runs(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= least]
 
 
+def cache_places(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether the cache holds the pixel then."""
+    keys = (pixels * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    order = np.argsort(keys, kind="stable")
+    ranked, again = pixels[order], np.zeros(len(pixels), bool)
+    again[order[1:]] = ranked[1:] == ranked[:-1]
+    return keys, again
+
+
 def _write_image(writer: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Put the codes of an image; the bits of its pixels are returned."""
     runs = [(a + k, min(4096, n - k)) for a, n in _runs(pixels) for k in range(0, n, 4096)]
@@ -560,14 +573,9 @@ def _write_image(writer: Writer, pixels: np.ndarray, main: bool, cache_bits: int
     writer.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if cache_bits:
         # A pixel that the cache holds is named by its place there.
-        cache = [None] * (1 << cache_bits)
-        keys = ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).tolist()
-        values, kept = pixels.tolist(), dict(zip(place.tolist(), range(len(place))))
-        for p, (key, value) in enumerate(zip(keys, values)):
-            i = kept.get(p)
-            if i is not None and literal[i] and cache[key] == value:
-                green[i], literal[i] = 256 + N_LENGTHS + key, False
-            cache[key] = value
+        keys, again = cache_places(pixels, cache_bits)
+        named = literal & again[place]
+        green[named], literal[named] = 256 + N_LENGTHS + keys[place[named]].astype(np.int64), False
     if main:
         writer.put(0, 1)
     size = 256 + N_LENGTHS + (1 << cache_bits if cache_bits else 0)
@@ -716,14 +724,63 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     return [undo_transforms(image) for image in images]
 
 
+def _code_bits(counts: np.ndarray) -> float:
+    """About the bits of symbols and of their code."""
+    counts = counts[counts > 0]
+    total = counts.sum()
+    return float(total * np.log2(total) - (counts * np.log2(counts)).sum()) + CODE_BITS * len(counts) if total else 0.0
+
+
+def _cache_helps(pixels: np.ndarray) -> bool:
+    """Whether the colour cache is expected to save more than its code takes."""
+    keys, again = cache_places(pixels, CACHE_BITS)
+    if np.count_nonzero(again) * 8 < len(pixels):
+        return False
+    parts = pixels.view(np.uint8).reshape(-1, 4)
+    literal, green = parts[~again], np.bincount(parts[:, 1], minlength=256)
+    left = np.bincount(literal[:, 1], minlength=256)
+    all_, rest = (np.bincount(x.reshape(-1), minlength=256) for x in (parts, literal))
+    plain = _code_bits(green) + _code_bits(all_ - green)
+    short = _code_bits(np.append(left, np.bincount(keys[again]))) + _code_bits(rest - left)
+    return short < 0.98 * plain
+
+
+def _frame(pixels: np.ndarray) -> bytes:
+    """The stream of a frame, in a form that its own pixels choose.
+
+    It is written plainly and, where its colours are few, the colour cache is expected
+    to save bits, pixels often repeat the one above or the one before them, or samples
+    the green one, also with the palette, the cache or other transforms; the smallest
+    stream is taken.
+    """
+    flat = pixels.reshape(-1)
+    # Many different pixels at the start are enough to know that they are not few.
+    colours = len(np.unique(flat[:1024]))
+    if colours <= 256 and len(flat) > 1024:
+        colours = len(np.unique(flat))
+    few = colours <= 256 and len(flat) >= 4 * colours
+    best, tries = write_stream(pixels), [((PALETTE,), 0)] if few else []
+    if not few and _cache_helps(flat):
+        best = min(best, write_stream(pixels, (), CACHE_BITS), key=len)
+    if np.count_nonzero(pixels[1:] == pixels[:-1]) * 4 > len(flat):
+        tries += [((PREDICTOR,), 2), ((PREDICTOR, SUBTRACT_GREEN), 2)]
+    if np.count_nonzero(flat[1:] == flat[:-1]) * 4 > len(flat):
+        tries += [((PREDICTOR,), 1)]
+    parts = flat.view(np.uint8).reshape(-1, 4)
+    if np.count_nonzero(parts[:, 1] == parts[:, 2]) * 4 > len(flat):
+        tries += [((SUBTRACT_GREEN,), 0), ((CROSS_COLOUR,), 0)]
+    for transforms, mode in tries:
+        best = min(best, write_stream(pixels, transforms, block_bits=9, mode=mode), key=len)
+    return best
+
+
 def store(payload: bytes) -> bytes:
     """A payload of whole 64-byte rows as the red, green, blue and alpha samples of an image."""
     streams, sizes = [], []
     for a in range(0, len(payload), FRAME_BYTES):
         samples = np.frombuffer(payload[a:a + FRAME_BYTES], np.uint8).reshape(-1, 4)
         pixels = np.ascontiguousarray(samples[:, [2, 1, 0, 3]]).reshape(-1).view(np.uint32).reshape(-1, ROW_PIXELS)
-        few = len(np.unique(pixels[:64])) <= 256 and len(np.unique(pixels)) <= 256
-        streams.append(write_stream(pixels, (PALETTE,) if few and pixels.size >= 4 * len(np.unique(pixels)) else ()))
+        streams.append(_frame(pixels))
         sizes.append((ROW_PIXELS, len(pixels)))
     return write_file(streams, sizes)
 

@@ -91,3 +91,26 @@ def test_media_columns(spark):
     assert rows[0][1:] == rows[1][1:] and rows[5][1:] == rows[7][1:]
     assert "frames=5" in rows[6].feature
     assert media_columns(df.limit(0)).count() == 0
+
+
+def test_frames_choose_their_form():
+    """Before, the cache and the transforms were written by tests alone; no frame is larger than without them."""
+    import pyarrow.parquet as pq
+
+    numbered = "".join(f"{i:05d} one line of text that repeats but for the number before it.\n"[:64] for i in range(300))
+    greys = "".join(chr(32 + int(c)) * 4 for c in rng.integers(0, 90, 4000))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() + [numbered, greys]
+    used = set()
+    for text in texts:
+        raw = (text or "").encode()[:webp.FRAME_BYTES]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        file = webp.store(payload)
+        image = webp.read_stream(webp.read_file(file)[0])
+        form = (*(t[0] for t in image.transforms), *("cache",) * bool(image.cache_bits))
+        used |= set(form)
+        if form and webp.PALETTE not in form:
+            samples = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+            pixels = np.ascontiguousarray(samples[:, [2, 1, 0, 3]]).view(np.uint32).reshape(-1, webp.ROW_PIXELS)
+            assert len(webp.read_file(file)[0]) <= len(webp.write_stream(pixels))
+            assert webp.load_many([file])[0][0] == payload
+    assert used >= {"cache", webp.PALETTE, webp.PREDICTOR, webp.SUBTRACT_GREEN}
