@@ -219,16 +219,16 @@ def _ordered() -> list:
     return [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
 
 
-def _entries(sets: DataFrame, percent: int) -> DataFrame:
+def _entries(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """``item, id, n, c, level, rest, parity`` of every prefix shingle that more than one set has, written once.
 
     ``c`` is the length of the list.  ``rest`` is the most that the set can share with another
     whose first common shingle this is.
     """
-    spread = sets.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "item"))
-    # The set's other columns do not travel where lists are counted.
-    shared = spread.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
-    return cut_lineage(spread.join(shared, "item").selectExpr(
+    places = prefixes.select("id", F.posexplode("prefix").alias("pos", "item"))
+    shared = places.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+    # Most shingles stand in one set: only those that are shared meet the set's other columns.
+    return cut_lineage(places.join(shared, "item").join(sets.select("id", "n", "parity"), "id").selectExpr(
         "item", "id", "n", "c", f"cast(floor(ln(n) / ln({100 / percent}D)) as int) as level", "n - pos as rest", "parity"))
 
 
@@ -301,10 +301,11 @@ def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _profiles(docs, size, percent, common_shingles(docs, size))
     first = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
-    sets = cut_lineage(rows.join(first.select("id"), "id", "left_semi").select("id", "doc_id", "hash", "n", "bits", "parity", "prefix"))
-    entries = _entries(sets, percent)
+    sets = cut_lineage(rows.select("id", "doc_id", "hash", "n", "bits", "parity").join(first.select("id"), "id", "left_semi"))
+    # Prefixes, the largest column, are written with the rows alone.
+    entries = _entries(sets, rows.select("id", "prefix").join(sets.select("id"), "id", "left_semi"), percent)
     parities = sets.select("id", "parity")
-    sets = sets.drop("prefix", "parity")
+    sets = sets.drop("parity")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
     # Centres: the set that most of a set's lists have as their head, among those of about its size.

@@ -1,9 +1,12 @@
+import contextlib
+import io
 import random
 import re
 
 import numpy as np
 import pytest
 
+from lorespan.llm import jaccard_join
 from lorespan.llm.components import components
 from lorespan.llm.jaccard_join import _items, bitmap, bitmap_distance, parity, similar_components
 
@@ -91,3 +94,32 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 200), (301, 300)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 300: 300, 301: 300}
+
+
+def test_lists_are_counted_without_the_other_columns(spark, monkeypatch):
+    """Before, the parities of a set travelled with each of its shingles to where lists are counted, and prefixes were written twice."""
+    plans, written = [], []
+    cut = jaccard_join.cut_lineage
+
+    def recorded(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plans.append(out.getvalue())
+        written.append(df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(jaccard_join, "cut_lineage", recorded)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, " ".join(f"w{(i // 2) * 40 + j}" for j in range(40)) + f" {'x' * (i % 2)}") for i in range(20)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in similar_components(docs, 4, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {i: i - i % 2 for i in range(20)}
+    assert sum("prefix" in columns for columns in written) == 1
+    lists = plans[next(i for i, columns in enumerate(written) if "rest" in columns)]
+    dealt = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(item#", lists)
+    assert dealt and not any("parity" in columns for columns in dealt)
