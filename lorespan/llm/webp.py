@@ -8,7 +8,8 @@ cross-colour, subtract-green and palette transforms.  Pixels are 32-bit ARGB.
 
 from __future__ import annotations
 
-import heapq
+import functools
+import math
 import struct
 from dataclasses import dataclass, field
 
@@ -50,11 +51,11 @@ def code_table(lengths: np.ndarray) -> np.ndarray:
     """Look-up by the next bits of a stream: ``symbol << 4 | bits`` for canonical code lengths."""
     used = np.flatnonzero(lengths)
     if len(used) < 2:
-        return (used if len(used) else np.zeros(1, np.int64)) << 4
+        return (used if len(used) else np.zeros(1, np.int64)).astype(np.uint32) << 4
     used = used[np.argsort(lengths[used], kind="stable")]
     bits = lengths[used].astype(np.int64)
     most = int(bits[-1])
-    table = np.repeat(used << 4 | bits, 1 << (most - bits))
+    table = np.repeat((used << 4 | bits).astype(np.uint32), 1 << (most - bits))
     if len(table) != 1 << most:
         raise ValueError("a prefix code is not complete")
     return table[_REVERSED[most]]
@@ -70,13 +71,26 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     weights = counts[used].tolist()
     while True:
         n = len(weights)
-        heap = sorted(zip(weights, range(n)))
-        parent = [0] * (2 * n - 1)
+        # Sums never fall, so the least is the next leaf or the next sum; a leaf goes before an equal sum.
+        leaves = sorted(zip(weights, range(n)))
+        leaves.append((math.inf, 0))
+        sums, parent = [], [0] * (2 * n - 1)
+        i = j = 0
         for node in range(n, 2 * n - 1):
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = node
-            heapq.heapreplace(heap, (a + b, node))
+            weight, child = leaves[i]
+            if j < node - n and sums[j] < weight:
+                weight, child = sums[j], n + j
+                j += 1
+            else:
+                i += 1
+            other, second = leaves[i]
+            if j < node - n and sums[j] < other:
+                other, second = sums[j], n + j
+                j += 1
+            else:
+                i += 1
+            parent[child] = parent[second] = node
+            sums.append(weight + other)
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -118,31 +132,40 @@ class Bits:
         return int.from_bytes(self.data[at >> 3:(at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
+@functools.lru_cache(256)
+def _length_table(n: int, packed: int) -> list[int]:
+    """The table of the code of the code lengths, from its own first ``n`` lengths of three bits."""
+    first = np.zeros(19, np.uint8)
+    first[list(LENGTH_ORDER[:n])] = [packed >> 3 * i & 7 for i in range(n)]
+    return code_table(first).tolist()
+
+
 def read_code(bits: Bits, size: int) -> np.ndarray:
     """Code lengths of an alphabet; a code of one symbol takes no bits."""
-    lengths = np.zeros(size, np.uint8)
+    lengths = bytearray(size)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return lengths
-    first = np.zeros(19, np.uint8)
-    for i in range(4 + bits.read(4)):
-        first[LENGTH_ORDER[i]] = bits.read(3)
-    table = code_table(first).tolist()
+        return np.frombuffer(lengths, np.uint8)
+    n = 4 + bits.read(4)
+    table = _length_table(n, bits.read(3 * n))
     mask = len(table) - 1
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     data, at, symbol, last = bits.data, bits.at, 0, 8
+    window = held = 0
     while symbol < size and left:
         left -= 1
-        window = int.from_bytes(data[at >> 3:(at >> 3) + 4], "little") >> (at & 7)
+        if held < 14:  # the longest token
+            window, held = int.from_bytes(data[at >> 3:(at >> 3) + 8], "little") >> (at & 7), 64 - (at & 7)
         entry = table[window & mask]
         used, value = entry & 15, entry >> 4
         window >>= used
         at += used
+        held -= used
         if value < 16:
             lengths[symbol] = value
             symbol += 1
@@ -150,13 +173,16 @@ def read_code(bits: Bits, size: int) -> np.ndarray:
         else:
             extra, base, fill = ((2, 3, last), (3, 3, 0), (7, 11, 0))[value - 16]
             count = base + (window & ((1 << extra) - 1))
+            window >>= extra
             at += extra
+            held -= extra
             if symbol + count > size:
                 raise ValueError("a prefix code is too long")
-            lengths[symbol:symbol + count] = fill
+            if fill:
+                lengths[symbol:symbol + count] = bytes([fill]) * count
             symbol += count
     bits.at = at
-    return lengths
+    return np.frombuffer(lengths, np.uint8)
 
 
 @dataclass
@@ -307,7 +333,7 @@ def decode_pixels(images: list[Image]) -> None:
         spent = used.copy()
         pixel = green << 8
         for channel, to in ((1, 16), (2, 0), (3, 24)):
-            window = window >> used.view(np.uint64)
+            window = window >> used
             entry = flat[goff[channel, :live] + (window & gmask[channel, :live]).view(np.int64)]
             used = entry & 15
             pixel = pixel | (entry >> 4) << to
@@ -487,28 +513,18 @@ class Writer:
             if len(used) == 2:
                 self.put(used[1], 8)
             return
-        self.put(0 | 15 << 1, 5)
-        for symbol in LENGTH_ORDER:
-            self.put(4 if symbol in _LENGTH_CODE else 0, 3)
-        tokens, last = [], -1
-        for symbol, length in zip(used, lengths[used].tolist()):
-            gap = symbol - last - 1
-            while gap:
-                if gap >= 11:
-                    n = min(gap, 138)
-                    tokens.append((_LENGTH_CODE[18] | (n - 11) << 4, 11))
-                elif gap >= 3:
-                    n = gap
-                    tokens.append((_LENGTH_CODE[17] | (n - 3) << 4, 7))
-                else:
-                    n = 1
-                    tokens.append((_LENGTH_CODE[0], 4))
-                gap -= n
-            tokens.append((_LENGTH_CODE[length], 4))
+        self.put(*_LENGTHS_HEAD)
+        lengths_used = lengths[used].tolist()
+        tokens, n, last = [], 0, -1
+        for symbol, length in zip(used, lengths_used):
+            value, size, count = _gap(symbol - last - 1)
+            tokens.append((value | _LENGTH_CODE[length] << size, size + 4))
+            n += count + 1
             last = symbol
-        self.put(1 | 4 << 1 | (len(tokens) - 2) << 4, 14)
-        for value, size in tokens:
-            self.put(value, size)
+        self.put(1 | 4 << 1 | (n - 2) << 4, 14)
+        values, sizes = zip(*tokens)
+        self.values += values
+        self.sizes += sizes
 
     def bytes(self, *more: tuple[np.ndarray, np.ndarray]) -> bytes:
         values = np.concatenate([np.array(self.values, np.uint64), *(v for v, _ in more)])
@@ -526,6 +542,24 @@ class Writer:
 
 
 _LENGTH_CODE = {s: int(_REVERSED[4][i]) for i, s in enumerate((*range(14), 17, 18))}
+#: That a code is not simple, and the length of each symbol in the code of its lengths.
+_LENGTHS_HEAD = (15 << 1 | sum((4 if s in _LENGTH_CODE else 0) << 5 + 3 * i for i, s in enumerate(LENGTH_ORDER)), 5 + 3 * len(LENGTH_ORDER))
+
+
+@functools.cache
+def _gap(gap: int) -> tuple[int, int, int]:
+    """Bits, their number and the number of tokens of so many symbols that are not used."""
+    value = size = count = 0
+    while gap:
+        if gap >= 11:
+            n = min(gap, 138)
+            token, bits = _LENGTH_CODE[18] | (n - 11) << 4, 11
+        elif gap >= 3:
+            n, token, bits = gap, _LENGTH_CODE[17] | (gap - 3) << 4, 7
+        else:
+            n, token, bits = 1, _LENGTH_CODE[0], 4
+        value, size, count, gap = value | token << size, size + bits, count + 1, gap - n
+    return value, size, count
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -563,10 +597,10 @@ def _write_image(writer: Writer, pixels: np.ndarray, main: bool, cache_bits: int
         keep[a:a + n] = False
     keep[[a for a, _ in runs]] = True
     place = np.flatnonzero(keep)
-    parts = pixels[place].view(np.uint8).reshape(-1, 4).astype(np.int64)
-    green = parts[:, 1].copy()
+    parts = pixels[place].view(np.uint8).reshape(-1, 4)
+    green = parts[:, 1].astype(np.int64)
     literal = np.ones(len(place), bool)
-    extra, extra_bits = np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64)
+    extra, extra_bits = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
     for (_, n), i in zip(runs, np.searchsorted(place, [a for a, _ in runs]).tolist()):
         symbol, value, size = prefix_of(n)
         green[i], literal[i], extra[i], extra_bits[i] = 256 + symbol, False, value, size
@@ -580,7 +614,8 @@ def _write_image(writer: Writer, pixels: np.ndarray, main: bool, cache_bits: int
         writer.put(0, 1)
     size = 256 + N_LENGTHS + (1 << cache_bits if cache_bits else 0)
     lengths_green = code_lengths(np.bincount(green, minlength=size))
-    others = parts[literal][:, [2, 0, 3]]
+    literal = np.flatnonzero(literal)
+    others = parts[:, [2, 0, 3]] if len(literal) == len(parts) else parts[literal][:, [2, 0, 3]]
     lengths_other = code_lengths(np.bincount(others.reshape(-1), minlength=256))
     writer.code(lengths_green)
     begin = len(writer.values)
@@ -588,17 +623,22 @@ def _write_image(writer: Writer, pixels: np.ndarray, main: bool, cache_bits: int
     writer.values += writer.values[begin:] * 2
     writer.sizes += writer.sizes[begin:] * 2
     writer.code(np.array([0, int(bool(runs))] + [0] * (N_DISTANCES - 2)))
-    bits_green = np.where(np.count_nonzero(lengths_green) > 1, lengths_green, 0)
-    bits_other = np.where(np.count_nonzero(lengths_other) > 1, lengths_other, 0)
+    bits_green, bits_other = (np.where(np.count_nonzero(x) > 1, x, 0).astype(np.uint64) for x in (lengths_green, lengths_other))
     codes_green, codes_other = codes_of(lengths_green), codes_of(lengths_other)
     values, sizes = codes_green[green], bits_green[green]
-    values |= extra << sizes.astype(np.uint64)
-    sizes = sizes + extra_bits
+    values |= extra << sizes
+    sizes += extra_bits
+    if len(literal) < len(values):
+        all_values, all_sizes = values, sizes
+        values, sizes = values[literal], sizes[literal]
     for channel in range(3):
         symbol = others[:, channel]
-        values[literal] |= codes_other[symbol] << sizes[literal].astype(np.uint64)
-        sizes[literal] += bits_other[symbol]
-    return values, sizes
+        values |= codes_other[symbol] << sizes
+        sizes += bits_other[symbol]
+    if len(literal) < len(parts):
+        all_values[literal], all_sizes[literal] = values, sizes
+        values, sizes = all_values, all_sizes
+    return values, sizes.view(np.int64)
 
 
 def write_stream(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, block_bits: int = 2, mode: int = 11) -> bytes:
@@ -731,6 +771,11 @@ def _code_bits(counts: np.ndarray) -> float:
     return float(total * np.log2(total) - (counts * np.log2(counts)).sum()) + CODE_BITS * len(counts) if total else 0.0
 
 
+def _distinct(values: np.ndarray) -> int:
+    values = np.sort(values)
+    return int(np.count_nonzero(values[1:] != values[:-1])) + 1
+
+
 def _cache_helps(pixels: np.ndarray) -> bool:
     """Whether the colour cache is expected to save more than its code takes."""
     keys, again = cache_places(pixels, CACHE_BITS)
@@ -755,9 +800,9 @@ def _frame(pixels: np.ndarray) -> bytes:
     """
     flat = pixels.reshape(-1)
     # Many different pixels at the start are enough to know that they are not few.
-    colours = len(np.unique(flat[:1024]))
+    colours = _distinct(flat[:1024])
     if colours <= 256 and len(flat) > 1024:
-        colours = len(np.unique(flat))
+        colours = _distinct(flat)
     few = colours <= 256 and len(flat) >= 4 * colours
     best, tries = write_stream(pixels), [((PALETTE,), 0)] if few else []
     if not few and _cache_helps(flat):

@@ -114,3 +114,38 @@ def test_frames_choose_their_form():
             assert len(webp.read_file(file)[0]) <= len(webp.write_stream(pixels))
             assert webp.load_many([file])[0][0] == payload
     assert used >= {"cache", webp.PALETTE, webp.PREDICTOR, webp.SUBTRACT_GREEN}
+
+
+def test_a_code_is_put_in_few_numbers_and_read_back():
+    """Before, a code took 20 numbers for its head and one to three for each gap between symbols."""
+    for size, most in ((256, 256), (280, 30), (344, 5), (344, 344), (40, 39)):
+        counts = np.bincount(rng.integers(0, most, 60) * (size - 1) // max(most - 1, 1), minlength=size)
+        lengths = webp.code_lengths(counts)
+        writer = webp.Writer()
+        writer.code(lengths)
+        assert len(writer.values) <= np.count_nonzero(lengths) + 2
+        for shift in range(8):
+            bits = webp.Bits((int.from_bytes(writer.bytes(), "little") << shift).to_bytes(400, "little"), shift)
+            assert np.array_equal(webp.read_code(bits, size), lengths) and bits.at - shift == sum(writer.sizes)
+
+
+def test_code_lengths_are_those_of_a_heap():
+    """Ties are broken by the place of the leaf or sum, so that files stay as they were."""
+    import heapq
+
+    for n in (2, 3, 17, 200):
+        counts = rng.integers(1, 4 + n, n)
+        heap, parent = [(int(w), i) for i, w in enumerate(counts)], {}
+        heapq.heapify(heap)
+        for node in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = node
+            heapq.heappush(heap, (a + b, node))
+        want = []
+        for i in range(n):
+            depth = 0
+            while i in parent:
+                i, depth = parent[i], depth + 1
+            want.append(depth)
+        if max(want) <= webp.MOST_BITS:
+            assert webp.code_lengths(counts).tolist() == want
