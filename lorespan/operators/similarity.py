@@ -44,6 +44,9 @@ CODES_BROADCAST = 1 << 20
 FRAGMENTS = 8
 #: Rows of a product, so that it stays in the cache, and numbers gathered for exact scores at a time.
 _BLOCK_QUERIES, _BLOCK_ITEMS, _PAIR_NUMBERS = 1024, 2048, 1 << 21
+#: Rows of a side and entries of a row from which on products are bounded first, items of such a block,
+#: and products of a block that cost as much as that of a single pair.
+_MANY_ROWS, _MANY_COLUMNS, _BOUND_ITEMS, _PAIR_COST = 2048, 64, 1024, 32
 #: Unit vectors further apart than the first score below 1 when rounded; steps and number of the lines they are laid on.
 _NEAR, _STEP, _LINES = 4e-5, 2.5e-4, 4
 
@@ -107,32 +110,113 @@ class _Best:
         self.floor = np.full(n_queries, -np.inf)
         self.parts: list[pd.DataFrame] = []
         self.held = 0
+        #: Products of a whole query and a whole item in single precision.
+        self.products = 0
 
     def offer(self, queries: np.ndarray, items: np.ndarray, ids: np.ndarray) -> None:
+        if self.k == 1 and min(len(queries), len(items)) >= _MANY_ROWS and queries.shape[1] >= _MANY_COLUMNS:
+            return self._offer_by_bounds(queries, items, ids)
         near, far = queries.astype(np.float32), items.astype(np.float32)
         slack = (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS
         for a in range(0, len(near), _BLOCK_QUERIES):
             for b in range(0, len(far), _BLOCK_ITEMS):
-                row, col = self._may_enter(near[a:a + _BLOCK_QUERIES] @ far[b:b + _BLOCK_ITEMS].T, a, slack)
+                scores = near[a:a + _BLOCK_QUERIES] @ far[b:b + _BLOCK_ITEMS].T
+                self.products += scores.size
+                if self.k == 1:
+                    row, col = self._highest(scores, np.arange(a, a + len(scores)), slack)
+                else:
+                    row, col = self._may_enter(scores, a, slack)
+                    row = row + a
                 if len(row):
-                    row, col = row + a, col + b
+                    col = col + b
                     self.add(row, exact_scores(queries, items, row, col), ids[col])
 
+    def _offer_by_bounds(self, queries: np.ndarray, items: np.ndarray, ids: np.ndarray) -> None:
+        """Products only where a bound of them reaches the query's floor (``k`` = 1).
+
+        Queries are taken by their nearest of a few directions and items from the nearest
+        to it on.  The angles end a block of queries where no later item can reach a
+        floor, ``product_bounds`` leave out single pairs.  Where these leave out little,
+        products follow at once.
+        """
+        near, far = queries.astype(np.float32), items.astype(np.float32)
+        slack = 3 * (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS
+        of_queries, of_items = product_bounds(near, far)
+        towards = _directions(queries)
+        along = queries @ towards.T
+        taken = along.argmax(axis=1)
+        for c, direction in enumerate(towards):
+            mine = np.flatnonzero(taken == c)
+            mine = mine[np.argsort(-along[mine, c], kind="stable")]
+            if not len(mine):
+                continue
+            reach = items @ direction
+            order = np.argsort(-reach, kind="stable")
+            reach, right, right_bounds = reach[order], far[order], of_items[order]
+            # The first block is small, as nothing can be left out before a query has a floor.
+            starts = [0, *range(_BOUND_ITEMS // 4, len(order), _BOUND_ITEMS)]
+            bounded = full = 0
+            for a in range(0, len(mine), _BLOCK_QUERIES):
+                rows = mine[a:a + _BLOCK_QUERIES]
+                left, left_bounds, cosine = near[rows], of_queries[rows], along[rows, c]
+                for b, end in zip(starts, [*starts[1:], len(order)]):
+                    least = self.floor[rows] - slack
+                    live = _angle_bound(cosine, reach[b]) >= least
+                    if not live.any():
+                        break
+                    if np.count_nonzero(live) < 0.9 * len(rows):
+                        rows, left, left_bounds, cosine, least = (
+                            x[live] for x in (rows, left, left_bounds, cosine, least))
+                    block = right[b:end]
+                    if bounded < 8 * _BLOCK_QUERIES * _BOUND_ITEMS or full < 0.6 * bounded:
+                        high = left_bounds @ right_bounds[b:end].T
+                        bounded += high.size
+                        least = least.astype(np.float32)
+                        some = np.flatnonzero(high.max(axis=1) >= least)
+                        row, col = np.divmod(np.flatnonzero(high[some] >= least[some, None]), len(block))
+                        if len(row) * _PAIR_COST < len(some) * len(block):
+                            row, col = self._highest_pairs(_products(left, block, some[row], col), rows[some[row]], col, slack)
+                            full += len(row) * _PAIR_COST
+                        else:
+                            scores = left[some] @ block.T
+                            row, col = self._highest(scores, rows[some], slack)
+                            full += scores.size
+                            self.products += scores.size
+                    else:
+                        scores = left @ block.T
+                        row, col = self._highest(scores, rows, slack)
+                        self.products += scores.size
+                    if len(row):
+                        col = order[b + col]
+                        self.add(row, exact_scores(queries, items, row, col), ids[col])
+
+    def _highest(self, scores: np.ndarray, rows: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block that may be the best of the queries in ``rows``, whose floors follow (``k`` = 1)."""
+        # Only the queries whose highest product reaches their floor are looked through.
+        highest = scores.max(axis=1)
+        some = np.flatnonzero(highest >= (self.floor[rows] - slack).astype(np.float32))
+        if len(some) < len(rows):
+            scores, highest, rows = scores[some], highest[some], rows[some]
+        highest = highest.astype(np.float64)
+        self.floor[rows] = np.maximum(self.floor[rows], highest - slack)
+        row, col = np.divmod(np.flatnonzero(scores >= (highest - 2 * slack).astype(np.float32)[:, None]), scores.shape[1])
+        return rows[row], col
+
+    def _highest_pairs(self, scores: np.ndarray, rows: np.ndarray, cols: np.ndarray, slack: float):
+        """As ``_highest`` for single pairs, those of a query one after another."""
+        self.products += len(scores)
+        if not len(scores):
+            return rows, cols
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        highest = np.maximum.reduceat(scores, first).astype(np.float64)
+        floor = self.floor[rows[first]] = np.maximum(self.floor[rows[first]], highest - slack)
+        good = scores >= np.repeat(floor - slack, np.diff(np.append(first, len(rows)))).astype(np.float32)
+        return rows[good], cols[good]
+
     def _may_enter(self, scores: np.ndarray, first: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a block that may be among the best, and the floors that follow from the block."""
         floor = self.floor[first:first + len(scores)]
-        least = (floor - slack).astype(np.float32)
-        if self.k == 1:
-            # Only the queries whose highest product reaches their floor are looked through.
-            highest = scores.max(axis=1)
-            rows = np.flatnonzero(highest >= least)
-            if len(rows) < len(scores):
-                scores, highest = scores[rows], highest[rows]
-            kth = highest.astype(np.float64)
-            floor[rows] = np.maximum(floor[rows], kth - slack)
-            row, col = np.divmod(np.flatnonzero(scores >= (kth - 2 * slack).astype(np.float32)[:, None]), scores.shape[1])
-            return rows[row], col
-        hit = scores >= least[:, None]
+        hit = scores >= (floor - slack).astype(np.float32)[:, None]
         if scores.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(scores):
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
             some = scores[many]
@@ -174,12 +258,80 @@ class _Best:
         return self.parts[0]
 
 
+def _products(queries: np.ndarray, items: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of pairs of rows."""
+    step = max(1, _PAIR_NUMBERS // max(queries.shape[1], 1))
+    return np.concatenate([np.zeros(0, queries.dtype), *(
+        np.einsum("ij,ij->i", queries[row[a:a + step]], items[col[a:a + step]]) for a in range(0, len(row), step))])
+
+
 def exact_scores(queries: np.ndarray, items: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Rounded scores of pairs of unit rows."""
-    step = max(1, _PAIR_NUMBERS // max(queries.shape[1], 1))
-    scores = [np.einsum("ij,ij->i", queries[row[a:a + step]], items[col[a:a + step]])
-              for a in range(0, len(row), step)]
-    return np.round(np.concatenate([np.zeros(0), *scores]), SCORE_DIGITS) + 0.0
+    return np.round(_products(queries, items, row, col), SCORE_DIGITS) + 0.0
+
+
+def product_bounds(queries: np.ndarray, items: np.ndarray, share: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is nowhere below that of ``queries`` and ``items``, with fewer columns.
+
+    One in ``share`` columns, those with the largest entries, stay as they are; the
+    others are cut into as many parts.  In a part a product is at most that of the
+    lengths, and at most that of the largest entry of one side and the sum of the
+    other.  Of these the form with the lowest mean is taken: rows with few entries,
+    such as those of short texts, lose little by it.
+    """
+    weight = sum((_some(x).astype(np.float64) ** 2).mean(axis=0) for x in (queries, items))
+    order = np.argsort(-weight, kind="stable")
+    n = len(order) // share
+    starts = n + np.arange(n) * (len(order) - n) // n
+
+    def parts(x, how):
+        out = np.empty((len(x), 2 * n), x.dtype)
+        for a in range(0, len(x), _BLOCK_QUERIES):
+            rows = x[a:a + _BLOCK_QUERIES, order]
+            out[a:a + len(rows), :n] = rows[:, :n]
+            out[a:a + len(rows), n:] = how(np.abs(rows))
+        return out
+
+    def largest(x):
+        return np.maximum.reduceat(x, starts, axis=1)
+
+    def total(x):
+        return np.add.reduceat(x, starts, axis=1)
+
+    def length(x):
+        return np.sqrt(np.add.reduceat(x * x, starts, axis=1))
+
+    def mean(form):
+        a, b = (parts(_some(x), how)[:, n:].mean(axis=0, dtype=np.float64) for x, how in zip((queries, items), form))
+        return a @ b
+
+    form = min(((largest, total), (length, length), (total, largest)), key=mean)
+    return parts(queries, form[0]), parts(items, form[1])
+
+
+def _some(rows: np.ndarray) -> np.ndarray:
+    """Rows from all over a matrix, 4,096 to 8,191 of many."""
+    return rows[::max(1, len(rows) // 4096)]
+
+
+def _directions(rows: np.ndarray, n: int = 8, rounds: int = 6) -> np.ndarray:
+    """A few unit vectors that most rows are near to, by k-means over some of them."""
+    some = _some(rows)
+    found = some[np.linspace(0, len(some) - 1, n).astype(int)].copy()
+    for _ in range(rounds):
+        taken = (some @ found.T).argmax(axis=1)
+        for c in range(n):
+            total = some[taken == c].sum(axis=0)
+            length = np.sqrt(total @ total)
+            if length > 0:
+                found[c] = total / length
+    return found
+
+
+def _angle_bound(cosine: np.ndarray, reach: float) -> np.ndarray:
+    """The highest product of a unit row with ``cosine`` to a direction and one with ``reach`` to it or less."""
+    far = cosine * reach + np.sqrt(np.maximum(0, 1 - cosine ** 2)) * np.sqrt(max(0.0, 1 - reach ** 2))
+    return np.where(reach >= cosine, 1.0, far) + 1e-6
 
 
 def _emit(best: _Best, keys: pa.Table, id_type: pa.DataType, schema: pa.Schema,
