@@ -5,9 +5,10 @@ rarest coordinate first.  An entry goes to the list of its coordinate together w
 the length of what follows it.  Two vectors whose first common coordinate is ``c``
 have at most the product of their entries at ``c`` plus the product of the lengths
 of what follows, so a list brings together only rows for which this reaches what the
-query still needs, and for which the lengths of ``PARTS`` parts of both vectors allow
-it too: part by part, a product of vectors is at most that of their lengths.  What a query needs is the threshold, or the ``k``-th best score
-it has found so far.  Lists are made in a task, of the rows it holds: few queries
+query still needs, and for which a bound of the whole product allows it too: that of
+the ``ALONE`` commonest coordinates as they are and of the lengths of ``PARTS`` parts of
+the others, as part by part a product of vectors is at most that of their lengths.  What
+a query needs is the threshold, or the ``k``-th best score it has found so far.  Lists are made in a task, of the rows it holds: few queries
 travel to the items, of many each fragment meets each fragment of the items.  Pairs
 are scored where they meet and only the best of each query leave a task.
 """
@@ -25,18 +26,20 @@ from pyspark.sql import types as T
 from lorespan.fixed_values import TOP_K
 from lorespan.operators.ordering import keep_first
 from lorespan.operators.similarity import (CELL_BYTES, SCORE_DIGITS, _Best, _cells, _emit,
-                                           _lowest_copies, _top, _unit_rows, _usable, _whole, exact_scores,
-                                           vector_width)
+                                           _lowest_copies, _same_direction, _top, _unit_rows, _usable, _whole,
+                                           exact_scores, vector_width)
 from lorespan.session import cut_lineage
 
 #: More than scores lose by rounding.
 SLACK = 2 * 10.0 ** -SCORE_DIGITS
-#: Parts of a vector whose lengths travel with each entry.
-PARTS = 16
+#: Commonest coordinates that stand in a bound as they are, parts of the others whose
+#: lengths do, and more than such a bound loses by rounding to single precision.
+ALONE, PARTS, BOUND_SLACK = 32, 32, 2e-5
 #: Queries of up to this size travel to the items.
 SHARED_BYTES = 4 * 1024 * 1024
-#: Queries and items put in lists together, and pairs of entries that are looked at together.
-_BLOCK_QUERIES, _BLOCK_ITEMS, _ENTRY_PAIRS = 256, 4096, 1 << 20
+#: Queries and items put in lists together, items whose bounds are made together, and pairs of entries that are
+#: looked at together.
+_BLOCK_QUERIES, _BLOCK_ITEMS, _BOUND_ITEMS, _ENTRY_PAIRS = 256, 4096, 1024, 1 << 20
 _MARK = ["_h1", "_h2"]
 
 
@@ -72,18 +75,31 @@ class Lists:
 
     def __init__(self, unit: np.ndarray, floor: float):
         self.unit = unit
-        squares = unit * unit
-        reach = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
-        self.row, place = np.nonzero((unit != 0) & (reach >= floor - SLACK))
+        width = unit.shape[1]
+        first = max(0, width - ALONE)
+        ends = np.unique(np.arange(PARTS) * first // PARTS)
+        self.parts = np.empty((len(unit), len(ends) * (first > 0) + width - first), np.float32)
+        found = []
+        for a in range(0, len(unit), _BLOCK_ITEMS):
+            rows = unit[a:a + _BLOCK_ITEMS]
+            squares = rows * rows
+            reach = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
+            row, place = np.nonzero((rows != 0) & (reach >= floor - SLACK))
+            found.append((row + a, place, reach[row, place]))
+            bounds = self.parts[a:a + len(rows)]
+            bounds[:, :width - first] = rows[:, first:]
+            if first:
+                # Lengths, rounded up.
+                bounds[:, width - first:] = np.sqrt(np.add.reduceat(squares[:, :first], ends, axis=1)) * (1 + 1e-6)
+        #: A bound that is not above this one is of a product of 0 or less.
+        self.nothing = -BOUND_SLACK if (unit < 0).any() else 0.0
+        self.row, place, reach = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip(
+            (np.int64, np.int64, float), zip(*found) if found else [()] * 3))
         by_place = np.argsort(place, kind="stable")
-        self.row, self.place = self.row[by_place], place[by_place]
-        self.starts = np.searchsorted(self.place, np.arange(unit.shape[1] + 1))
-        self.weight, self.reach = unit[self.row, self.place], reach[self.row, self.place]
+        self.row, self.place, self.reach = self.row[by_place], place[by_place], reach[by_place]
+        self.starts = np.searchsorted(self.place, np.arange(width + 1))
+        self.weight = unit[self.row, self.place]
         self.rest = np.sqrt(np.maximum(self.reach ** 2 - self.weight ** 2, 0.0)) * (1 + 1e-6)
-        # Lengths of the parts, rounded up.
-        part = np.arange(unit.shape[1]) % PARTS
-        lengths = np.sqrt(np.stack([squares[:, part == g].sum(axis=1) for g in range(PARTS)], axis=1))
-        self.parts = (lengths * (1 + 1e-5)).astype(np.float32)
 
     def __len__(self):
         return len(self.unit)
@@ -92,17 +108,22 @@ class Lists:
 def meet(wanted: Lists, items: Lists, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs ``(query row, item row)`` that meet in a list and may reach the query's ``need``.
 
-    Where the lists hold about as many entries as there are pairs, the lengths of
-    parts are compared for all pairs instead of entry by entry.
+    Where the lists hold about as many entries as there are pairs, the bounds of all
+    pairs are made at once instead of entry by entry.
     """
+    nothing = min(wanted.nothing, items.nothing)
     held = np.diff(items.starts)[wanted.place]
     live = (wanted.reach >= need[wanted.row] - SLACK) & (held > 0)
     if held[live].sum() > len(wanted) * len(items) / 4:
         for a in range(0, len(wanted), _BLOCK_QUERIES):
-            least = (need[a:a + _BLOCK_QUERIES] - SLACK)[:, None].astype(np.float32) * (1 - np.float32(1e-6))
-            bound = wanted.parts[a:a + _BLOCK_QUERIES] @ items.parts.T
-            row, col = np.divmod(np.flatnonzero((bound >= least) & (bound > 0)), len(items))
-            yield row + a, col
+            least = (need[a:a + _BLOCK_QUERIES] - SLACK - BOUND_SLACK).astype(np.float32)
+            for b in range(0, len(items), _BOUND_ITEMS):
+                bound = wanted.parts[a:a + _BLOCK_QUERIES] @ items.parts[b:b + _BOUND_ITEMS].T
+                some = np.flatnonzero(bound.max(axis=1) >= least)
+                if len(some):
+                    bound = bound[some]
+                    row, col = np.divmod(np.flatnonzero((bound >= least[some, None]) & (bound > nothing)), bound.shape[1])
+                    yield some[row] + a, col + b
         return
     at = np.flatnonzero(live)
     at = at[np.argsort(wanted.row[at], kind="stable")]
@@ -117,7 +138,7 @@ def meet(wanted: Lists, items: Lists, need: np.ndarray) -> Iterator[tuple[np.nda
         least = need[wanted.row[q]] - SLACK
         good = wanted.weight[q] * items.weight[i] + wanted.rest[q] * items.rest[i] >= least
         row, col, least = wanted.row[q[good]], items.row[i[good]], least[good]
-        good = np.einsum("ij,ij->i", wanted.parts[row], items.parts[col]) * (1 + 1e-6) >= least
+        good = np.einsum("ij,ij->i", wanted.parts[row], items.parts[col]) >= least - BOUND_SLACK
         yield np.divmod(np.unique(row[good] * len(items) + col[good]), len(items))
         start = stop
 
@@ -166,7 +187,8 @@ def _scored(pairs: DataFrame, floor: float) -> DataFrame:
 def _by_fragments(items: DataFrame, asked: DataFrame, k: int, schema: T.StructType, order: np.ndarray,
                   threshold: float, signed: bool, most: int) -> DataFrame:
     """Fragments of both sides meet in groups of bounded size, and only the best of a group leave it."""
-    left, right = _cells(*_whole(items, asked, most, most, most), _MARK)
+    # Queries are put in lists whole, which with a threshold are short; items block by block.
+    left, right = _cells(*_whole(items, asked, 2 * most, most * (2 if threshold > 0 else 1), most), _MARK)
     kind = items.schema["item_id"].dataType
     none = {c: F.lit(None).cast("long") for c in _MARK}
     both = left.withColumns(none).select("i", "q", "item_id", *_MARK, "vec", F.lit(True).alias("_item")).unionByName(
@@ -218,11 +240,18 @@ def list_search(items: DataFrame, queries: DataFrame, k: int = TOP_K, *, query_k
     signed, floor = threshold is not None, threshold or 0.0
     schema = T.StructType([T.StructField(c, T.LongType()) for c in _MARK]
                           + [items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    done = None
+    if k == 1 and signed and floor <= 1:
+        # Nothing scores above 1, so a query with an item in its own direction meets no list.
+        done = cut_lineage(_top(_same_direction(items, asked, _MARK, schema, width), _MARK, 1).drop("rank"))
+        asked = cut_lineage(asked.join(done, _MARK, "left_anti"))
     if 8 * width * asked.count() <= SHARED_BYTES:
         found = _by_shared(items, asked, k, schema, order, floor, signed)
     else:
         found = _by_fragments(items, asked, k, schema, order, floor, signed, max(1, CELL_BYTES // (16 * width)))
     found = _scored(found, floor)
+    if done is not None:
+        found = found.unionByName(done)
     if not signed:
         found = cut_lineage(_top(found, _MARK, k).drop("rank"))
         found = found.unionByName(_zero_scores(found, items, asked, k))

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from lorespan.operators import similarity
+from lorespan.operators import similarity, weighted_lists
 from lorespan.operators.similarity import _Best, exact_scores, product_bounds
 
 
@@ -71,3 +71,44 @@ def test_no_product_is_above_its_bound(make):
     left, right = product_bounds(queries, items)
     assert left.shape[1] == right.shape[1] == 2 * (queries.shape[1] // 4)
     assert (left @ right.T >= queries @ items.T - 1e-12).all()
+
+
+@pytest.mark.parametrize("width", [1, 6, 40, 64, 256])
+@pytest.mark.parametrize("signed", [False, True])
+def test_lists_keep_all_pairs_that_reach_the_threshold(width, signed):
+    rng = np.random.default_rng(width)
+    rows = rng.standard_normal((300, width)) * (rng.random((300, width)) < 0.5)
+    rows[250:] = rows[:50] + 0.2 * rng.standard_normal((50, width))
+    rows = unit(rows if signed else np.abs(rows))
+    lists = weighted_lists.Lists(rows, 0.8)
+    assert lists.parts.shape[1] == min(width, 64)
+    met = {(a, b) for row, col in weighted_lists.meet(lists, lists, np.full(300, 0.8)) for a, b in zip(row.tolist(), col.tolist())}
+    assert {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(rows @ rows.T >= 0.8)))} <= met
+
+
+def test_few_pairs_of_texts_meet_at_the_threshold_of_the_cache():
+    """Before, one pair in 9 met and was scored, as lists are full and 16 lengths tell little."""
+    queries, items = (texts(1500, 60, seed)[:, np.random.default_rng(0).permutation(256)] for seed in (6, 7))
+    order = np.argsort(np.count_nonzero(items, axis=0), kind="stable")
+    wanted, held = (weighted_lists.Lists(rows[:, order], 0.92) for rows in (queries, items))
+    met = sum(len(row) for row, _ in weighted_lists.meet(wanted, held, np.full(1500, 0.92)))
+    assert np.count_nonzero(queries @ items.T >= 0.92) <= met < 1500 * 1500 / 20
+
+
+def test_a_query_in_an_items_direction_meets_no_list(spark, monkeypatch):
+    """Before, a message that is an entry itself met all other entries as well."""
+    rows = texts(60, 20, 9)
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "item_id int, vec array<double>")
+    asked = np.concatenate([3 * rows[:40], texts(5, 20, 10)])
+    queries = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(asked)], "query_id int, vec array<double>")
+    met, shared = [], weighted_lists._by_shared
+
+    def counted(items, asked, *more):
+        met.append(asked.count())
+        return shared(items, asked, *more)
+
+    monkeypatch.setattr(weighted_lists, "_by_shared", counted)
+    got = weighted_lists.list_search(items, queries, 1, threshold=0.92)
+    want = similarity.knn(items, queries, 1, method="items").where("score >= 0.92")
+    assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+    assert met == [5]
