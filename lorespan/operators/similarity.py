@@ -143,16 +143,15 @@ class _Best:
         slack = 3 * (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS
         of_queries, of_items = product_bounds(near, far)
         towards = _directions(queries)
-        along = queries @ towards.T
+        along, reaches = queries @ towards.T, (items @ towards.T).T
         taken = along.argmax(axis=1)
-        for c, direction in enumerate(towards):
+        for c, reach in enumerate(reaches):
             mine = np.flatnonzero(taken == c)
             mine = mine[np.argsort(-along[mine, c], kind="stable")]
             if not len(mine):
                 continue
-            reach = items @ direction
             order = np.argsort(-reach, kind="stable")
-            reach, right, right_bounds = reach[order], far[order], of_items[order]
+            reach, right_bounds = reach[order], of_items[order]
             # The first block is small, as nothing can be left out before a query has a floor.
             starts = [0, *range(_BOUND_ITEMS // 4, len(order), _BOUND_ITEMS)]
             bounded = full = 0
@@ -167,7 +166,7 @@ class _Best:
                     if np.count_nonzero(live) < 0.9 * len(rows):
                         rows, left, left_bounds, cosine, least = (
                             x[live] for x in (rows, left, left_bounds, cosine, least))
-                    block = right[b:end]
+                    block = order[b:end]
                     if bounded < 8 * _BLOCK_QUERIES * _BOUND_ITEMS or full < 0.6 * bounded:
                         high = left_bounds @ right_bounds[b:end].T
                         bounded += high.size
@@ -175,19 +174,19 @@ class _Best:
                         some = np.flatnonzero(high.max(axis=1) >= least)
                         row, col = np.divmod(np.flatnonzero(high[some] >= least[some, None]), len(block))
                         if len(row) * _PAIR_COST < len(some) * len(block):
-                            row, col = self._highest_pairs(_products(left, block, some[row], col), rows[some[row]], col, slack)
+                            row, col = self._highest_pairs(_products(left, far, some[row], block[col]), rows[some[row]], col, slack)
                             full += len(row) * _PAIR_COST
                         else:
-                            scores = left[some] @ block.T
+                            scores = left[some] @ far[block].T
                             row, col = self._highest(scores, rows[some], slack)
                             full += scores.size
                             self.products += scores.size
                     else:
-                        scores = left @ block.T
+                        scores = left @ far[block].T
                         row, col = self._highest(scores, rows, slack)
                         self.products += scores.size
                     if len(row):
-                        col = order[b + col]
+                        col = block[col]
                         self.add(row, exact_scores(queries, items, row, col), ids[col])
 
     def _highest(self, scores: np.ndarray, rows: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
