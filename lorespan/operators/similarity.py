@@ -68,7 +68,8 @@ def _unit_rows(vectors: pa.Array, width: int | None = None) -> np.ndarray:
         rows[np.repeat(np.arange(len(sizes)), sizes),
              np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    return rows / np.where(norms == 0, 1.0, norms)[:, None]
+    rows /= np.where(norms == 0, 1.0, norms)[:, None]
+    return rows
 
 
 def _usable(rows):
@@ -80,10 +81,12 @@ def _usable(rows):
         vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
     good = vectors.is_valid().to_numpy(zero_copy_only=False)
     sizes = pc.fill_null(vectors.value_lengths(), 0).to_numpy(zero_copy_only=False)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    bad = np.repeat(np.arange(len(sizes)), sizes)[~np.isfinite(flat)]
-    good[bad] = False
-    return rows.filter(pa.array(good))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    finite = np.isfinite(flat.astype(np.float64) if flat.dtype == object else flat)
+    if not finite.all():
+        good = good.copy()
+        good[np.repeat(np.arange(len(sizes)), sizes)[~finite]] = False
+    return rows if good.all() else rows.filter(pa.array(good))
 
 
 def _matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +142,8 @@ class _Best:
         floor, ``product_bounds`` leave out single pairs.  Where these leave out little,
         products follow at once.
         """
-        near, far = queries.astype(np.float32), items.astype(np.float32)
         slack = 3 * (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS
-        of_queries, of_items = product_bounds(near, far)
+        of_queries, of_items = product_bounds(queries, items)
         towards = _directions(queries)
         along, reaches = queries @ towards.T, (items @ towards.T).T
         taken = along.argmax(axis=1)
@@ -157,7 +159,7 @@ class _Best:
             bounded = full = 0
             for a in range(0, len(mine), _BLOCK_QUERIES):
                 rows = mine[a:a + _BLOCK_QUERIES]
-                left, left_bounds, cosine = near[rows], of_queries[rows], along[rows, c]
+                left, left_bounds, cosine = queries[rows].astype(np.float32), of_queries[rows], along[rows, c]
                 for b, end in zip(starts, [*starts[1:], len(order)]):
                     least = self.floor[rows] - slack
                     live = _angle_bound(cosine, reach[b]) >= least
@@ -174,15 +176,15 @@ class _Best:
                         some = np.flatnonzero(high.max(axis=1) >= least)
                         row, col = np.divmod(np.flatnonzero(high[some] >= least[some, None]), len(block))
                         if len(row) * _PAIR_COST < len(some) * len(block):
-                            row, col = self._highest_pairs(_products(left, far, some[row], block[col]), rows[some[row]], col, slack)
+                            row, col = self._highest_pairs(_products(queries, items, rows[some[row]], block[col]), rows[some[row]], col, slack)
                             full += len(row) * _PAIR_COST
                         else:
-                            scores = left[some] @ far[block].T
+                            scores = left[some] @ items[block].astype(np.float32).T
                             row, col = self._highest(scores, rows[some], slack)
                             full += scores.size
                             self.products += scores.size
                     else:
-                        scores = left @ far[block].T
+                        scores = left @ items[block].astype(np.float32).T
                         row, col = self._highest(scores, rows, slack)
                         self.products += scores.size
                     if len(row):
@@ -209,7 +211,7 @@ class _Best:
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         highest = np.maximum.reduceat(scores, first).astype(np.float64)
         floor = self.floor[rows[first]] = np.maximum(self.floor[rows[first]], highest - slack)
-        good = scores >= np.repeat(floor - slack, np.diff(np.append(first, len(rows)))).astype(np.float32)
+        good = scores >= np.repeat(floor - slack, np.diff(np.append(first, len(rows))))
         return rows[good], cols[good]
 
     def _may_enter(self, scores: np.ndarray, first: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +272,7 @@ def exact_scores(queries: np.ndarray, items: np.ndarray, row: np.ndarray, col: n
 
 
 def product_bounds(queries: np.ndarray, items: np.ndarray, share: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Two matrices whose product is nowhere below that of ``queries`` and ``items``, with fewer columns.
+    """Two matrices in single precision whose product, but for rounding, is nowhere below that of ``queries`` and ``items``, with fewer columns.
 
     One in ``share`` columns, those with the largest entries, stay as they are; the
     others are cut into as many parts.  In a part a product is at most that of the
@@ -284,7 +286,7 @@ def product_bounds(queries: np.ndarray, items: np.ndarray, share: int = 4) -> tu
     starts = n + np.arange(n) * (len(order) - n) // n
 
     def parts(x, how):
-        out = np.empty((len(x), 2 * n), x.dtype)
+        out = np.empty((len(x), 2 * n), np.float32)
         for a in range(0, len(x), _BLOCK_QUERIES):
             rows = x[a:a + _BLOCK_QUERIES, order]
             out[a:a + len(rows), :n] = rows[:, :n]
